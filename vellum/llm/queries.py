@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import decontaminate, simhash
+from vellum.llm import decontaminate, lines, simhash
 from vellum.llm.common import load
 
 
@@ -28,9 +28,20 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = lines.mark_repeated_lines(load(spark, sf_dir, "documents"), min_run=2)
+    return marked.select(
+        "doc_id",
+        F.col("_n_lines").alias("n_lines"),
+        F.col("_n_removed").alias("n_removed"),
+        F.sha2(F.array_join("_kept", "\n"), 256).alias("kept_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontaminate": op5_decontaminate,
     "op6_simhash": op6_simhash,
+    "op9_line_dedup": op9_line_dedup,
 }
 
 #: The words of operator 5, with a list function of DuckDB.
@@ -59,4 +70,24 @@ WITH items AS (
 SELECT d.doc_id, len(d.w) AS n_words, coalesce(c.n_hit, 0) AS n_hit, coalesce(n.n_items, 0) AS n_items,
        sha256(coalesce(n.ids, '')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AS contaminated
 FROM docs d LEFT JOIN covered c USING (doc_id) LEFT JOIN named n USING (doc_id)""",
+    "op9_line_dedup": r"""
+WITH split AS (
+  SELECT doc_id, coalesce(string_split(text, chr(10)), []) AS l FROM documents
+), lines AS (
+  SELECT doc_id, i, l[i] AS x, regexp_matches(l[i], '[^\x20\x09-\x0D]') AS word
+  FROM split, unnest(range(1, len(l) + 1)) AS t(i)
+), runs AS (
+  SELECT doc_id, i, x, lead(x) OVER w AS y, lead(i) OVER w AS j FROM lines WHERE word WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+), later AS (
+  SELECT doc_id, i, j FROM runs WHERE y IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY x, y ORDER BY doc_id, i) > 1
+), gone AS (
+  SELECT doc_id, i FROM later UNION SELECT doc_id, j FROM later
+), kept AS (
+  SELECT doc_id, count(*) FILTER (WHERE word) AS n_lines, count(*) FILTER (WHERE g.i IS NOT NULL) AS n_removed,
+         string_agg(x, chr(10) ORDER BY l.i) FILTER (WHERE g.i IS NULL) AS text
+  FROM lines l LEFT JOIN gone g USING (doc_id, i) GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM split LEFT JOIN kept k USING (doc_id)""",
 }
