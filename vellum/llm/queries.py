@@ -7,8 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import chat, decontaminate, lines, simhash
+from vellum.llm import chat, decontaminate, lines, packing, sharding, simhash
 from vellum.llm.common import load
+from vellum.llm.tokens import tokenizer_path
+
+
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(load(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), capacity=2048)
+
+
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sharding.assign(load(spark, sf_dir, "documents").select("doc_id", "text"), shards=16)
+    return rows.select(
+        "doc_id",
+        F.col("_size").alias("size"),
+        F.col("_crc32").alias("text_crc32"),
+        F.lit("key").alias("law"),
+        F.col("_shard").alias("shard"),
+        F.col("_slot").alias("slot"),
+        F.col("_grown").alias("grown_shard"),
+    )
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,6 +75,8 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_packing": op1_packing,
+    "op3_sharding": op3_sharding,
     "op5_decontaminate": op5_decontaminate,
     "op6_simhash": op6_simhash,
     "op9_line_dedup": op9_line_dedup,
