@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,6 +85,11 @@ def dense_rank_by_bucket(
     )
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once: a lambda function evaluates what it refers to for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def redealt(df: DataFrame, key: str, to: str) -> DataFrame:
     """``df`` with its long column ``key`` as ``to``, of which Spark doesn't know how it is partitioned.
 

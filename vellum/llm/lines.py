@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import Scratch, redealt
+from vellum.llm.common import Scratch, let, redealt
 
 #: A line counts if it has a character other than these.
 _WORD = r"[^\x20\x09-\x0D]"
@@ -74,9 +74,13 @@ def mark_repeated_lines(docs: DataFrame, min_run: int = 2, id_col: str = "doc_id
     dropped = redealt(repeated_lines(docs, min_run, id_col, text_col), "_key", "_k")
     rows = docs.withColumn("_key", F.xxhash64(id_col, text_col)).join(dropped, F.col("_key") == F.col("_k"), "left")
     lines = F.coalesce(F.split(F.col(text_col), "\n", -1), F.array().cast("array<string>"))
-    places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_dropped"))
+
+    def kept(all_lines):
+        places = F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), F.col("_dropped"))
+        return F.transform(places, lambda i: F.get(all_lines, i))
+
     return (
-        rows.withColumn("_kept", F.when(F.col("_dropped").isNull(), lines).otherwise(F.transform(places, lambda i: F.get(lines, i))))
+        rows.withColumn("_kept", F.when(F.col("_dropped").isNull(), lines).otherwise(let(lines, kept)))
         .withColumn("_n_lines", F.size(F.filter(lines, lambda x: x.rlike(_WORD))).cast("long"))
         .withColumn("_n_removed", F.coalesce(F.size("_dropped"), F.lit(0)).cast("long"))
         .drop("_key", "_k", "_dropped")
