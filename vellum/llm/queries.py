@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import chat, decontaminate, lines, packing, sharding, simhash
+from vellum.llm import chat, decontaminate, lines, packing, quality, sharding, simhash
 from vellum.llm.common import load
 from vellum.llm.tokens import tokenizer_path
 
@@ -16,6 +16,13 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(load(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), capacity=2048)
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = load(spark, sf_dir, "labels").where("quality = 1")
+    rows = quality.judge(load(spark, sf_dir, "documents").select("doc_id", "text"), trusted)
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return rows.select("doc_id", *[F.col(f"_{c}").alias(c) for c in names])
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.assign(load(spark, sf_dir, "documents").select("doc_id", "text"), shards=16)
     return rows.select(
@@ -76,6 +83,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_quality": op2_quality,
     "op3_sharding": op3_sharding,
     "op5_decontaminate": op5_decontaminate,
     "op6_simhash": op6_simhash,
