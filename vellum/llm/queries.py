@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import chat, decontaminate, lines, packing, quality, sharding, simhash
+from vellum.llm import chat, decontaminate, lines, packing, quality, sharding, simhash, substrings
 from vellum.llm.common import load
 from vellum.llm.tokens import tokenizer_path
 
@@ -36,6 +36,11 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.find_repeats(load(spark, sf_dir, "documents"), window=35)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_contaminated(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"), window=10)
     return found.select(
@@ -85,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_quality": op2_quality,
     "op3_sharding": op3_sharding,
+    "op4_substrings": op4_substrings,
     "op5_decontaminate": op5_decontaminate,
     "op6_simhash": op6_simhash,
     "op9_line_dedup": op9_line_dedup,
@@ -95,6 +101,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _OP5_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 ORACLES: dict[str, str] = {
+    "op4_substrings": r"""
+WITH docs AS (
+  SELECT doc_id, CASE WHEN text IS NULL THEN [] ELSE regexp_extract_all(text, '[^\x20\x09-\x0D]+') END AS w FROM documents
+), windows AS (
+  SELECT doc_id, i, sha256(array_to_string(w[i : i + 34], ' ')) AS h FROM docs, unnest(range(1, len(w) - 33)) AS t(i)
+), again AS (
+  SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY h) > 1
+), gone AS (
+  SELECT DISTINCT doc_id, p FROM again, unnest(range(i, i + 35)) AS t(p)
+), kept AS (
+  SELECT d.doc_id, string_agg(d.x, ' ' ORDER BY d.p) AS text, count(*) AS n
+  FROM (SELECT doc_id, p, w[p] AS x FROM docs, unnest(range(1, len(w) + 1)) AS t(p)) AS d
+  ANTI JOIN gone AS g ON d.doc_id = g.doc_id AND d.p = g.p GROUP BY d.doc_id
+)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM docs LEFT JOIN kept USING (doc_id)""",
     "op5_decontaminate": f"""
 WITH items AS (
   SELECT item_id, {_OP5_WORDS} AS w FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL
