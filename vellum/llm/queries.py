@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import chat, decontaminate, lines, packing, quality, sharding, simhash, substrings
-from vellum.llm.common import load
+from vellum.llm import chat, decontaminate, lines, packing, quality, rans, sharding, simhash, substrings
+from vellum.llm.common import Scratch, load
 from vellum.llm.tokens import tokenizer_path
 
 
@@ -58,6 +58,12 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
 
 
+def op8_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = Scratch(spark, "rans").path("archive")
+    rans.write_archive(load(spark, sf_dir, "documents"), folder, tokenizer_path("byte_bpe_50k.json"), end_id=2)
+    return rans.read_archive(spark, folder).withColumnRenamed("id", "doc_id")
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = lines.mark_repeated_lines(load(spark, sf_dir, "documents"), min_run=2)
     return marked.select(
@@ -93,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_substrings": op4_substrings,
     "op5_decontaminate": op5_decontaminate,
     "op6_simhash": op6_simhash,
+    "op8_rans": op8_rans,
     "op9_line_dedup": op9_line_dedup,
     "op10_chat": op10_chat,
 }
