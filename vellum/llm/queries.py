@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import chat, decontaminate, lines, packing, quality, rans, sharding, simhash, substrings
+from vellum.llm import chat, decontaminate, lines, packing, quality, rans, sharding, simhash, substrings, warc
 from vellum.llm.common import Scratch, load
 from vellum.llm.tokens import tokenizer_path
 
@@ -58,6 +58,14 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = Scratch(spark, "warc").path("archive")
+    pages = load(spark, sf_dir, "pages").select("page_id", "url", "html")
+    warc.write_archive(pages, folder, min_payload=0)
+    found = warc.read_captures(pages, folder)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = Scratch(spark, "rans").path("archive")
     rans.write_archive(load(spark, sf_dir, "documents"), folder, tokenizer_path("byte_bpe_50k.json"), end_id=2)
@@ -99,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_substrings": op4_substrings,
     "op5_decontaminate": op5_decontaminate,
     "op6_simhash": op6_simhash,
+    "op7_warc": op7_warc,
     "op8_rans": op8_rans,
     "op9_line_dedup": op9_line_dedup,
     "op10_chat": op10_chat,
