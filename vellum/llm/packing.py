@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm.common import Scratch, dense_rank_by_bucket
-from vellum.llm.tokens import CachedEncoder, batches_of
+from vellum.llm.tokens import batches_of, encoder
 
 BUCKETS = 256
 PLAN_LIMIT = 4_000_000
@@ -106,12 +106,12 @@ def tokenize(
     end = np.array([end_id], dtype="<u4")
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = CachedEncoder(path, spaced=False)
+        tokenizer = encoder(path, spaced=False)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for lo, hi in batches_of(texts):
                 which, piece, start, length, crc, raw = [], [], [], [], [], []
-                for row, ids in enumerate(encoder.encode_batch(texts[lo:hi]), lo):
+                for row, ids in enumerate(tokenizer.encode_batch(texts[lo:hi]), lo):
                     data = np.concatenate([ids, end]).tobytes()
                     for k, at in enumerate(range(0, len(data), 4 * capacity)):
                         part = data[at : at + 4 * capacity]

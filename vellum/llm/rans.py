@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from vellum.llm.common import Scratch, partitions
 from vellum.llm.files import Ranges, open_folder, write_whole
-from vellum.llm.tokens import CachedEncoder, batches_of
+from vellum.llm.tokens import batches_of, encoder
 
 MAGIC = b"VLMRANS1"
 BITS = 20
@@ -121,13 +121,13 @@ def tokenize(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", te
     """(id, n, crc, ids): all ids of each row's text and the end id; 16 bits an id if they are enough."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = CachedEncoder(path, spaced=True)
-        kind = id_type(encoder.tokenizer.get_vocab_size())
+        tokenizer = encoder(path, spaced=True)
+        kind = id_type(tokenizer.tokenizer.get_vocab_size())
         end = np.array([end_id], dtype="<u4")
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for lo, hi in batches_of(texts):
-                ids = [np.concatenate([x, end]) for x in encoder.encode_batch(texts[lo:hi])]
+                ids = [np.concatenate([x, end]) for x in tokenizer.encode_batch(texts[lo:hi])]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(lo, hi - lo),

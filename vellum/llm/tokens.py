@@ -6,6 +6,7 @@ not white space. Words of natural text repeat, so most pieces come from a table
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 
@@ -18,11 +19,12 @@ _SAFE = re.compile(r"(?<=\S) (?=\S)")
 class CachedEncoder:
     """Encodes texts into numpy arrays of ids.
 
-    ``spaced``: pieces after the first carry their space (byte-level vocabularies). ``cache``: so many pieces are
-    remembered; then the table starts anew. The ids are those of ``encode`` without special tokens for any text.
+    ``spaced``: pieces after the first carry their space (byte-level vocabularies). ``cache``: when so many pieces are
+    remembered, they become the old table, which goes when a new one is full; pieces met again move to the new one.
+    The ids are those of ``encode`` without special tokens for any text.
     """
 
-    def __init__(self, path: str, spaced: bool, cache: int = 600_000):
+    def __init__(self, path: str, spaced: bool, cache: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -32,6 +34,7 @@ class CachedEncoder:
         self.marks = [t.content for _, t in added]
         self.spaced, self.limit = spaced, cache
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _plain(self, text: str) -> np.ndarray:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
@@ -56,8 +59,8 @@ class CachedEncoder:
     def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text; null is as empty."""
         if len(self.known) > self.limit:
-            self.known = {}
-        known, out, cut = self.known, [], []
+            self.old, self.known = self.known, {}
+        known, old, out, cut = self.known, self.old, [], []
         new: dict[str, None] = {}
         for text in texts:
             if text and not any(m in text for m in self.marks):
@@ -65,7 +68,8 @@ class CachedEncoder:
                 new.update((p, None) for p in cut[-1] if p not in known)
             else:
                 cut.append(text or "")
-        self._learn(list(new))
+        known.update((p, old[p]) for p in new if p in old)
+        self._learn([p for p in new if p not in known])
         for piece in cut:
             if isinstance(piece, str):
                 out.append(self._plain(piece) if piece else np.zeros(0, dtype="<u4"))
@@ -74,6 +78,12 @@ class CachedEncoder:
         return out
 
 
+@functools.cache
+def encoder(path: str, spaced: bool) -> CachedEncoder:
+    """This process's encoder: a Python worker keeps what it has learnt from one task to the next."""
+    return CachedEncoder(path, spaced)
+
+
 def batches_of(texts: list, chars: int = 4_000_000):
     """(from, to): runs of texts of about so many characters, one text at least."""
     at, size = 0, 0
