@@ -1,39 +1,234 @@
-"""Queries on text operators."""
+"""Queries on text operators: splitting, cleaning, dates, personal data, rules, languages, comparison, spelling."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vellum.functions import text as tx
+from vellum.functions.jsontext import parse_reply
+from vellum.operators import comparison, corpus, date_normalizer, language, masker, providers, regex_extractor, text_cleaner, text_corrector
+from vellum.operators.regex_extractor import Field, Pattern
 from vellum.operators.text_splitter import split_text
 from vellum.sources.tables import load
 
 
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+
+
+def _dirty(docs: DataFrame) -> DataFrame:
+    """Texts with breaks and runs of space, so that cleaning has something to do."""
+    text = F.replace(F.replace(F.replace("text", F.lit("th"), F.lit("t-\nh")), F.lit(". "), F.lit(".  \t ")), F.lit(", "), F.lit(",\n\n\n\n "))
+    return docs.withColumn("text", text)
+
+
+def _chunk_rows(spark, sf_dir):
+    return split_text(_docs(spark, sf_dir))
+
+
+def splitter_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _chunk_rows(spark, sf_dir).select("doc_id", "index", "char_start", "char_end", F.md5("text").alias("text_md5"))
+
+
 def splitter_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = split_text(load(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"))
     size = F.col("char_end") - F.col("char_start")
-    return chunks.groupBy("lang", "source").agg(
-        F.count(F.lit(1)).alias("chunk_count"),
-        F.sum(size).alias("total_chars"),
-        F.round(F.avg(size), 1).alias("avg_chunk_size"),
+    return _chunk_rows(spark, sf_dir).groupBy("lang", "source").agg(
+        F.count(F.lit(1)).alias("chunk_count"), F.sum(size).alias("total_chars"), F.round(F.avg(size), 1).alias("avg_chunk_size")
     )
 
 
-QUERIES = {"splitter_stats": splitter_stats}
-
-_CHUNKS = """
-chunks AS (
-  SELECT d.doc_id, d.lang, d.source, i AS index, substr(d.text, (412 * i + 1)::BIGINT, 512) AS text,
-         412 * i AS char_start, least(412 * i + 512, length(d.text)) AS char_end
-  FROM documents d,
-       unnest(range(0, CASE WHEN length(d.text) <= 512 THEN 1 ELSE 1 + ceil((length(d.text) - 512) / 412.0)::BIGINT END)) AS t(i)
-  WHERE regexp_matches(d.text, '\\S')
-)"""
-
-ORACLES = {
-    "splitter_stats": f"""
-WITH {_CHUNKS}
-SELECT lang, source, count(*) AS chunk_count, sum(char_end - char_start)::BIGINT AS total_chars,
-       round(avg(char_end - char_start), 1) AS avg_chunk_size
-FROM chunks GROUP BY lang, source""",
-}
+def index_chunks_trimmed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = _chunk_rows(spark, sf_dir).select("doc_id", tx.strip(F.col("text")).alias("t")).where("t <> ''")
+    return parts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.char_length("t")).alias("chars"))
+
+
+def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_cleaner.clean_text(_dirty(_docs(spark, sf_dir))).select("doc_id", F.md5("cleaned_text").alias("cleaned_md5"), "original_length", "cleaned_length", "chars_removed")
+
+
+def clean_upper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_cleaner.clean_text(_docs(spark, sf_dir), normalize_casing="upper").select("doc_id", F.md5("cleaned_text").alias("cleaned_md5"))
+
+
+def strip_special_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = text_cleaner.clean_text(_docs(spark, sf_dir), fix_hyphenation=False, collapse_whitespace=False, strip_special_chars=True)
+    return rows.groupBy("lang").agg(F.sum("chars_removed").alias("removed"), F.count_if(F.col("chars_removed") > 0).alias("changed"))
+
+
+def digit_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _docs(spark, sf_dir).withColumn("east", F.translate("text", "0123456789", tx.EASTERN_DIGITS[:10]))
+    return rows.select("doc_id", (tx.fold_digits(F.col("east")) == F.col("text")).alias("same"), F.md5("east").alias("east_md5"), F.md5(tx.fold_digits(F.col("east"))).alias("folded_md5"))
+
+
+def dates_numeric_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = load(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("Ordered on "), F.date_format("o_orderdate", "dd/MM/yyyy"), F.lit(", due 2030-01-31.")).alias("text"))
+    rows = date_normalizer.normalize_dates(orders)
+    return rows.select("o_orderkey", "normalized_text", F.size("dates").cast("long").alias("n_dates"))
+
+
+def date_format_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = load(spark, sf_dir, "events").select("event_id", F.date_format("ts", "d.M.yyyy HH:mm").alias("text"))
+    out = {f: date_normalizer.normalized_text(F.col("text"), name) for f, name in (("iso", "YYYY-MM-DD"), ("dmy", "DD/MM/YYYY"), ("mdy", "MM/DD/YYYY"))}
+    return events.select("event_id", *[c.alias(k) for k, c in out.items()])
+
+
+def dates_by_month_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = load(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", F.date_format("o_orderdate", "'Le' d MMMM yyyy").alias("text"))
+    rows = date_normalizer.normalize_dates(orders)
+    return rows.select("o_orderkey", F.get("dates", F.lit(0))["iso_date"].alias("iso_date"))
+
+
+def _spans(spark, sf_dir, kind):
+    rows = masker.sensitive_spans(_docs(spark, sf_dir), kinds=(kind,))
+    return rows.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.start", "s.end", "s.value")
+
+
+def pii_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spans(spark, sf_dir, "EMAIL").groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("docs"))
+
+
+def pii_ipv4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spans(spark, sf_dir, "IP_ADDRESS").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("first_ip"))
+
+
+def pii_email_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spans(spark, sf_dir, "EMAIL")
+
+
+def pii_spans_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = masker.sensitive_spans(_docs(spark, sf_dir)).select("lang", F.explode("spans").alias("s"))
+    return rows.groupBy("lang", F.col("s.type").alias("type")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("s.end") - F.col("s.start")).alias("chars"))
+
+
+def mask_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = masker.mask_text(_docs(spark, sf_dir), kinds=("EMAIL",), mask="#")
+    return rows.select("doc_id", F.md5("masked_text").alias("masked_md5"), F.col("total_masked").cast("long").alias("total_masked"))
+
+
+RULES = [
+    Pattern("email", r"[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}", category="contact", required=True),
+    Pattern("secret", r"token = \"([0-9a-f]+)\"", group=1, category="secret", exact_length=40),
+    Pattern("first_word", r"[a-z]+", category="general", required=True, max_length=8),
+]
+
+
+def regex_extract_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return regex_extractor.extract_fields(_docs(spark, sf_dir), RULES)
+
+
+def regex_extract_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = regex_extractor.extraction_stats(_docs(spark, sf_dir), RULES)
+    return rows.withColumn("missing", F.array_join("missing", ","))
+
+
+CHECKS = [
+    Field("email", "E-mail", "CRITICAL", r"[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}", required=True),
+    Field("ip", "Address", "WARNING", r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}"),
+    Field("token", "Secret", "INFO", r"token = "),
+    Field("the", "Article", "CRITICAL", r"\b(the|der|el|le)\b", required=True),
+    Field("tone", "Tone", "INFO", method="semantic"),
+]
+
+
+def gap_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return regex_extractor.gap_score(_docs(spark, sf_dir), CHECKS, threshold=0.4).withColumn("missing", F.array_join("missing", ","))
+
+
+def gap_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = regex_extractor.gap_fields(_docs(spark, sf_dir), CHECKS)
+    return rows.groupBy("field", "severity", "status", "method").agg(F.count(F.lit(1)).alias("n"))
+
+
+def gap_invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = load(spark, sf_dir, "orders")
+    text = F.concat(F.lit("Facture: F"), F.col("o_orderkey"), F.lit("\nDate: "), F.date_format("o_orderdate", "dd/MM/yyyy"), F.when(F.col("o_orderstatus") != "F", F.concat(F.lit("\nMontant: "), F.round("o_totalprice").cast("long"), F.lit(" EUR"))).otherwise(""))
+    rows = regex_extractor.gap_score(orders.select("o_orderkey", text.alias("text")), regex_extractor.INVOICE_FR, key="o_orderkey")
+    return rows.groupBy("percentage", "matched", "missing_critical", "missing_warning").agg(F.count(F.lit(1)).alias("n"))
+
+
+def language_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.detect_languages(_docs(spark, sf_dir), mode="document")
+
+
+def language_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = language.detect_languages(_docs(spark, sf_dir), mode="paragraph").where("rank = 1")
+    joined = best.withColumnRenamed("lang", "found").join(load(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
+    return joined.groupBy("lang", "found").agg(F.count(F.lit(1)).alias("n"))
+
+
+def claim_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = load(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(tx.claims(F.col("text"))).alias("c"))
+    return rows.groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("claims"), F.sum(F.char_length("c")).alias("chars"))
+
+
+def line_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    other = docs.withColumn("text", F.replace(F.upper("text"), F.lit("."), F.lit(";")))
+    return comparison.line_overlap(docs, other, "doc_id", ignore_case=True)
+
+
+def doc_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir).select("doc_id", F.col("text").alias("original"), F.regexp_replace("text", r"\n([^\n]*)\n", "\n").alias("revised"))
+    return comparison.compare(docs).select("doc_id", "similarity", "identical", "added", "removed", "modified", "unchanged")
+
+
+def spell_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = load(spark, sf_dir, "nation").select(F.concat(F.initcap("n_name"), F.lit("x")).alias("word"))
+    terms = load(spark, sf_dir, "nation").select(F.lower("n_name").alias("term"), F.lit(1).alias("frequency"))
+    return text_corrector.corrections(words, terms)
+
+
+def edit_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = load(spark, sf_dir, "part").select("p_partkey", F.levenshtein("p_name", "p_type").cast("long").alias("distance"))
+    return p
+
+
+def llm_json_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
+    body = F.concat(F.lit('{"role":"'), "role", F.lit('","turn":'), F.col("turn").cast("string"), F.lit("}"))
+    reply = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(F.col("turn") % 3 == 1, F.concat(F.lit("Sure: "), body, F.lit(" ok"))).otherwise(F.lit("no json"))
+    found = rows.select("conv_id", "turn", parse_reply(reply, "struct<role:string,turn:bigint>").alias("r"))
+    return found.select("conv_id", "turn", F.coalesce("r.role", F.lit("none")).alias("found_role"), F.coalesce("r.turn", F.lit(-1)).alias("found_turn"))
+
+
+def answer_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = load(spark, sf_dir, "conversations").where("turn = 0")
+    reply = F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit('{"answer":"'), F.col("role"), F.lit('"}'))).otherwise(F.col("role"))
+    return providers.answers(rows.select("conv_id", reply.alias("reply"))).select("conv_id", "answer", "confidence")
+
+
+def translate_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return providers.translate(_docs(spark, sf_dir), "en", "en").select("doc_id", F.md5("translated_text").alias("text_md5"))
+
+
+def sentiment_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return providers.sentiment(_docs(spark, sf_dir)).select("doc_id", "sentiment.polarity", "sentiment.score", "sentiment.confidence", "summary")
+
+
+def semantic_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = lambda prompt: F.concat(F.lit('```\n{"size":{"value":"'), F.char_length(prompt).cast("string"), F.lit('"},"name":{"value":null}}\n```'))
+    rows = providers.semantic_extract(_docs(spark, sf_dir), ["size", "name"], said)
+    return rows.select("doc_id", F.col("extracted")["size"]["value"].alias("size"), F.col("extracted")["size"]["confidence"].alias("confidence"), F.col("extracted")["name"]["found"].alias("found"))
+
+
+def summarize_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return providers.summarize(load(spark, sf_dir, "benchmark"), "executive").select("item_id", "summary")
+
+
+def ocr_line_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = load(spark, sf_dir, "conversations").withColumn("confidence", (F.col("turn") % 7) / 10)
+    return corpus.ocr_summary(lines, ["conv_id"], "turn").withColumn("text", F.md5("text"))
+
+
+def element_type_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.element_summary(load(spark, sf_dir, "conversations"), [], "role", {"user": "Title", "assistant": "Table"})
+
+
+_NAMES = (
+    "splitter_chunks splitter_stats index_chunks_trimmed clean_text clean_upper strip_special_stats digit_fold dates_numeric_normalized "
+    "date_format_variants dates_by_month_name pii_emails pii_ipv4 pii_email_offsets pii_spans_by_type mask_emails regex_extract_fields "
+    "regex_extract_stats gap_score gap_report gap_invoices language_rank language_segments claim_split line_overlap doc_compare spell_corrections "
+    "edit_distance llm_json_recovery answer_parse translate_identity sentiment_defaults semantic_extract summarize_first ocr_line_aggregate element_type_summary"
+)
+QUERIES = {n: globals()[n] for n in _NAMES.split()}
