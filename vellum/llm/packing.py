@@ -64,36 +64,42 @@ class CapacityTree:
 def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
     """Entries (length, first piece, pieces, first sequence, offset), best-fit decreasing."""
     tree, open_, out, sequences = CapacityTree(capacity), {}, [], 0
+
+    def fill(first: int, n: int, pieces: int, room: int) -> None:
+        """``n`` sequences of one remaining capacity take ``pieces`` pieces each."""
+        nonlocal done
+        for i in range(pieces):
+            out.append((length, done, n, first, capacity - room + i * length))
+            done += n
+        if room := room - pieces * length:
+            open_.setdefault(room, []).append((first, n))
+            tree.put(room, True)
+
     for length in sorted(histogram, reverse=True):
-        done, left = 0, histogram[length]
-        while left:
+        done, all_ = 0, histogram[length]
+        while done < all_:
             room = tree.tightest(length)
             if room is None:
-                # Fill new sequences: each takes as many pieces of this length as fit, for that is what is tightest.
-                each = capacity // length
-                full, rest = divmod(left, each)
-                groups = [(full, each)] * (full > 0) + [(1, rest)] * (rest > 0)
-                for n, k in groups:
-                    for i in range(k):
-                        out.append((length, done, n, sequences, i * length))
-                        done += n
-                    room = capacity - k * length
-                    if room:
-                        open_.setdefault(room, []).append((sequences, n))
-                        tree.put(room, True)
-                    sequences += n
-                break
-            first, n = open_[room].pop()
-            used = min(n, left)
-            out.append((length, done, used, first, capacity - room))
-            if used < n:
-                open_[room].append((first + used, n - used))
-            if not open_[room]:
-                tree.put(room, False)
-            if room > length:
-                open_.setdefault(room - length, []).append((first, used))
-                tree.put(room - length, True)
-            done, left = done + used, left - used
+                room = capacity
+                n = -(-(all_ - done) // (room // length))
+                first, sequences = sequences, sequences + n
+            else:
+                first, n = open_[room].pop()
+                if not open_[room]:
+                    tree.put(room, False)
+            # A sequence that has taken a piece is the tightest one for the next, as long as that fits.
+            each = room // length
+            full = min(n, (all_ - done) // each)
+            if full:
+                fill(first, full, each, room)
+            if full < n:
+                rest = all_ - done
+                if rest:
+                    fill(first + full, 1, rest, room)
+                left = n - full - (rest > 0)
+                if left:
+                    open_.setdefault(room, []).append((first + full + (rest > 0), left))
+                    tree.put(room, True)
     return out
 
 
