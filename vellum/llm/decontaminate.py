@@ -57,7 +57,7 @@ class TestSet:
 
 
 def _pack(wide: np.ndarray, bits: int) -> np.ndarray:
-    w = wide.reshape(len(wide), -1, 64 // bits)
+    w = wide.reshape(len(wide), wide.shape[1] * bits // 64, 64 // bits)
     out = np.zeros(w.shape[:2], dtype=np.uint64)
     for k in range(w.shape[2]):
         out = out << np.uint64(bits) | w[:, :, k]
