@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from vellum.functions.spans import let
 from vellum.functions.text import strip
 
 #: Function words of each language.
@@ -29,13 +30,19 @@ def segments(text: Column, mode: str = "document") -> Column:
 
 
 def scores(text: Column) -> Column:
-    """array of (lang, hits): how many of the text's words each language's function words are."""
-    words = F.split(F.lower(text), r"[^a-zà-ÿœ؀-ۿ]+", -1)
+    """array of (lang, hits, total): how many of the text's words each language's function words are, and all of them are."""
 
-    def hits(own: list[str]) -> Column:
+    def hits(words: Column, own: list[str]) -> Column:
         return F.size(F.filter(words, lambda w: w.isin(*own)))
 
-    return F.array(*[F.struct(F.lit(lang).alias("lang"), hits(own).alias("hits")) for lang, own in STOP_WORDS.items()])
+    def by_language(words: Column) -> Column:
+        return F.array(*[F.struct(F.lit(lang).alias("lang"), hits(words, own).alias("hits")) for lang, own in STOP_WORDS.items()])
+
+    def totalled(found: Column) -> Column:
+        total = F.aggregate(found, F.lit(0), lambda acc, x: acc + x.hits)
+        return F.transform(found, lambda x: F.struct(x.lang.alias("lang"), x.hits.alias("hits"), total.alias("total")))
+
+    return let(let(F.split(F.lower(text), r"[^a-zà-ÿœ؀-ۿ]+", -1), by_language), totalled)
 
 
 def detect_languages(
@@ -44,10 +51,9 @@ def detect_languages(
     """key, lang, probability, rank. Segments with under three ASCII letters don't count; a document without any language is
     "unknown" with probability 0. Ties go by language code."""
     parts = docs.select(key, F.posexplode_outer(segments(F.col(text_col), mode)).alias("pos", "segment"))
-    parts = parts.withColumn("s", F.when(F.length(F.regexp_replace("segment", "[^a-zA-Z]", "")) >= 3, scores(F.col("segment"))))
-    total = F.aggregate("s", F.lit(0), lambda acc, x: acc + x.hits)
-    each = parts.withColumn("total", total).select(key, "pos", "total", F.explode_outer("s").alias("x"))
-    means = each.where("x.hits > 0").groupBy(key, F.col("x.lang").alias("lang")).agg(F.round(F.avg(F.col("x.hits") / F.col("total")), 4).alias("probability"))
+    scored = F.when(F.length(F.regexp_replace("segment", "[^a-zA-Z]", "")) >= 3, scores(F.col("segment")))
+    each = parts.select(key, F.explode(scored).alias("x"))
+    means = each.where("x.hits > 0").groupBy(key, F.col("x.lang").alias("lang")).agg(F.round(F.avg(F.col("x.hits") / F.col("x.total")), 4).alias("probability"))
     ranked = means.where(F.col("probability") >= min_probability)
     ranked = ranked.withColumn("rank", F.row_number().over(W.partitionBy(key).orderBy(F.desc("probability"), "lang"))).where(F.col("rank") <= max_languages)
     missing = docs.select(key).distinct().join(ranked.select(key), key, "left_anti")

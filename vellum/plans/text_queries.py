@@ -193,9 +193,9 @@ def llm_json_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def answer_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = load(spark, sf_dir, "conversations").where("turn = 0")
+    rows = load(spark, sf_dir, "conversations")
     reply = F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit('{"answer":"'), F.col("role"), F.lit('"}'))).otherwise(F.col("role"))
-    return providers.answers(rows.select("conv_id", reply.alias("reply"))).select("conv_id", "answer", "confidence")
+    return providers.answers(rows.select("conv_id", "turn", reply.alias("reply"))).select("conv_id", "turn", "answer", "confidence")
 
 
 def translate_identity(spark: SparkSession, sf_dir: str) -> DataFrame:

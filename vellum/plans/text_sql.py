@@ -149,7 +149,7 @@ SELECT word, upper(b.term[1]) || b.term[2:] AS corrected, b.d::INT AS distance F
     "edit_distance": "SELECT p_partkey, levenshtein(p_name, p_type) AS distance FROM part",
     "llm_json_recovery": """
 SELECT conv_id, turn, CASE WHEN turn % 3 = 2 THEN 'none' ELSE role END AS found_role, CASE WHEN turn % 3 = 2 THEN -1 ELSE turn END AS found_turn FROM conversations""",
-    "answer_parse": "SELECT conv_id, role AS answer, CASE WHEN conv_id % 2 = 0 THEN 'medium' ELSE 'low' END AS confidence FROM conversations WHERE turn = 0",
+    "answer_parse": "SELECT conv_id, turn, role AS answer, CASE WHEN conv_id % 2 = 0 THEN 'medium' ELSE 'low' END AS confidence FROM conversations",
     "translate_identity": "SELECT doc_id, md5(text) AS text_md5 FROM documents",
     "sentiment_defaults": "SELECT doc_id, 'neutral' AS polarity, 0.0::DOUBLE AS score, 0.0::DOUBLE AS confidence, '' AS summary FROM documents",
     "semantic_extract": "SELECT doc_id, (42 + least(length(text), 12000))::VARCHAR AS size, 0.9::DOUBLE AS confidence, false AS found FROM documents",
