@@ -105,12 +105,8 @@ def extraction_stats(docs: DataFrame, rules: list[Pattern], text_col: str = "tex
     )
 
 
-def gap_fields(docs: DataFrame, checklist: list[Field], text_col: str = "text", key: str = "doc_id", evaluate=None) -> DataFrame:
-    """A row for each document and field: key, field, label, severity, required, status, value, method. Narrow.
-
-    Regex fields are MATCHED or GAP. Semantic ones go to ``evaluate(text, field) -> Column`` (a value or null); without it
-    they are UNEVALUATED.
-    """
+def _gaps(checklist: list[Field], text_col: str, evaluate) -> Column:
+    """array of (field, label, severity, required, status, value, method)."""
     out = []
     for f in checklist:
         text = F.coalesce(F.col(text_col), F.lit(""))
@@ -125,19 +121,31 @@ def gap_fields(docs: DataFrame, checklist: list[Field], text_col: str = "text",
             status, method = F.when(value.isNotNull(), "MATCHED").otherwise("GAP"), F.lit("regex")
         parts = {"field": F.lit(f.key), "label": F.lit(f.label), "severity": F.lit(f.severity), "required": F.lit(f.required), "status": status, "value": value, "method": method}
         out.append(F.struct(*[v.alias(k) for k, v in parts.items()]))
-    return docs.select(key, F.explode(F.array(*out)).alias("f")).select(key, "f.*")
+    return F.array(*out)
+
+
+def gap_fields(docs: DataFrame, checklist: list[Field], text_col: str = "text", key: str = "doc_id", evaluate=None) -> DataFrame:
+    """A row for each document and field: key, field, label, severity, required, status, value, method. Narrow.
+
+    Regex fields are MATCHED or GAP. Semantic ones go to ``evaluate(text, field) -> Column`` (a value or null); without it
+    they are UNEVALUATED.
+    """
+    return docs.select(key, F.explode(_gaps(checklist, text_col, evaluate)).alias("f")).select(key, "f.*")
 
 
 def gap_score(docs: DataFrame, checklist: list[Field], text_col: str = "text", key: str = "doc_id", threshold: float = 0.85, evaluate=None) -> DataFrame:
-    """key, total_fields, matched, missing_critical, missing_warning, percentage, threshold_exceeded (true: met), missing."""
-    rows = gap_fields(docs, checklist, text_col, key, evaluate)
-    gap = F.col("status") == "GAP"
-    out = rows.groupBy(key).agg(
-        F.count(F.lit(1)).alias("total_fields"),
-        F.count_if(F.col("status") == "MATCHED").alias("matched"),
-        F.count_if(gap & (F.col("severity") == "CRITICAL")).alias("missing_critical"),
-        F.count_if(gap & F.col("severity").isin("WARNING", "INFO")).alias("missing_warning"),
-        F.array_sort(F.collect_list(F.when(gap & (F.col("severity") == "CRITICAL"), F.col("field")))).alias("missing"),
+    """key, total_fields, matched, missing_critical, missing_warning, percentage, threshold_exceeded (true: met), missing. Narrow."""
+    rows = docs.select(key, _gaps(checklist, text_col, evaluate).alias("f"))
+    count = lambda test: F.size(F.filter("f", test)).cast("long")
+    critical = lambda x: (x["status"] == "GAP") & (x["severity"] == "CRITICAL")
+    out = rows.select(
+        key,
+        F.size("f").cast("long").alias("total_fields"),
+        count(lambda x: x["status"] == "MATCHED").alias("matched"),
+        count(critical).alias("missing_critical"),
+        count(lambda x: (x["status"] == "GAP") & x["severity"].isin("WARNING", "INFO")).alias("missing_warning"),
+        F.array_sort(F.transform(F.filter("f", critical), lambda x: x["field"])).alias("missing"),
     )
-    out = out.withColumn("percentage", F.round(F.col("matched") * 100 / F.col("total_fields"), 1))
+    share = F.coalesce(F.try_divide(F.col("matched") * 100, F.col("total_fields")), F.lit(100.0))
+    out = out.withColumn("percentage", F.round(share, 1))
     return out.withColumn("threshold_exceeded", F.col("percentage") / 100 >= threshold)
