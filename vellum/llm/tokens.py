@@ -12,7 +12,6 @@ import re
 
 import numpy as np
 
-_DOUBTFUL = re.compile(r"\s\s|^\s|\s$")
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -24,7 +23,7 @@ class CachedEncoder:
     The ids are those of ``encode`` without special tokens for any text.
     """
 
-    def __init__(self, path: str, spaced: bool, cache: int = 500_000):
+    def __init__(self, path: str, spaced: bool, cache: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -32,50 +31,64 @@ class CachedEncoder:
         added = sorted(self.tokenizer.get_added_tokens_decoder().items())
         self.mark_id, self.mark = added[0][0], added[0][1].content
         self.marks = [t.content for _, t in added]
-        self.spaced, self.limit = spaced, cache
+        self.spaced, self.limit, self.space = spaced, cache, " " if spaced else ""
+        self.stops = {c: self._plain(c).tobytes() for c in ".,"}
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def _plain(self, text: str) -> np.ndarray:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Many pieces in one text, between marks that can stand in none of them."""
+    def _learn(self, pieces: set[str | tuple]) -> None:
+        """Many pieces in one text, between marks that can stand in none of them.
+
+        A full stop or comma after a letter is a token of its own, so the piece before it is what is learnt.
+        """
+        known, ends = self.known, [p for p in pieces if p[-1] in self.stops and len(p) > 1 and p[-2].isalpha()]
+        todo = list((pieces.difference(ends) | {p[:-1] for p in ends}).difference(known))
         size = 4000
-        texts = [self.mark.join(pieces[i : i + size]) for i in range(0, len(pieces), size)]
-        for i, found in enumerate(self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-            ids = np.asarray(found.ids, dtype="<u4")
+        for i in range(0, len(todo), size):
+            part = todo[i : i + size]
+            text = self.mark.join([p[0] if isinstance(p, tuple) else self.space + p for p in part])
+            ids = np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
             cut = np.flatnonzero(ids == self.mark_id)
-            raw, starts, ends = ids.tobytes(), [0, *(4 * (cut + 1)).tolist()], [*(4 * cut).tolist(), 4 * len(ids)]
-            part = pieces[i * size : (i + 1) * size]
-            self.known.update((w, raw[a:b]) for w, a, b in zip(part, starts, ends, strict=True))
-
-    def pieces(self, text: str) -> list[str]:
-        words = _SAFE.split(text) if _DOUBTFUL.search(text) else text.split(" ")
-        if not self.spaced:
-            return words
-        return [words[0], *(f" {w}" for w in words[1:])]
+            raw, starts, stops = ids.tobytes(), [0, *(4 * (cut + 1)).tolist()], [*(4 * cut).tolist(), 4 * len(ids)]
+            known.update((p, raw[x:y]) for p, x, y in zip(part, starts, stops, strict=True))
+        known.update((p, known[p[:-1]] + self.stops[p[-1]]) for p in ends)
+
+    def pieces(self, text: str) -> list[str | tuple]:
+        """What the text is cut into. With spaces, the first piece, which has none, is a tuple."""
+        runs = text.split()
+        if not runs or len(text) != sum(map(len, runs)) + len(runs) - 1:  # some white space isn't a single character between others
+            words = _SAFE.split(text)
+        else:
+            words = (text if self.spaced else text.replace("\n", " ")).split(" ")
+        if self.spaced:
+            words[0] = (words[0],)
+        return words
 
     def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text; null is as empty."""
         if len(self.known) > self.limit:
             self.old, self.known = self.known, {}
-        known, old, out, cut = self.known, self.old, [], []
-        new: dict[str, None] = {}
+        known, old = self.known, self.old
+        found: list[list[bytes | None]] = []
+        gaps: list[tuple[int, int, str | tuple]] = []
         for text in texts:
-            if text and not any(m in text for m in self.marks):
-                cut.append(self.pieces(text))
-                new.update((p, None) for p in cut[-1] if p not in known)
-            else:
-                cut.append(text or "")
+            if not text or any(m in text for m in self.marks):
+                found.append([self._plain(text).tobytes() if text else b""])
+                continue
+            pieces = self.pieces(text)
+            parts = list(map(known.get, pieces))
+            if None in parts:
+                gaps += [(len(found), i, pieces[i]) for i, x in enumerate(parts) if x is None]
+            found.append(parts)
+        new = {p for _, _, p in gaps}
         known.update((p, old[p]) for p in new if p in old)
-        self._learn([p for p in new if p not in known])
-        for piece in cut:
-            if isinstance(piece, str):
-                out.append(self._plain(piece) if piece else np.zeros(0, dtype="<u4"))
-            else:
-                out.append(np.frombuffer(b"".join([known[p] for p in piece]), dtype="<u4"))
-        return out
+        self._learn(new.difference(known))
+        for row, i, p in gaps:
+            found[row][i] = known[p]
+        return [np.frombuffer(b"".join(x), dtype="<u4") for x in found]
 
 
 @functools.cache
@@ -84,7 +97,7 @@ def encoder(path: str, spaced: bool) -> CachedEncoder:
     return CachedEncoder(path, spaced)
 
 
-def batches_of(texts: list, chars: int = 4_000_000):
+def batches_of(texts: list, chars: int = 400_000):
     """(from, to): runs of texts of about so many characters, one text at least."""
     at, size = 0, 0
     for i, text in enumerate(texts):
