@@ -35,7 +35,7 @@ BITS = 20
 LANES = 64
 BLOCK = 1 << 16
 #: Blocks that are coded at a time, and blocks that a reading task takes.
-GROUP, UNIT = 16, 64
+GROUP, UNIT = 32, 64
 _LOW = np.uint64(1 << 31)
 
 
@@ -71,7 +71,7 @@ class Table:
 def encode_blocks(blocks: list[np.ndarray], table: Table) -> list[bytes]:
     """Each block's states and words."""
     steps = -(-max(map(len, blocks)) // LANES)
-    ids = np.zeros((len(blocks), steps * LANES), dtype=np.int64)
+    ids = np.zeros((len(blocks), steps * LANES), dtype=np.int32)
     real = np.zeros(ids.shape, dtype=bool)
     for b, block in enumerate(blocks):
         ids[b, : len(block)] = block
@@ -152,8 +152,9 @@ def count_ids(tokens: DataFrame, vocabulary: int) -> np.ndarray:
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(vocabulary, dtype=np.int64)
         for batch in batches:
-            for ids in batch.column(0):
-                total += np.bincount(np.frombuffer(ids.as_py(), dtype=kind), minlength=vocabulary)
+            for lo in range(0, batch.num_rows, 1000):
+                data = b"".join(batch.column(0)[lo : lo + 1000].to_pylist())
+                total += np.bincount(np.frombuffer(data, dtype=kind), minlength=vocabulary)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["i", "n"])
 
