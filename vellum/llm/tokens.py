@@ -13,6 +13,7 @@ import re
 import numpy as np
 
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
+_BREAK = ("\n",)
 
 
 class CachedEncoder:
@@ -23,7 +24,7 @@ class CachedEncoder:
     The ids are those of ``encode`` without special tokens for any text.
     """
 
-    def __init__(self, path: str, spaced: bool, cache: int = 700_000):
+    def __init__(self, path: str, spaced: bool, cache: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -46,26 +47,32 @@ class CachedEncoder:
         """
         known, ends = self.known, [p for p in pieces if p[-1] in self.stops and len(p) > 1 and p[-2].isalpha()]
         todo = list((pieces.difference(ends) | {p[:-1] for p in ends}).difference(known))
-        size = 4000
-        for i in range(0, len(todo), size):
-            part = todo[i : i + size]
-            text = self.mark.join([p[0] if isinstance(p, tuple) else self.space + p for p in part])
-            ids = np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+        size = 64 if self.spaced else 4000  # what each kind of vocabulary is fastest with
+        groups = [todo[i : i + size] for i in range(0, len(todo), size)]
+        texts = [self.mark.join([p[0] if isinstance(p, tuple) else self.space + p for p in part]) for part in groups]
+        for part, found in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            ids = np.asarray(found.ids, dtype="<u4")
             cut = np.flatnonzero(ids == self.mark_id)
             raw, starts, stops = ids.tobytes(), [0, *(4 * (cut + 1)).tolist()], [*(4 * cut).tolist(), 4 * len(ids)]
             known.update((p, raw[x:y]) for p, x, y in zip(part, starts, stops, strict=True))
         known.update((p, known[p[:-1]] + self.stops[p[-1]]) for p in ends)
 
     def pieces(self, text: str) -> list[str | tuple]:
-        """What the text is cut into. With spaces, the first piece, which has none, is a tuple."""
+        """What the text is cut into. With spaces, a piece that has none is a tuple: the first of the text or of a line."""
         runs = text.split()
         if not runs or len(text) != sum(map(len, runs)) + len(runs) - 1:  # some white space isn't a single character between others
             words = _SAFE.split(text)
-        else:
-            words = (text if self.spaced else text.replace("\n", " ")).split(" ")
-        if self.spaced:
-            words[0] = (words[0],)
-        return words
+            return [(words[0],), *words[1:]] if self.spaced else words
+        if not self.spaced:
+            return text.replace("\n", " ").split(" ")
+        out: list[str | tuple] = []
+        for line in text.split("\n"):  # a line break between other characters is a token of its own
+            if out:
+                out.append(_BREAK)
+            at = len(out)
+            out += line.split(" ")
+            out[at] = (out[at],)
+        return out
 
     def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text; null is as empty."""
