@@ -171,6 +171,22 @@ def test_quality_counts_all(spark):
     assert sum(n for _, n in raw.values()) == 6 and model == quality.log_ratios(raw, 64)
 
 
+def test_quality_scores_trusted_rows_out_of_sample(spark):
+    rng = random.Random(4)
+    vocab = [f"w{i}" for i in range(3000)]
+    rows = [(i, " ".join(vocab[int(rng.paretovariate(0.4)) % 3000] for _ in range(200))) for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id: r for r in quality.judge(df, df.where("doc_id < 40"), buckets=256).collect()}
+    assert sum(not r._kept for r in out.values()) <= 1  # prose with and without a label alike
+    buckets = quality.let(quality._hashes(quality._words("text")), lambda h: quality._buckets(h, 256))
+    grams = {r.doc_id: Counter(r.b) for r in df.select("doc_id", buckets.alias("b")).collect()}
+    raw = sum(grams.values(), Counter())
+    for i in (0, 7, 39, 40, 79):
+        seen = sum((grams[k] for k in range(40) if k != i), Counter())
+        model = quality.log_ratios({b: (seen[b], raw[b]) for b in raw}, 256)
+        assert abs(out[i]._score - sum(model[b] * n for b, n in grams[i].items()) / grams[i].total()) < 3
+
+
 # 3
 
 
