@@ -62,7 +62,11 @@ def _hashes(text: str | None, shingle: int) -> np.ndarray:
 
 def fingerprint(text: str | None, shingle: int = 4) -> int:
     """The unsigned 64-bit fingerprint of one text."""
-    h = _hashes(text, shingle)
+    return of_hashes(_hashes(text, shingle))
+
+
+def of_hashes(h: np.ndarray) -> int:
+    """The fingerprint of the shingles with these hashes."""
     n = len(h)
     if not n:
         return 0
