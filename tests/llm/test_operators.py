@@ -463,6 +463,19 @@ def test_line_dedup(spark, docs, rows, empty, run):
     assert lines.drop_repeated_lines(empty, run).count() == 0
 
 
+def test_long_lines_repeat_alone(spark):
+    import corpus_pipeline
+
+    rng = random.Random(10)
+    long, short = prose(rng, 20), prose(rng, 19)
+    rows = [(1, f"a\n{long}\nb\n{short}"), (2, f"c\n{long}\n{short}\nd"), (3, long), (4, f"{short}\n{long} \ne"), (5, None), (6, f"{short}\n\nd\n{long}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
+    assert out == {1: rows[0][1], 2: f"c\n{short}\nd", 3: "", 4: rows[3][1], 5: None, 6: ""}
+    marked = lines.mark_repeated_lines(docs, 2, alone=20).orderBy("doc_id").collect()
+    assert [(r._n_lines, r._n_removed) for r in marked] == [(4, 0), (4, 1), (1, 1), (3, 0), (0, 0), (3, 3)]
+
+
 # 10
 
 

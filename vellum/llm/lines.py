@@ -2,7 +2,8 @@
 
 A document is its sequence of lines that hold a word; blank lines take no part and stay. A run is
 ``min_run`` or more consecutive lines. Lines of a run that equals an earlier run (by id, then place) are deleted, same
-document included; the first occurrence of everything stays.
+document included; the first occurrence of everything stays. With ``alone`` given, a line of that many words or more counts as a
+run by itself. What stays is then a repeat of a shorter line between other neighbours.
 
 Method. In every window of ``min_run`` lines the least line hash is selected (the rightmost of equal ones), so that two
 equal windows select the same line at the same place: the selected lines are guaranteed fingerprints. Positions
@@ -21,23 +22,28 @@ that comes first. Rows without an id come before all others. Extra columns stay
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm.common import Scratch, let, redealt
 
 #: A line counts if it has a character other than these.
 _WORD = r"[^\x20\x09-\x0D]"
+_BREAKS = r"[\x20\x09-\x0D]+"
 
 
-def _hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, row key, lines: array of (place among all lines, hash, digest))."""
+def _hashed(docs: DataFrame, id_col: str, text_col: str, alone: int | None = None) -> DataFrame:
+    """(id, row key, lines: array of (place among all lines, hash, digest, with ``alone`` whether it is that long))."""
+
+    def more(s: Column) -> list[Column]:
+        return [] if alone is None else [(F.size(F.filter(F.split(s.x, _BREAKS, -1), lambda w: w != "")) >= alone).alias("w")]
+
     numbered = F.transform(F.split(F.col(text_col), "\n", -1), lambda x, i: F.struct(i.alias("p"), x.alias("x")))
     lines = F.filter(numbered, lambda s: s.x.rlike(_WORD))
     return docs.select(
         F.col(id_col).alias("_id"),
         F.xxhash64(id_col, text_col).alias("_key"),
-        F.transform(lines, lambda s: F.struct(s.p.alias("p"), F.xxhash64(s.x).alias("h"), F.unhex(F.md5(s.x)).alias("d"))).alias("_lines"),
+        F.transform(lines, lambda s: F.struct(s.p.alias("p"), F.xxhash64(s.x).alias("h"), F.unhex(F.md5(s.x)).alias("d"), *more(s))).alias("_lines"),
     )
 
 
@@ -55,10 +61,13 @@ def _windows(hashed: DataFrame, w: int) -> DataFrame:
     )
 
 
-def repeated_lines(docs: DataFrame, min_run: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_lines(docs: DataFrame, min_run: int = 2, id_col: str = "doc_id", text_col: str = "text", alone: int | None = None) -> DataFrame:
     """(row key, places among all lines) of the repeats; rows without any are absent."""
     scratch = Scratch(docs.sparkSession, "lines")
-    windows = _windows(scratch.write(_hashed(docs, id_col, text_col), "hashes"), min_run)
+    hashed = scratch.write(_hashed(docs, id_col, text_col, alone), "hashes")
+    windows = _windows(hashed, min_run)
+    if alone is not None and min_run > 1:
+        windows = windows.union(_windows(hashed.withColumn("_lines", F.filter("_lines", lambda s: s.w)), 1))
     often = windows.groupBy("_f").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     joined = windows.join(redealt(often, "_f", "_g"), F.col("_f") == F.col("_g"))
     joined = joined.withColumn("_place", F.struct("_id", "_key", "_places")).withColumn("_c", F.xxhash64("_content"))
@@ -69,9 +78,9 @@ def repeated_lines(docs: DataFrame, min_run: int = 2, id_col: str = "doc_id", te
     return again.groupBy("_key").agg(F.collect_set("_p").alias("_dropped"))
 
 
-def mark_repeated_lines(docs: DataFrame, min_run: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def mark_repeated_lines(docs: DataFrame, min_run: int = 2, id_col: str = "doc_id", text_col: str = "text", alone: int | None = None) -> DataFrame:
     """``docs`` with _kept (the lines that stay, blank ones included), _n_lines and _n_removed (both of lines with a word)."""
-    dropped = redealt(repeated_lines(docs, min_run, id_col, text_col), "_key", "_k")
+    dropped = redealt(repeated_lines(docs, min_run, id_col, text_col, alone), "_key", "_k")
     rows = docs.withColumn("_key", F.xxhash64(id_col, text_col)).join(dropped, F.col("_key") == F.col("_k"), "left")
     lines = F.coalesce(F.split(F.col(text_col), "\n", -1), F.array().cast("array<string>"))
 
@@ -87,8 +96,8 @@ def mark_repeated_lines(docs: DataFrame, min_run: int = 2, id_col: str = "doc_id
     )
 
 
-def drop_repeated_lines(docs: DataFrame, min_run: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, min_run: int = 2, id_col: str = "doc_id", text_col: str = "text", alone: int | None = None) -> DataFrame:
     """``docs`` with later repeated runs deleted from the text; all rows and other columns stay. Null stays null."""
-    marked = mark_repeated_lines(docs, min_run, id_col, text_col)
+    marked = mark_repeated_lines(docs, min_run, id_col, text_col, alone)
     text = F.when(F.col(text_col).isNotNull(), F.array_join("_kept", "\n"))
     return marked.withColumn(text_col, text).select(*[F.col(f"`{c}`") for c in docs.columns])
