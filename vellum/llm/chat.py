@@ -1,9 +1,10 @@
 """Reply trees formatted as conversations (operator 10). Built-in functions only.
 
-Messages point to the message that they answer. Iterative self-joins by pointer doubling enumerate the paths from the
-leaves to the root: round k joins every message with its 2^k-th ancestor, so a tree of depth d takes log2(d) rounds,
-and each path grows by what it has. Branches of a tree are ranked by score (the sum over the path, or
-the leaf's own), and each chosen path becomes one conversation.
+Messages point to the message that they answer. Iterative self-joins go up from every message to its root by pointer
+doubling: round k joins each message with its 2^k-th ancestor and adds up the scores between them, so a tree of depth d takes log2(d)
+rounds of one row a message. A root-to-leaf path is then a leaf, its score and its length. The branches of a tree are ranked by score (the
+sum over the path, its mean, or the leaf's own), and only the chosen ones are listed, by the ancestors of the same rounds: what is written grows
+with the messages and the chosen paths, not with all leaves' depths. Each chosen path becomes one conversation.
 
 Template. ``<s>``, then for each turn ``[TAG] text [/TAG]``; an assistant's turn ends in ``</s>``. TAG is INST for user,
 SYS for system, ANS for assistant and X with the role's UTF-8 hex digits for others. Inside texts, ``<`` and ``[`` are
@@ -11,8 +12,9 @@ followed by a backslash, so no control string can stand in a text; taking the ba
 the text back, whatever it was. The loss mask covers each assistant's text, as spans of code points.
 
 Edge cases. Null roles and texts count as empty. Turns of a conversation are in the order of turn, then role, then text;
-null turns come first. Messages whose parent isn't there are roots; a circle of messages has no root and no path. Of
-equal scores the branch with the least leaf id comes first. Rows with the same message id are one message. An
+null turns come first. Messages whose parent isn't there are roots; a circle of messages has no root, so no path goes through
+it, nor through a reply that hangs off it. Of equal scores the branch with the least leaf id comes first. Rows with the same message id are one message. A very long
+conversation is numbered in parts of TURNS turns; the formatted conversation is one value. Extra columns are left out. An
 empty table gives an empty result.
 """
 
@@ -22,10 +24,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vellum.llm.common import Scratch
+from vellum.llm.common import Scratch, dense_rank_by_bucket
 
 TAGS = {"user": "INST", "system": "SYS", "assistant": "ANS"}
 BEGIN, END = "<s>", "</s>"
+#: Values of turn that are numbered together.
+TURNS = 1024
 
 
 def escape(text: Column) -> Column:
@@ -62,24 +66,18 @@ def format_turn(role: Column, text: Column) -> tuple[Column, Column, Column]:
 def format_paths(turns: DataFrame, by: list[str], order: list[str], role: str = "role", text: str = "text") -> DataFrame:
     """(by, formatted, loss_spans): one conversation for each value of ``by``; spans are (start, end) in code points."""
     turn, begins, length = format_turn(F.col(role), F.col(text))
-    rows = turns.select(*by, F.struct(*order, turn.alias("turn"), begins.cast("int").alias("b"), length.cast("int").alias("n")).alias("t"))
-    listed = rows.groupBy(*by).agg(F.sort_array(F.collect_list("t")).alias("t"))
-    empty = F.struct(F.lit(len(BEGIN)).alias("at"), F.array().cast("array<int>").alias("starts"))
-    spans = F.transform(
-        F.arrays_zip(F.aggregate("t", empty, _advance).starts.alias("s"), F.col("t")),
-        lambda z: F.struct((z.s + z.t.b).alias("start"), (z.s + z.t.b + z.t.n).alias("end")),
-    )
+    before = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    rows = turns.select(*by, *order, turn.alias("turn"), begins.alias("b"), length.alias("n"))
+    rows = rows.withColumn("at", F.col("b") + len(BEGIN) + F.coalesce(F.sum(F.length("turn")).over(before), F.lit(0)))
+    span = F.struct(F.col("at").cast("int").alias("start"), (F.col("at") + F.col("n")).cast("int").alias("end"))
+    listed = rows.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(*order, "turn", span.alias("span")))).alias("t"))
     return listed.select(
         *by,
         F.concat(F.lit(BEGIN), F.array_join(F.transform("t", lambda x: x.turn), "")).alias("formatted"),
-        F.filter(spans, lambda s: s.end > s.start).alias("loss_spans"),
+        F.filter(F.transform("t", lambda x: x.span), lambda s: s.end > s.start).alias("loss_spans"),
     )
 
 
-def _advance(acc, t):
-    return F.struct((acc["at"] + F.length(t.turn)).alias("at"), F.concat(acc.starts, F.array(acc["at"])).alias("starts"))
-
-
 def parse(formatted: Column) -> Column:
     """The turns of a formatted conversation: array of (role, text)."""
     body = F.substr(formatted, F.lit(len(BEGIN) + 1))
@@ -100,9 +98,13 @@ def masked_text(formatted: Column, spans: Column) -> Column:
 
 def replies_of_turns(conversations: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """A linear conversation as a reply tree: (tree, id, parent, score, role, text); each turn answers the one before."""
-    order = W.partitionBy(conv).orderBy(F.col(turn).asc_nulls_first(), F.col(role).asc_nulls_first(), F.col(text).asc_nulls_first())
-    n = F.row_number().over(order)
-    return conversations.select(F.col(conv).alias("tree"), n.alias("id"), F.nullif(n - 1, F.lit(0)).alias("parent"), F.lit(0.0).alias("score"), role, text)
+    rows = conversations.select(*[F.col(f"`{c}`").alias(n) for c, n in ((conv, "tree"), (turn, "turn"), (role, "role"), (text, "text"))])
+    # Null turns come first: they have the least bucket.
+    bucket = F.coalesce(F.floor(F.col("turn") / TURNS).cast("long"), F.lit(-(1 << 62)))
+    order = [F.col(c).asc_nulls_first() for c in ("turn", "role", "text")]
+    n = F.col("n") + 1
+    numbered = dense_rank_by_bucket(rows.withColumn("tree", F.struct("tree")), ["tree"], bucket, order, "n")
+    return numbered.select("tree.tree", n.alias("id"), F.nullif(n - 1, F.lit(0)).alias("parent"), F.lit(0.0).alias("score"), "role", "text")
 
 
 def branches(messages: DataFrame, keep: int = 1, scratch: Scratch | None = None, rank_by: str = "sum") -> DataFrame:
@@ -114,31 +116,34 @@ def branches(messages: DataFrame, keep: int = 1, scratch: Scratch | None = None,
     nodes = scratch.write(
         messages.groupBy("tree", "id").agg(F.min("parent").alias("parent"), F.min(F.coalesce("score", F.lit(0.0))).alias("score")), "nodes"
     )
-    ids = nodes.select("tree", F.col("id").alias("up"))
     same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
+    ids = nodes.select("tree", F.col("id").alias("up"))
     here = nodes.alias("n").join(ids.alias("i"), same("n.tree", "i.tree") & (F.col("n.parent") == F.col("i.up")), "left")
-    jump = scratch.write(here.select("n.tree", "n.id", F.col("i.up").alias("up")), "jump")
-    parents = jump.where("up IS NOT NULL").select("tree", F.col("up").alias("id")).distinct()
-    leaf = nodes.alias("n").join(parents.alias("p"), same("n.tree", "p.tree") & (F.col("n.id") == F.col("p.id")), "left_anti")
-    path = scratch.write(leaf.select("tree", F.col("id").alias("leaf"), "id", F.lit(0).alias("dist")), "path")
-    step = 1
-    total = nodes.count()
-    while step <= total and not jump.where("up IS NOT NULL").isEmpty():
-        by = jump.where("up IS NOT NULL")
-        grown = path.alias("p").join(by.alias("j"), same("p.tree", "j.tree") & (F.col("p.id") == F.col("j.id")))
-        more = grown.select("p.tree", "p.leaf", F.col("j.up").alias("id"), (F.col("p.dist") + step).alias("dist"))
-        longer = scratch.write(path.union(more), "path")
-        twice = by.alias("a").join(by.alias("b"), same("a.tree", "b.tree") & (F.col("a.up") == F.col("b.id")))
-        further = scratch.write(twice.select("a.tree", "a.id", F.col("b.up").alias("up")), "jump")
-        scratch.drop(path)
-        scratch.drop(jump)
-        path, jump, step = longer, further, 2 * step
-    scored = path.alias("p").join(nodes.alias("n"), same("p.tree", "n.tree") & (F.col("p.id") == F.col("n.id")))
-    value = {"sum": F.sum("n.score"), "mean": F.avg("n.score"), "leaf": F.sum(F.when(F.col("p.dist") == 0, F.col("n.score")))}[rank_by]
-    ranked = scored.groupBy("p.tree", "p.leaf").agg(value.alias("value"), F.max("p.dist").alias("len"))
-    chosen = ranked.withColumn("rank", F.row_number().over(W.partitionBy("tree").orderBy(F.desc("value"), "leaf"))).where(F.col("rank") <= keep)
-    out = path.alias("p").join(chosen.alias("c"), same("p.tree", "c.tree") & (F.col("p.leaf") == F.col("c.leaf")))
-    return out.select("p.tree", "p.leaf", "c.rank", (F.col("c.len") - F.col("p.dist")).alias("depth"), "p.id")
+    # up: the message ``len`` steps up, null if the path ended; total: the scores below it.
+    state = scratch.write(here.select("n.tree", "n.id", F.col("i.up").alias("up"), F.col("n.score").alias("total"), F.lit(1).cast("long").alias("len")), "state")
+    longest = nodes.groupBy("tree").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    jumps, step, first = [], 1, state
+    while step <= longest and not state.where("up IS NOT NULL").isEmpty():
+        jumps.append(scratch.write(state.where("up IS NOT NULL").select("tree", "id", "up"), "jump"))
+        joined = state.alias("a").join(state.alias("b"), same("a.tree", "b.tree") & (F.col("a.up") == F.col("b.id")), "left")
+        total = F.col("a.total") + F.coalesce(F.col("b.total"), F.lit(0.0))
+        after = joined.select("a.tree", "a.id", "b.up", total.alias("total"), (F.col("a.len") + F.coalesce("b.len", F.lit(0))).alias("len"))
+        state, step = scratch.write(after, "state"), 2 * step
+    # What still has a message above it after so many steps is in a circle or hangs off one.
+    parents = first.where("up IS NOT NULL").select("tree", F.col("up").alias("id")).distinct()
+    leaf = state.where("up IS NULL").alias("s").join(parents.alias("p"), same("s.tree", "p.tree") & (F.col("s.id") == F.col("p.id")), "left_anti")
+    own = leaf.alias("l").join(nodes.alias("n"), same("l.tree", "n.tree") & (F.col("l.id") == F.col("n.id"))) if rank_by == "leaf" else leaf.alias("l")
+    value = {"sum": "l.total", "mean": F.col("l.total") / F.col("l.len"), "leaf": "n.score"}[rank_by]
+    value = F.col(value) if isinstance(value, str) else value
+    ranked = own.select("l.tree", F.col("l.id").alias("leaf"), "l.len", value.alias("value"))
+    best = W.partitionBy("tree").orderBy(F.desc("value"), "leaf")
+    chosen = scratch.write(ranked.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= keep), "chosen")
+    path = chosen.select("tree", "leaf", "rank", "len", F.col("leaf").alias("id"), F.lit(0).cast("long").alias("dist"))
+    for k, jump in enumerate(jumps):
+        up = path.alias("p").join(jump.alias("j"), same("p.tree", "j.tree") & (F.col("p.id") == F.col("j.id")))
+        up = up.select("p.tree", "p.leaf", "p.rank", "p.len", F.col("j.up").alias("id"), (F.col("p.dist") + (1 << k)).alias("dist"))
+        path = scratch.write(path.union(up), "path")
+    return path.select("tree", "leaf", "rank", (F.col("len") - 1 - F.col("dist")).cast("int").alias("depth"), "id")
 
 
 def format_trees(messages: DataFrame, keep: int = 1, rank_by: str = "sum") -> DataFrame:

@@ -11,6 +11,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Characters that end a word for the operators that split on ASCII white space.
@@ -63,26 +64,36 @@ def row_key(*cols: str) -> Column:
     return F.xxhash64(*[F.col(c) for c in cols])
 
 
-def dense_rank_by_bucket(
-    df: DataFrame, group: list[str], bucket: Column, order: list[Column], buckets: int, name: str
-) -> DataFrame:
-    """Adds ``name``: the row's number from 0 in its group, ordered by bucket (0 to buckets - 1), then ``order``.
+def dense_rank_by_bucket(df: DataFrame, group: list[str], bucket: Column, order: list[Column], name: str) -> DataFrame:
+    """Adds ``name``: the row's number from 0 in its group, ordered by ``bucket``, a whole number, then ``order``.
 
     A group is numbered bucket by bucket, with offsets from the buckets' counts, so that no task sorts
-    a whole group. The table of counts has at most groups x buckets rows.
+    a whole group. The table of counts has a row for each group and bucket.
     """
-    from pyspark.sql import Window as W
-
-    rows = df.withColumn("_bucket", bucket.cast("int"))
-    counts = rows.groupBy(*group, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = W.partitionBy(*group).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    starts = counts.select(*group, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    within = rows.withColumn("_i", F.row_number().over(W.partitionBy(*group, "_bucket").orderBy(*order)) - 1)
-    return (
-        within.join(starts, [*group, "_bucket"])
-        .withColumn(name, (F.col("_start") + F.col("_i")).cast("long"))
-        .drop("_bucket", "_start", "_i")
-    )
+    at, start, i, n = fresh(df, "_bucket", "_start", "_i", "_n")
+    rows = df.withColumn(at, bucket.cast("long"))
+    counts = rows.groupBy(*group, at).agg(F.count(F.lit(1)).alias(n))
+    before = W.partitionBy(*group).orderBy(at).rowsBetween(W.unboundedPreceding, -1)
+    starts = counts.select(*group, at, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(start))
+    within = rows.withColumn(i, F.row_number().over(W.partitionBy(*group, at).orderBy(*order)) - 1)
+    return within.join(starts, [*group, at]).withColumn(name, (F.col(start) + F.col(i)).cast("long")).drop(at, start, i)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores in front until no column of ``df`` has it (letter case aside)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def row_keys(id_col: str, text_col: str) -> tuple[Column, Column]:
+    """Two 64-bit hashes of a row's id and text with different beginnings: together the row's identity."""
+    of = [F.col(f"`{c}`") for c in (id_col, text_col)]
+    return F.xxhash64(*of), F.xxhash64(F.lit("row"), *of)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -6,18 +6,20 @@ document included; the first occurrence of everything stays. With ``alone`` give
 run by itself. What stays is then a repeat of a shorter line between other neighbours.
 
 Method. In every window of ``min_run`` lines the least line hash is selected (the rightmost of equal ones), so that two
-equal windows select the same line at the same place: the selected lines are guaranteed fingerprints. Positions
-are joined where a fingerprint occurs more than once. From there matches are extended both ways: every
-window that selected the fingerprint is compared by its whole content (128 bits), lines before and after the selected one
-included. A window is a repeat if its content has an earlier position; the union of
-repeats is what maximal extension deletes, since each window of a longer match is a match itself.
-
-Skew. A fingerprint or a window that a third of all rows share is counted before the shuffle, and joins back
+equal windows select the same line at the same place, and no run can hide: the selected lines are guaranteed fingerprints.
+Only they become rows, each with the lines around it that lie in windows which selected it. Their positions are
+joined with the fingerprints that occur more than once; a line that occurs once goes no further. From each position that is left
+the match is extended both ways, line by line as far as those windows reach, and compared by the
+lines' own 128-bit digests with the earliest position that has the same lines before and after it. What any later position
+shares with an earlier one is deleted; longer runs are the union of the matches at the fingerprints in them.
+
+Skew. A fingerprint or a match that a third of all rows share is counted before the shuffle, and joins back
 to its rows through joins that the adaptive planner can split. Nothing is gathered by line.
 
 Edge cases. Null texts stay null and have no lines; empty texts too have none. Rows with the same id and text
-are repeats of each other in an order by row content only, so both are kept: a row's own key is the unit
-that comes first. Rows without an id come before all others. Extra columns stay as they are.
+are one position, so none of them is a repeat of the other: all stay, and lose the same lines. Rows without an id come before all
+others. A very long text is one row of line hashes, 28 bytes a line. Extra columns stay as they are, whatever their
+names; only columns named like those that ``mark_repeated_lines`` adds are replaced by them.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import Scratch, let, redealt
+from vellum.llm.common import Scratch, fresh, let, redealt, row_keys
 
 #: A line counts if it has a character other than these.
 _WORD = r"[^\x20\x09-\x0D]"
@@ -33,71 +35,102 @@ _BREAKS = r"[\x20\x09-\x0D]+"
 
 
 def _hashed(docs: DataFrame, id_col: str, text_col: str, alone: int | None = None) -> DataFrame:
-    """(id, row key, lines: array of (place among all lines, hash, digest, with ``alone`` whether it is that long))."""
+    """(id, row keys, lines: array of (place among all lines, hash, digest, with ``alone`` whether it is that long))."""
 
     def more(s: Column) -> list[Column]:
         return [] if alone is None else [(F.size(F.filter(F.split(s.x, _BREAKS, -1), lambda w: w != "")) >= alone).alias("w")]
 
-    numbered = F.transform(F.split(F.col(text_col), "\n", -1), lambda x, i: F.struct(i.alias("p"), x.alias("x")))
+    key, key2 = row_keys(id_col, text_col)
+    numbered = F.transform(F.split(F.col(f"`{text_col}`"), "\n", -1), lambda x, i: F.struct(i.alias("p"), x.alias("x")))
     lines = F.filter(numbered, lambda s: s.x.rlike(_WORD))
     return docs.select(
-        F.col(id_col).alias("_id"),
-        F.xxhash64(id_col, text_col).alias("_key"),
-        F.transform(lines, lambda s: F.struct(s.p.alias("p"), F.xxhash64(s.x).alias("h"), F.unhex(F.md5(s.x)).alias("d"), *more(s))).alias("_lines"),
+        F.col(f"`{id_col}`").alias("id"),
+        key.alias("key"),
+        key2.alias("key2"),
+        F.transform(lines, lambda s: F.struct(s.p.alias("p"), F.xxhash64(s.x).alias("h"), F.md5(s.x).alias("d"), *more(s))).alias("lines"),
     )
 
 
-def _windows(hashed: DataFrame, w: int) -> DataFrame:
-    """A row for each window: (id, row key, places, selected hash, content)."""
-    n = F.size("_lines")
-    at = F.explode(F.when(n >= w, F.sequence(F.lit(0), n - w)))
-    part = hashed.select("_id", "_key", "_lines", at.alias("_at")).withColumn("_part", F.slice("_lines", F.col("_at") + 1, F.lit(w)))
-    return part.select(
-        "_id",
-        "_key",
-        F.transform("_part", lambda s: s.p).alias("_places"),
-        F.array_min(F.transform("_part", lambda s: s.h)).alias("_f"),
-        F.unhex(F.md5(F.array_join(F.transform("_part", lambda s: F.hex(s.d)), ""))).alias("_content"),
-    )
+def _selected(hashed: DataFrame, w: int) -> DataFrame:
+    """A row for each selected line: (id, row keys, its hash, first place and digests of the lines around it, windows).
+
+    ``around`` are the places of the lines in windows that selected it, ``digests`` theirs, 32 characters each; there
+    are ``n`` such windows, one after the other.
+    """
+    lines = F.col("lines")
+
+    def least(at: Column) -> Column:
+        """Where the window from ``at`` on selects: the least hash, the rightmost of equal ones."""
+        return -F.array_min(F.transform(F.slice(lines, at + 1, F.lit(w)), lambda x, k: F.struct(x.h.alias("h"), (-(at + k)).alias("p"))))["p"]
+
+    def runs(chosen: Column) -> Column:
+        """The windows from, to that selected the same line: what a line was selected by stands together."""
+        begins = F.filter(F.sequence(F.lit(0), F.size(chosen) - 1), lambda i: (i == 0) | (F.get(chosen, i) != F.get(chosen, i - 1)))
+        return let(begins, lambda b: F.transform(b, lambda i, k: F.struct(F.get(chosen, i).alias("s"), i.alias("lo"), (F.coalesce(F.get(b, k + 1), F.size(chosen)) - 1).alias("hi"))))
+
+    n = F.size(lines)
+    chosen = F.when(n >= w, F.transform(F.sequence(F.lit(0), n - w), least))
+    rows = hashed.select("id", "key", "key2", "lines", F.explode(let(chosen, lambda c: F.when(c.isNotNull(), runs(c)))).alias("r"))
+    part = F.slice(lines, F.col("r.lo") + 1, F.col("r.hi") - F.col("r.lo") + w)
+    return rows.select(
+        "id",
+        "key",
+        "key2",
+        F.get(lines, F.col("r.s")).h.alias("f"),
+        F.transform(part, lambda s: s.p).alias("around"),
+        F.unhex(F.array_join(F.transform(part, lambda s: s.d), "")).alias("digests"),
+        (F.col("r.hi") - F.col("r.lo") + 1).alias("n"),
+    ).withColumn("w", F.lit(w))
 
 
 def repeated_lines(docs: DataFrame, min_run: int = 2, id_col: str = "doc_id", text_col: str = "text", alone: int | None = None) -> DataFrame:
-    """(row key, places among all lines) of the repeats; rows without any are absent."""
+    """(row keys, places among all lines) of the repeats; rows without any are absent."""
     scratch = Scratch(docs.sparkSession, "lines")
     hashed = scratch.write(_hashed(docs, id_col, text_col, alone), "hashes")
-    windows = _windows(hashed, min_run)
+    chosen = _selected(hashed, min_run)
     if alone is not None and min_run > 1:
-        windows = windows.union(_windows(hashed.withColumn("_lines", F.filter("_lines", lambda s: s.w)), 1))
-    often = windows.groupBy("_f").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    joined = windows.join(redealt(often, "_f", "_g"), F.col("_f") == F.col("_g"))
-    joined = joined.withColumn("_place", F.struct("_id", "_key", "_places")).withColumn("_c", F.xxhash64("_content"))
-    first = joined.groupBy("_c", "_content").agg(F.min("_place").alias("_first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    first = redealt(first.select("_c", F.col("_content").alias("_same"), "_first"), "_c", "_k")
-    later = (F.col("_c") == F.col("_k")) & (F.col("_content") == F.col("_same")) & (F.col("_place") > F.col("_first"))
-    again = joined.join(first, later).select("_key", F.explode("_places").alias("_p"))
-    return again.groupBy("_key").agg(F.collect_set("_p").alias("_dropped"))
+        chosen = chosen.union(_selected(hashed.withColumn("lines", F.filter("lines", lambda s: s.w)), 1))
+    often = chosen.groupBy("f").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("f")
+    joined = chosen.join(redealt(often, "f", "g"), F.col("f") == F.col("g"))
+    # Both ways from the fingerprint: each window that selected it, which is the lines before and after it that must match too.
+    reach = joined.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    extended = reach.select(
+        F.struct("id", "key", "key2", F.slice("around", F.col("k") + 1, F.col("w")).alias("places")).alias("place"),
+        F.substring("digests", 16 * F.col("k") + 1, 16 * F.col("w")).alias("same"),
+    ).withColumn("c", F.xxhash64("same"))
+    first = extended.groupBy("c", "same").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    first = redealt(first.select("c", F.col("same").alias("equal"), "first"), "c", "e")
+    later = (F.col("c") == F.col("e")) & (F.col("same") == F.col("equal")) & (F.col("place") > F.col("first"))
+    again = extended.join(first, later).select("place.key", "place.key2", F.explode("place.places").alias("p"))
+    return again.groupBy("key", "key2").agg(F.collect_set("p").alias("dropped"))
 
 
 def mark_repeated_lines(docs: DataFrame, min_run: int = 2, id_col: str = "doc_id", text_col: str = "text", alone: int | None = None) -> DataFrame:
     """``docs`` with _kept (the lines that stay, blank ones included), _n_lines and _n_removed (both of lines with a word)."""
-    dropped = redealt(repeated_lines(docs, min_run, id_col, text_col, alone), "_key", "_k")
-    rows = docs.withColumn("_key", F.xxhash64(id_col, text_col)).join(dropped, F.col("_key") == F.col("_k"), "left")
-    lines = F.coalesce(F.split(F.col(text_col), "\n", -1), F.array().cast("array<string>"))
+    docs = docs.drop("_kept", "_n_lines", "_n_removed")
+    found = repeated_lines(docs, min_run, id_col, text_col, alone)
+    key, key2, k, k2, dropped = fresh(docs, "key", "key2", "k", "k2", "dropped")
+    found = redealt(found.select("key", F.col("key2").alias(k2), F.col("dropped").alias(dropped)), "key", k)
+    keys = row_keys(id_col, text_col)
+    rows = docs.withColumn(key, keys[0]).withColumn(key2, keys[1]).join(found, (F.col(key) == F.col(k)) & (F.col(key2) == F.col(k2)), "left")
+    lines = F.coalesce(F.split(F.col(f"`{text_col}`"), "\n", -1), F.array().cast("array<string>"))
 
     def kept(all_lines):
-        places = F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), F.col("_dropped"))
+        places = F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), F.col(dropped))
         return F.transform(places, lambda i: F.get(all_lines, i))
 
     return (
-        rows.withColumn("_kept", F.when(F.col("_dropped").isNull(), lines).otherwise(let(lines, kept)))
+        rows.withColumn("_kept", F.when(F.col(dropped).isNull(), lines).otherwise(let(lines, kept)))
         .withColumn("_n_lines", F.size(F.filter(lines, lambda x: x.rlike(_WORD))).cast("long"))
-        .withColumn("_n_removed", F.coalesce(F.size("_dropped"), F.lit(0)).cast("long"))
-        .drop("_key", "_k", "_dropped")
+        .withColumn("_n_removed", F.coalesce(F.size(dropped), F.lit(0)).cast("long"))
+        .drop(key, key2, k, k2, dropped)
     )
 
 
 def drop_repeated_lines(docs: DataFrame, min_run: int = 2, id_col: str = "doc_id", text_col: str = "text", alone: int | None = None) -> DataFrame:
     """``docs`` with later repeated runs deleted from the text; all rows and other columns stay. Null stays null."""
-    marked = mark_repeated_lines(docs, min_run, id_col, text_col, alone)
-    text = F.when(F.col(text_col).isNotNull(), F.array_join("_kept", "\n"))
-    return marked.withColumn(text_col, text).select(*[F.col(f"`{c}`") for c in docs.columns])
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    at = {c: n for c, n in zip(docs.columns, names, strict=True)}
+    marked = mark_repeated_lines(docs.toDF(*names), min_run, at[id_col], at[text_col], alone)
+    text = F.when(F.col(at[text_col]).isNotNull(), F.array_join("_kept", "\n"))
+    return marked.withColumn(at[text_col], text).select(*names).toDF(*docs.columns)

@@ -146,7 +146,7 @@ def pack(pieces: DataFrame, capacity: int = 2048, order: tuple[str, ...] = ("doc
     rows = np.array(sorted(entries), dtype=np.int64).reshape(-1, 5)
     shared = pieces.sparkSession.sparkContext.broadcast(rows)
     bucket = F.pmod(F.xxhash64(*order), F.lit(BUCKETS))
-    numbered = dense_rank_by_bucket(pieces, ["length"], bucket, [F.col(c) for c in order], BUCKETS, "_number")
+    numbered = dense_rank_by_bucket(pieces, ["length"], bucket, [F.col(c) for c in order], "_number")
     names = pieces.columns
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

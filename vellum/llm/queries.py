@@ -84,7 +84,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
-    own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    own = spark.sql(f"SELECT * FROM VALUES (-7L, 0L, 'user', '{said}'), (-7L, 1L, 'assistant', '{said}') AS t(conv_id, turn, role, text)")
     turns = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
     out = chat.format_trees(chat.replies_of_turns(turns))
     back = out.select(F.col("tree").alias("conv_id"), "formatted", chat.parse(F.col("formatted")).alias("t"), "loss_spans")

@@ -57,4 +57,4 @@ def assign(docs: DataFrame, shards: int | list[float] = 16, key_col: str = "doc_
     )
     bucket = F.conv(F.substring("_digest", 1, 3), 16, 10)
     order = [F.col("_digest"), F.col(key_col), F.col("_size"), F.col("_crc32")]
-    return dense_rank_by_bucket(rows, ["_shard"], bucket, order, BUCKETS, "_slot").drop("_digest")
+    return dense_rank_by_bucket(rows, ["_shard"], bucket, order, "_slot").drop("_digest")
