@@ -5,24 +5,32 @@ also starts anywhere else, the same document included.
 
 Fingerprints. Of the hashes of every 8 words, the least one in each run of (window - 7) is selected (the rightmost of equal
 ones), so each window holds a selected hash and equal windows hold the same one at the same place: about one word in
-14 is selected, and no repeat can hide. The index is a log of immutable runs, each a Parquet table of
-(fingerprint, count) sorted by fingerprint. A batch of documents is summed up, merge-joined with the runs, and written
-as a run; when there are ``fanout`` runs, they are merged into one. For incremental use, ``FingerprintIndex`` is kept in a folder
-of the caller's and told of each new batch.
+14 is selected, and no repeat can hide.
 
-Candidates. Fingerprints that occur more than once are joined back to their documents. In those documents only, each
-window that holds such a fingerprint gets a 96-bit hash of its words, and a window whose hash occurs more than once is a
-repeat: this verifies the candidates. Equal texts take part once, with the weight of two.
+Index. ``FingerprintIndex`` is a folder: a log of immutable runs, each a Parquet table of (fingerprint, document key), bucketed and
+sorted by fingerprint, and a manifest of versions that any later session opens. A new batch is written as a run and merge-joined with
+the runs of history, of which nothing is dealt out again: both sides lie in the same buckets. What the batch shares with
+history, or has twice itself, are its hits; the runs say in which documents a hit lies. When a tier has ``fanout`` runs they
+are compacted into one run of the next tier. ``find_repeats`` goes this way, batch by batch; given an index of earlier
+batches and their documents, it judges the new batch against both.
 
-Shuffles. The text is dealt out once, by row key, and read three times from that shuffle. Joins by fingerprint and by window
-deal out both sides by the key alone, so that the adaptive planner can split a hot one; counts are summed up before the shuffle.
+Verification. The documents that hold hits are read. In those only, each window around a hit gets a 96-bit hash of its words,
+and a window whose hash occurs more than once is a repeat. Equal texts take part once, with the weight of two.
+
+Shuffles. Fingerprints go once by fingerprint, the text once by document key, and is read three times from that shuffle. Windows are
+dealt out by their hash alone, so that the adaptive planner can split a hot one; counts are summed up before the shuffle.
 
 Edge cases. Null texts have no words. Rows with equal text are copies of each other, rows that are equal in every column
-too. An empty table gives an empty result. Other columns are carried along by ``remove_repeats``.
+too. An empty table gives an empty result. A very long text is worked on by itself, in arrays of its words. A document's key is
+a 64-bit hash of id and text. Windows must have eight words at least. Other columns are left out, whatever their names.
 """
 
 from __future__ import annotations
 
+import functools
+import json
+import uuid
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm.common import Scratch, redealt
+from vellum.llm.common import Scratch, partitions, redealt
 
 GRAM = 8
 _BASE = 0x9E3779B97F4A7C15
@@ -84,53 +92,92 @@ def selected(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class FingerprintIndex:
-    """A log of sorted runs (fingerprint, count) in a shared folder."""
-
-    def __init__(self, spark: SparkSession, scratch: Scratch | None = None, fanout: int = 4):
-        self.spark, self.scratch, self.fanout = spark, scratch or Scratch(spark, "fingerprints"), fanout
-        self.runs: list[DataFrame] = []
-
-    def add(self, fingerprints: DataFrame) -> None:
-        """Writes a batch (a column fp) as a run of its own; merges the runs if there are ``fanout``."""
-        self._write(fingerprints.groupBy("fp").agg(F.count(F.lit(1)).alias("n")))
-        if len(self.runs) >= self.fanout:
-            self.compact()
-
-    def add_merged(self, fingerprints: DataFrame) -> None:
-        """Merges a batch with all runs straight away, in one shuffle: ``add`` and ``compact`` in one."""
-        rows = fingerprints.select("fp", F.lit(1).cast("long").alias("n"))
+    """A log of sorted runs (fp, key) in ``folder``; opened again if a manifest lies there."""
+
+    def __init__(self, spark: SparkSession, folder: str, fanout: int = 4, buckets: int | None = None):
+        self.spark, self.folder, self.fanout = spark, folder.rstrip("/"), fanout
+        self.version, self.buckets, self.runs = 0, buckets or partitions(spark), []
+        versions = self._files().globStatus(self._path("manifest-*.json")) or []
+        if len(versions):
+            last = max(v.getPath().toString() for v in versions)
+            found = json.loads(spark.read.text(last, wholetext=True).first()[0])
+            self.version, self.buckets, self.runs = found["version"], found["buckets"], found["runs"]
+
+    def _path(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+
+    def _files(self):
+        return self._path("x").getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _commit(self, runs: list[dict]) -> None:
+        """The next version of the manifest comes into being by a rename; runs that it no longer names are deleted then."""
+        files, own = self._files(), self._path(f".manifest-{uuid.uuid4().hex}")
+        out = files.create(own)
+        out.write(bytearray(json.dumps({"version": self.version + 1, "buckets": self.buckets, "runs": runs}).encode()))
+        out.close()
+        if not files.rename(own, self._path(f"manifest-{self.version + 1:012d}.json")):
+            raise RuntimeError(f"{self.folder}: another writer was faster")
+        kept = {r["name"] for r in runs}
+        for gone in (r["name"] for r in self.runs if r["name"] not in kept):
+            files.delete(self._path(gone), True)
+        self.version, self.runs = self.version + 1, runs
+
+    def _open(self, name: str) -> DataFrame:
+        """A run as a table that is known to be bucketed, so that joins and counts by fp need no shuffle of it."""
+        table = f"vellum_{name.replace('-', '_')}"
+        self.spark.sql(
+            f"CREATE TABLE IF NOT EXISTS {table} (fp BIGINT, key BIGINT) USING parquet "
+            f"CLUSTERED BY (fp) SORTED BY (fp) INTO {self.buckets} BUCKETS LOCATION '{self.folder}/{name}'"
+        )
+        return self.spark.table(table)
+
+    def _write(self, rows: DataFrame) -> str:
+        name = f"run-{uuid.uuid4().hex[:16]}"
+        dealt = rows.select("fp", "key").repartition(self.buckets, "fp")
+        dealt.write.bucketBy(self.buckets, "fp").sortBy("fp").format("parquet").option("path", f"{self.folder}/{name}").saveAsTable(f"vellum_{name.replace('-', '_')}")
+        return name
+
+    def add(self, fingerprints: DataFrame) -> DataFrame:
+        """Adds a batch (fp, key) as a run; returns its hits: the distinct fps that it has twice or that history has."""
+        name = self._write(fingerprints)
+        own = self._open(name)
+        hits = own.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fp")
         for run in self.runs:
-            rows = rows.union(run.select("fp", "n"))
-        self._replace(rows.groupBy("fp").agg(F.sum("n").alias("n")))
+            hits = hits.union(own.join(self._open(run["name"]).hint("merge"), "fp", "left_semi").select("fp"))
+        # The join's rows are those of the batch; they are one a fingerprint before anything moves.
+        hits = self.spark.read.schema("fp long").parquet(self._kept(hits.distinct()))
+        self._commit([*self.runs, {"name": name, "tier": 0}])
+        self._settle()
+        return hits
+
+    def _kept(self, hits: DataFrame) -> str:
+        path = f"{self.folder}/hits-{uuid.uuid4().hex[:16]}"
+        hits.write.parquet(path)
+        return path
+
+    def _settle(self) -> None:
+        """Merges a tier that is full into one run of the next tier, as long as there is one."""
+        while True:
+            tiers = Counter(r["tier"] for r in self.runs)
+            full = [t for t, n in tiers.items() if n >= self.fanout]
+            if not full:
+                return
+            self._merge([r for r in self.runs if r["tier"] == min(full)], min(full) + 1)
+
+    def _merge(self, some: list[dict], tier: int) -> None:
+        rows = functools.reduce(DataFrame.union, [self._open(r["name"]) for r in some])
+        name = self._write(rows)
+        self._commit([r for r in self.runs if r not in some] + [{"name": name, "tier": tier}])
 
     def compact(self) -> None:
-        rows = self.runs[0]
-        for run in self.runs[1:]:
-            rows = rows.union(run)
-        self._replace(rows.groupBy("fp").agg(F.sum("n").alias("n")))
-
-    def _replace(self, rows: DataFrame) -> None:
-        old, self.runs = self.runs, []
-        self._write(rows)
-        for run in old:
-            self.scratch.drop(run)
-
-    def _write(self, rows: DataFrame) -> None:
-        self.runs.append(self.scratch.write(rows.sortWithinPartitions("fp"), "run"))
-
-    def repeated(self) -> DataFrame:
-        """The fingerprints that occur more than once in all that the index holds."""
-        if len(self.runs) != 1:
-            self.compact()
-        return self.runs[0].where("n > 1").select("fp")
-
-    def hits(self, fingerprints: DataFrame) -> DataFrame:
-        """The rows of a new batch whose fingerprint a run holds: a merge join with each run."""
-        out = None
-        for run in self.runs:
-            found = fingerprints.join(run.select(F.col("fp").alias("_fp")).hint("merge"), F.col("fp") == F.col("_fp")).drop("_fp")
-            out = found if out is None else out.union(found)
-        return fingerprints.limit(0) if out is None else out.distinct()
+        """One run of everything."""
+        if len(self.runs) > 1:
+            self._merge(list(self.runs), max(r["tier"] for r in self.runs) + 1)
+
+    def locations(self, hits: DataFrame) -> DataFrame:
+        """(fp, key): where the hits (distinct fps) lie, in all runs: a merge join with each."""
+        found = [self._open(r["name"]).join(hits.hint("merge"), "fp", "left_semi") for r in self.runs]
+        return functools.reduce(DataFrame.union, found) if found else hits.selectExpr("fp", "fp AS key").limit(0)
 
 
 def fingerprints(docs: DataFrame, window: int, key: str, text_col: str) -> DataFrame:
@@ -193,24 +240,45 @@ def _removed(words: int, starts: np.ndarray, window: int) -> np.ndarray:
     return np.cumsum(cover[:-1]) > 0
 
 
-def find_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text", batches: int = 2) -> DataFrame:
-    """For each row of ``docs``: id, n_words, n_removed, kept_text (kept words joined by one space)."""
+def find_repeats(
+    docs: DataFrame,
+    window: int = 35,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    batches: int = 2,
+    index: FingerprintIndex | None = None,
+    history: DataFrame | None = None,
+) -> DataFrame:
+    """For each row of ``docs``: id, n_words, n_removed, kept_text (kept words joined by one space).
+
+    ``index``: of earlier batches, to which ``docs`` is added; ``history`` are their documents, of which those with hits are read.
+    """
+    if window < GRAM:
+        raise ValueError(f"a window must have {GRAM} words at least")
     scratch = Scratch(docs.sparkSession, "substrings")
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(id_col, text_col).alias("_key"))
-    index = FingerprintIndex(docs.sparkSession, scratch)
-    for k in range(batches):  # the log: each batch is merged into what came before
-        index.add_merged(fingerprints(rows.where(F.pmod("_key", F.lit(batches)) == k), window, "_key", "_text"))
+    index = index or FingerprintIndex(docs.sparkSession, scratch.path("index"))
+
+    def keyed(of: DataFrame, new: bool) -> DataFrame:
+        i, t = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+        return of.select(i.alias("_id"), t.alias("_text"), F.xxhash64(i, t).alias("_key"), F.lit(new).alias("_new"))
+
+    rows = keyed(docs, True)
+    hits = None
+    for k in range(batches):
+        found = index.add(fingerprints(rows.where(F.pmod("_key", F.lit(batches)) == k), window, "_key", "_text"))
+        hits = found if hits is None else hits.union(found)
+    if history is not None:
+        rows = rows.union(keyed(history, False))
     # Copies: of equal texts one row (the least key) takes part, for two.
     texts = rows.where("_text IS NOT NULL").select("_key", F.xxhash64("_text").alias("_t"), F.md5("_text").alias("_d"))
     equal = texts.groupBy("_t", "_d").agg(F.count(F.lit(1)).alias("_n"), F.min("_key").alias("_first")).where("_n > 1")
     equal = scratch.write(equal.select("_t", F.col("_d").alias("_e"), "_first"), "equal")
     copies = texts.join(equal, ["_t"]).where("_d = _e").select("_key", "_first").distinct()
-    found = fingerprints(rows, window, "_key", "_text").join(redealt(index.repeated(), "fp", "_fp"), F.col("fp") == F.col("_fp"))
-    per_row = found.groupBy("key").agg(F.collect_set("fp").alias("_found"))
+    per_row = index.locations(hits.distinct()).groupBy("key").agg(F.collect_set("fp").alias("_found"))
     info = scratch.write(per_row.join(copies, per_row.key == copies._key, "full").select(F.coalesce("key", "_key").alias("_k"), "_found", "_first"), "info")
 
-    text = rows.select("_key", "_text", "_id")
-    told = text.join(info.hint("shuffle_hash"), F.col("_key") == F.col("_k"), "left")
+    text = rows.select("_key", "_text", "_id", "_new")
+    told = text.join(info, F.col("_key") == F.col("_k"), "left")
     active = told.where("_found IS NOT NULL AND (_first IS NULL OR _first = _key)")
     # All columns of the text's shuffle are read, so that both joins share it.
     weight = F.when(F.col("_first").isNull(), 1).otherwise(2)
@@ -219,7 +287,7 @@ def find_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text
     again = redealt(counts.select("h", F.col("c").alias("_c")), "h", "_h")
     repeats = windows.where("w = 1").join(again, (F.col("h") == F.col("_h")) & (F.col("c") == F.col("_c")))
     starts = repeats.groupBy("key").agg(F.collect_set("at").alias("_starts"))
-    last = told.join(starts.hint("shuffle_hash"), F.col("_key") == F.col("key"), "left")
+    last = told.join(starts, F.col("_key") == F.col("key"), "left").where("_new")
     kind = docs.schema[id_col].dataType.simpleString()
 
     def finish(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
