@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -126,6 +127,14 @@ def test_encoder_is_exact():
         assert got == [e.tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
 
 
+@pytest.mark.parametrize(("name", "spaced"), [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
+def test_encoder_is_exact_for_every_character(name, spaced):
+    e = CachedEncoder(tokenizer_path(name), spaced)
+    texts = [f"a{c}. {c}b, x{c}' \u00c3{c}\u00c9.; \u0130. ab\u0130," for c in map(chr, [*range(1, 0x3100), *range(0xF900, 0x10450)])]
+    found = e.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+    assert [x.tolist() for x in e.encode_batch(texts)] == [x.ids for x in found]
+
+
 # 2
 
 
@@ -242,15 +251,34 @@ def test_fingerprints_are_guaranteed():
     assert (substrings._rolled(words[100:200], 35, base) == substrings._rolled(words, 35, base)[100:166]).all()
 
 
-def test_incremental_index(spark):
-    index = substrings.FingerprintIndex(spark, Scratch(spark, "t"), fanout=3)
-    batches = [[1, 2, 3], [3, 4], [5], [1, 6]]
-    for b in batches:
-        df = spark.createDataFrame([(x,) for x in b], "fp long")
-        hits = {r.fp for r in index.hits(df).collect()}
-        assert hits == set(b) & {x for old in batches[: batches.index(b)] for x in old}
-        index.add(df)
-    assert {r.fp for r in index.repeated().collect()} == {1, 3} and len(index.runs) == 1
+def test_index_over_sessions(spark, tmp_path):
+    folder = f"file://{tmp_path}/index"
+    batches = [[1, 2, 3], [3, 4], [5, 5], [1, 6, 7], [7, 8], [2], [9]]
+    for k, b in enumerate(batches):
+        session = spark.newSession()  # the folder's manifest is all that one session leaves to the next
+        index = substrings.FingerprintIndex(session, folder, fanout=3)
+        hits = {r.fp for r in index.add(session.createDataFrame([(x, 100 * k + x) for x in b], "fp long, key long")).collect()}
+        before = {x for old in batches[:k] for x in old}
+        assert hits == {x for x in b if x in before or b.count(x) > 1}
+        where = {(r.fp, r.key) for r in index.locations(session.createDataFrame([(1,), (7,)], "fp long")).collect()}
+        assert where == {(x, 100 * i + x) for i, old in enumerate(batches[: k + 1]) for x in old if x in (1, 7)}
+        assert len(index.runs) <= 3 and max([r["tier"] for r in index.runs]) == (k >= 2)
+    index.compact()
+    assert len(substrings.FingerprintIndex(spark, folder).runs) == 1 and len(list((tmp_path / "index").glob("run-*"))) == 1
+    plan = index._open(index.runs[0]["name"]).join(index._open(index.runs[0]["name"]).hint("merge"), "fp", "left_semi")._jdf.queryExecution().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+
+
+def test_substrings_of_new_batches_against_history(spark, docs, rows, tmp_path):
+    parts = [docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(3)) == k) for k in range(3)]
+    folder, seen, expected = f"file://{tmp_path}/index", None, {}
+    for part in parts:
+        now = [tuple(r) for r in part.select("doc_id", "text", "fp").collect()]
+        old = [] if seen is None else [tuple(r) for r in seen.select("doc_id", "text", "fp").collect()]
+        index = substrings.FingerprintIndex(spark, folder, fanout=2)
+        out = substrings.find_repeats(part, 35, batches=1, index=index, history=seen).collect()
+        same([tuple(r) for r in out], removed_by_hand(now + old, 35)[: len(now)])
+        seen = part if seen is None else seen.union(part)
 
 
 # 5
@@ -289,14 +317,34 @@ def test_decontaminate(spark, docs, rows, empty):
 
 
 def test_longest_matches(spark, docs, rows):
-    words = rows[5][1].split()
-    bench = spark.createDataFrame([(1, "nothing " + " ".join(words[100:123]) + " else"), (2, "unseen")], "item_id long, text string")
-    best = {(r.item_id, r.start): r for r in decontaminate.longest_matches(docs, bench).collect()}
-    tokens = decontaminate.words_of(rows[5][1])
-    first = best["1", 1]
-    item = decontaminate.words_of(bench.first().text)
-    assert first.doc_id == 5 and tokens[first.place : first.place + first.words] == item[1 : 1 + first.words]
-    assert first.words == len(item) - 2
+    tokens = {i: decontaminate.words_of(t) for i, t, _ in rows if i is not None and i != 3}
+    words = tokens[5]
+    repeat = b" ".join(words[40:52]).decode()
+    items = [(1, "nothing " + b" ".join(words[100:123]).decode() + " else"), (2, "unseen"), (3, f"{repeat} {repeat}"), (4, b" ".join([*words[300:330], *words[310:340]]).decode())]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    known = docs.where("doc_id IS NOT NULL AND doc_id <> 3").dropDuplicates(["doc_id"])
+    best = {(r.item_id, r.start): (r.words, r.doc_id, r.place) for r in decontaminate.longest_matches(known, bench, min_match=2).collect()}
+    at = defaultdict(list)
+    for d, w in tokens.items():
+        for k in range(len(w) - 1):
+            at[w[k], w[k + 1]].append((d, k))
+    expected = {}
+    for i, text in items:
+        w = decontaminate.words_of(text)
+        for s in range(len(w) - 1):
+            found = []
+            for d, k in at[w[s], w[s + 1]]:
+                n = 2
+                while s + n < len(w) and k + n < len(tokens[d]) and w[s + n] == tokens[d][k + n]:
+                    n += 1
+                found.append((-n, d, k))
+            if found:
+                n, d, k = min(found)
+                expected[str(i), s] = (-n, d, k)
+    assert best == expected and best["1", 1] == (len(decontaminate.words_of(items[0][1])) - 2, 5, 100)
+    out = {r.doc_id: r.longest for r in decontaminate.find_contaminated(known, bench, window=10).collect()}
+    assert tuple(out[5]) == (30, "4", 0, 300) or tuple(out[5]) == (30, "4", 30, 310)
+    assert all((r is None) == (d != 5 and not any(n >= 10 for n, x, _ in best.values() if x == d)) for d, r in out.items() if d == 5 or r is None)
 
 
 # 7
@@ -381,6 +429,12 @@ def test_rans_archive(spark, docs, rows, empty, tmp_path, monkeypatch):
         file.write_bytes(file.read_bytes()[:600] + b"\x00\x01" + file.read_bytes()[602:])
         with pytest.raises(ValueError):
             rans.read_ids(Ranges(folder), f.file, blocks, 0, f.n_ids, table)
+    small = f"file://{tmp_path}/s"
+    rans.write_archive(docs, small, path, 2, file_ids=50)  # many files a task; a document of 5,000 words in one of them
+    assert spark.read.parquet(f"{small}/manifest").where("no > 0").count() > 3
+    assert sorted(rans.read_archive(spark, small, keep_ids=True).collect(), key=lambda r: r.start) == out
+    with pytest.raises(TypeError):
+        rans.write_archive(docs.withColumn("doc_id", F.col("doc_id").cast("string")), small, path, 2)
     rans.write_archive(empty, f"file://{tmp_path}/e", path, 2)
     assert rans.read_archive(spark, f"file://{tmp_path}/e").count() == 0
 
@@ -414,9 +468,8 @@ def test_rans_many_blocks(monkeypatch):
     n = len(writer.blocks)
     assert n == 10
     got = []
-    for k in range(0, n, 3):
-        for batch in rans._read_unit(Files(out), {"file": "f", "before": 5, "first": k, "last": k + 3}, table, True):
-            got += batch.to_pylist()
+    for batch in rans._read_file(Files(out), "f", 5, table, True):
+        got += batch.to_pylist()
     assert [r["id"] for r in got] == [None, 1, 2, 3, 4, 5, 6]
     assert all((np.frombuffer(r["ids"], "<u4") == d).all() for r, d in zip(got, docs, strict=True))
     assert got[1]["start"] == 6
@@ -495,8 +548,8 @@ def test_chat_round_trip(spark):
 
 def test_reply_trees(spark):
     #       1 -> 2 -> 4        scores make 1-3-5 best by sum, 1-3-6 next
-    #         -> 3 -> 5, 6     7 has a parent that isn't there; 8 and 9 answer each other
-    rows = [("t", 1, None, 0.0), ("t", 2, 1, 1.0), ("t", 3, 1, 2.0), ("t", 4, 2, 1.0), ("t", 5, 3, 3.0), ("t", 6, 3, 2.0), ("u", 7, 99, 1.0), ("v", 8, 9, 1.0), ("v", 9, 8, 1.0), ("t", 5, 3, 3.0)]
+    #         -> 3 -> 5, 6     7 has a parent that isn't there; 8 and 9 answer each other, and 10 answers 8
+    rows = [("t", 1, None, 0.0), ("t", 2, 1, 1.0), ("t", 3, 1, 2.0), ("t", 4, 2, 1.0), ("t", 5, 3, 3.0), ("t", 6, 3, 2.0), ("u", 7, 99, 1.0), ("v", 8, 9, 1.0), ("v", 9, 8, 1.0), ("v", 10, 8, 5.0), ("t", 5, 3, 3.0)]
     df = spark.createDataFrame(rows, "tree string, id long, parent long, score double")
     out = defaultdict(list)
     for r in chat.branches(df, keep=2).collect():
@@ -505,3 +558,45 @@ def test_reply_trees(spark):
     long = spark.range(1, 301).select(F.lit("x").alias("tree"), "id", F.nullif(F.col("id") - 1, F.lit(0)).alias("parent"), F.lit(1.0).alias("score"))
     path = [r.id for r in chat.branches(long).orderBy("depth").collect()]
     assert path == list(range(1, 301))
+
+
+@pytest.mark.parametrize("rank_by", ["sum", "mean", "leaf"])
+def test_reply_trees_by_hand(spark, rank_by):
+    rng = random.Random(12)
+    rows = []
+    for tree in range(6):
+        for i in range(1, 60):
+            up = None if i == 1 or rng.random() < 0.03 else rng.randrange(max(1, i - 4), i) if rng.random() < 0.9 else rng.randrange(1, 60)
+            rows.append((tree, i, up if up != i else None, rng.randrange(20) / 4))
+    expected = {}
+    for tree in range(6):
+        up = {i: p for t, i, p, _ in rows if t == tree}
+        score = {i: x for t, i, _, x in rows if t == tree}
+        paths = []
+        for leaf in set(up) - set(up.values()):
+            path = [leaf]
+            while up[path[-1]] is not None and len(path) < 99:
+                path.append(up[path[-1]])
+            total = sum(score[i] for i in path)
+            if len(path) < 99:
+                paths.append((-{"sum": total, "mean": total / len(path), "leaf": score[leaf]}[rank_by], leaf, path[::-1]))
+        expected |= {(tree, k): p for k, (_, _, p) in enumerate(sorted(paths)[:3], 1)}
+    got = defaultdict(list)
+    for r in chat.branches(spark.createDataFrame(rows, "tree long, id long, parent long, score double"), 3, rank_by=rank_by).orderBy("depth").collect():
+        got[r.tree, r["rank"]].append(r.id)
+    assert got == expected
+
+
+def test_reply_trees_write_chosen_paths_only(spark):
+    rows = [("t", i, i - 1 or None, 0.0) for i in range(1, 61)] + [("t", 100 + i, i, 9.0 if i == 1 else 0.0) for i in range(1, 61)]
+    scratch = Scratch(spark, "spine")
+    out = chat.branches(spark.createDataFrame(rows, "tree string, id long, parent long, score double"), 1, scratch)
+    assert [r.id for r in out.orderBy("depth").collect()] == [1, 101]
+    written = sum(spark.read.parquet(str(p)).count() for p in Path(scratch.root.removeprefix("file://")).glob("*-path"))
+    assert written <= 2 * 8  # a branch of two messages, in each round
+
+
+def test_turns_of_a_conversation_without_id(spark):
+    rows = [(None, 1, "user", "a"), (None, None, "user", "b"), (None, 5000, "assistant", "c"), (None, -7, "system", "d")]
+    out = chat.replies_of_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).orderBy("id").collect()
+    assert [(r.tree, r.id, r.parent, r.text) for r in out] == [(None, 1, None, "b"), (None, 2, 1, "d"), (None, 3, 2, "a"), (None, 4, 3, "c")]
