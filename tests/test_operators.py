@@ -239,3 +239,19 @@ def test_streams(spark, tmp_path):
     stream = events.stream_table(spark, src, docs(spark, "x").schema)
     events.ingest_chunks(stream, f"file://{tmp_path}/out", f"file://{tmp_path}/ck").awaitTermination()
     assert spark.read.parquet(f"file://{tmp_path}/out").count() == 4
+
+
+def test_languages_of_texts_without_latin_letters(spark):
+    rows = [(1, "ذهب الولد إلى المدرسة في الصباح مع أن هذا اليوم كان يوم عطلة من العمل"), (2, "12 34"), (3, None), (4, "y\nde\n7"), (5, "The end of it and the rest of it was that.")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for mode in ("document", "paragraph"):
+        best = {r.doc_id: r.lang for r in language.detect_languages(docs, mode).where("rank = 1").collect()}
+        assert best == {1: "ar", 2: "unknown", 3: "unknown", 4: "es", 5: "en"}
+
+
+def test_first_wins_and_latest(spark):
+    rows = spark.createDataFrame([(1, "a", 3), (2, "a", None), (3, None, 1), (4, None, 2)], "id long, k string, at int")
+    assert sorted(r.id for r in corpus.first_wins(rows, [F.col("k")], [F.col("at")]).collect()) == [2, 3]
+    assert corpus.first_wins(rows, [F.col("k")], [F.col("at")]).columns == rows.columns
+    latest = corpus.upsert_latest(rows.where("id < 3"), rows.where("id > 2"), "k", "at", "id")
+    assert sorted(r.id for r in latest.collect()) == [1, 4]

@@ -67,6 +67,24 @@ def test_control_edges(spark):
     assert [r.doc_id for r in runs["c"].outputs["text"].collect()] == [1]
 
 
+def test_control_edges_of_data_that_comes_past_the_router(spark):
+    docs = spark.createDataFrame([(1, "a.txt", "one"), (2, "b.pdf", "two")], "doc_id long, path string, text string")
+    g = Graph.from_dict({
+        "nodes": [{"id": "in", "type": "corpus-input"}, {"id": "r", "type": "router", "config": {"rules": [["plain", [".txt"]]]}}, {"id": "c", "type": "text-cleaner"}],
+        "edges": [
+            {"source": "in", "source_port": "documents", "target": "r", "target_port": "document"},
+            {"source": "in", "source_port": "documents", "target": "c", "target_port": "text"},
+            {"source": "r", "target": "c", "kind": "control", "condition": "plain"},
+        ],
+    })
+    runs = compose(g, REGISTRY, {"in": {"documents": docs}}, mode="off")
+    assert [r.doc_id for r in runs["c"].outputs["text"].collect()] == [1]
+    given = {"r": {"document": docs}, "c": {"text": docs.select("text")}}
+    g.edges[:] = [e for e in g.edges if e.kind == "control"]
+    runs = compose(g, REGISTRY, given, mode="off")
+    assert runs["c"].status == "failure" and "told by route" in runs["c"].error
+
+
 def test_for_each_is_the_whole_relation(spark):
     docs = spark.createDataFrame([(1, "a  b"), (2, "c\t\td")], "doc_id long, text string")
     g = graph([("clean", "text-cleaner", {})], [])

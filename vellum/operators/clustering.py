@@ -70,7 +70,8 @@ def cluster_topics(docs: DataFrame, key: str = "doc_id", text_col: str = "text",
     Without ``k``, the number from 2 to ``max_k`` with the best cosine silhouette is taken, and 1 if that is under ``min_silhouette``.
     """
     usable, _ = eligible(docs.select(key, text_col), text_col)
-    rows = features(usable, text_col).select(key, "features").persist()
+    rows = features(usable, text_col).select(key, "features")
+    rows = rows.checkpoint() if docs.sparkSession.conf.get("spark.checkpoint.dir", None) else rows  # read by each round
     n = rows.count()
     if n < 3 and k is None or n < 2:
         k = 1

@@ -59,10 +59,10 @@ def build_corpus(given: DataFrame, index: DataFrame, wanted: DataFrame, key: str
 
 
 def first_wins(rows: DataFrame, keys: list[Column], order: list[Column]) -> DataFrame:
-    """One row for each key: the first in the order."""
-    named = rows.withColumns({f"_k{i}": k for i, k in enumerate(keys)})
-    at = W.partitionBy(*[f"_k{i}" for i in range(len(keys))]).orderBy(*order)
-    return named.withColumn("_n", F.row_number().over(at)).where("_n = 1").drop("_n", *[f"_k{i}" for i in range(len(keys))])
+    """One row for each key: the first in the order (ascending, nulls first). Summed up before it moves, so a hot key is no burden."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
+    best = rows.groupBy(*[k.alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.min_by(whole, F.struct(*order)).alias("_best"))
+    return best.select("_best.*")
 
 
 def corpus_stats(documents: DataFrame, by: list[str], size: str, ext: str) -> DataFrame:
@@ -76,7 +76,9 @@ def corpus_stats(documents: DataFrame, by: list[str], size: str, ext: str) -> Da
 
 def upsert_latest(old: DataFrame, new: DataFrame, key: str, at: str, tie: str) -> DataFrame:
     """The library after a merge: for each key the row with the latest time, then the greatest tie-breaker."""
-    return first_wins(old.unionByName(new), [F.col(key)], [F.desc(at), F.desc(tie)])
+    rows = old.unionByName(new)
+    whole = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
+    return rows.groupBy(F.col(key).alias("_k")).agg(F.max_by(whole, F.struct(at, tie)).alias("_best")).select("_best.*")
 
 
 def reconcile(index: DataFrame, listing: DataFrame, key: str) -> DataFrame:

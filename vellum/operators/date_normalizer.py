@@ -112,9 +112,10 @@ def normalized_text(text: Column, fmt: str = "YYYY-MM-DD", day_first: bool = Tru
     return let(find_dates(text, fmt, day_first), lambda found: replace_spans(text, found, lambda s: s["normalized"]))
 
 
-def normalize_dates(docs: DataFrame, text_col: str = "text", fmt: str = "YYYY-MM-DD", day_first: bool = True, limit: int = 1000) -> DataFrame:
-    """``docs`` with dates (the first ``limit``) and normalized_text, in which just these are replaced. Narrow."""
-    rows = docs.withColumn("dates", F.slice(find_dates(F.col(text_col), fmt, day_first), 1, limit))
+def normalize_dates(docs: DataFrame, text_col: str = "text", fmt: str = "YYYY-MM-DD", day_first: bool = True, limit: int | None = None) -> DataFrame:
+    """``docs`` with dates (all, or the first ``limit``) and normalized_text, in which just these are replaced. Narrow."""
+    found = find_dates(F.col(text_col), fmt, day_first)
+    rows = docs.withColumn("dates", found if limit is None else F.slice(found, 1, limit))
     return rows.withColumn("normalized_text", replace_spans(F.col(text_col), F.col("dates"), lambda s: s["normalized"]))
 
 

@@ -29,31 +29,38 @@ def segments(text: Column, mode: str = "document") -> Column:
     return F.filter(F.transform(parts, strip), lambda s: s != "")
 
 
+_LETTERS = "a-zà-ÿœ\u0600-\u06FF"
+
+
 def scores(text: Column) -> Column:
-    """array of (lang, hits, total): how many of the text's words each language's function words are, and all of them are."""
+    """array of (lang, hits, total): how many of the text's words each language's function words are, and all of them are.
 
-    def hits(words: Column, own: list[str]) -> Column:
-        return F.size(F.filter(words, lambda w: w.isin(*own)))
+    One scan for each language: a function word between characters that are no letters.
+    """
 
-    def by_language(words: Column) -> Column:
-        return F.array(*[F.struct(F.lit(lang).alias("lang"), hits(words, own).alias("hits")) for lang, own in STOP_WORDS.items()])
+    def by_language(lower: Column) -> Column:
+        found = [(lang, rf"(?<![{_LETTERS}])(?:{'|'.join(own)})(?![{_LETTERS}])") for lang, own in STOP_WORDS.items()]
+        return F.array(*[F.struct(F.lit(lang).alias("lang"), F.regexp_count(lower, F.lit(p)).alias("hits")) for lang, p in found])
 
     def totalled(found: Column) -> Column:
         total = F.aggregate(found, F.lit(0), lambda acc, x: acc + x.hits)
         return F.transform(found, lambda x: F.struct(x.lang.alias("lang"), x.hits.alias("hits"), total.alias("total")))
 
-    return let(let(F.split(F.lower(text), r"[^a-zà-ÿœ؀-ۿ]+", -1), by_language), totalled)
+    return let(let(F.lower(text), by_language), totalled)
 
 
 def detect_languages(
     docs: DataFrame, mode: str = "document", text_col: str = "text", key: str = "doc_id", min_probability: float = 0.1, max_languages: int = 5
 ) -> DataFrame:
-    """key, lang, probability, rank. Segments with under three ASCII letters don't count; a document without any language is
-    "unknown" with probability 0. Ties go by language code."""
-    parts = docs.select(key, F.posexplode_outer(segments(F.col(text_col), mode)).alias("pos", "segment"))
-    scored = F.when(F.length(F.regexp_replace("segment", "[^a-zA-Z]", "")) >= 3, scores(F.col("segment")))
-    each = parts.select(key, F.explode(scored).alias("x"))
-    means = each.where("x.hits > 0").groupBy(key, F.col("x.lang").alias("lang")).agg(F.round(F.avg(F.col("x.hits") / F.col("x.total")), 4).alias("probability"))
+    """key, lang, probability, rank. Segments with under three ASCII letters don't count; where no segment shows a language, the whole
+    text is judged, whatever its letters; a document without any language is "unknown" with probability 0. Ties go by language code."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    worth = F.filter(segments(text, mode), lambda s: F.length(F.regexp_replace(s, "[^a-zA-Z]", "")) >= 3)
+    each = docs.select(key, text.alias("_text"), F.transform(worth, scores).alias("_each"))
+    shown = F.exists("_each", lambda found: F.exists(found, lambda x: x.hits > 0))
+    all_ = F.when(shown, F.col("_each")).otherwise(F.array(scores(F.col("_text"))))
+    rows = each.select(key, F.explode(F.flatten(all_)).alias("x"))
+    means = rows.where("x.hits > 0").groupBy(key, F.col("x.lang").alias("lang")).agg(F.round(F.avg(F.col("x.hits") / F.col("x.total")), 4).alias("probability"))
     ranked = means.where(F.col("probability") >= min_probability)
     ranked = ranked.withColumn("rank", F.row_number().over(W.partitionBy(key).orderBy(F.desc("probability"), "lang"))).where(F.col("rank") <= max_languages)
     missing = docs.select(key).distinct().join(ranked.select(key), key, "left_anti")

@@ -16,7 +16,7 @@ from vellum.functions.jsontext import parse_reply
 from vellum.functions.text import sentences, strip
 
 Provider = Callable[[Column], Column]
-#: Characters of a text that a prompt holds; part of what the operators mean.
+#: Characters of a text that a model with a short context can be given, as ``cap``; by default a prompt holds the whole text.
 CAPS = {"extract": 12_000, "gap": 8_000, "sentiment": 8_000, "critic": 2_000}
 STYLES = {"short": 1, "long": 5, "bullet_points": 3, "executive": 2}
 
@@ -26,6 +26,10 @@ def offline(prompt: Column) -> Column:
     return F.when(prompt.isNotNull(), F.lit("{}"))
 
 
+def _capped(text_col: str, cap: int | None) -> Column:
+    return F.col(text_col) if cap is None else F.substring(text_col, 1, cap)
+
+
 def batched(call: Callable[[list[str]], list[str]]) -> Provider:
     """A provider from a function on lists of prompts; one call for each Arrow batch, across documents."""
 
@@ -37,12 +41,12 @@ def batched(call: Callable[[list[str]], list[str]]) -> Provider:
     return run
 
 
-def semantic_extract(docs: DataFrame, fields: list[str], provider: Provider = offline, text_col: str = "text") -> DataFrame:
+def semantic_extract(docs: DataFrame, fields: list[str], provider: Provider = offline, text_col: str = "text", cap: int | None = None) -> DataFrame:
     """``docs`` with extracted: map of key to (value, confidence, found). Narrow.
 
     A value that is null or blank has confidence 0; the model's own confidence holds otherwise, .9 if it gives none.
     """
-    asked = F.concat(F.lit("Extract these fields as JSON: " + ", ".join(fields) + "\n\n"), F.substring(text_col, 1, CAPS["extract"]))
+    asked = F.concat(F.lit("Extract these fields as JSON: " + ", ".join(fields) + "\n\n"), _capped(text_col, cap))
     schema = "struct<" + ",".join(f"`{f}`:struct<value:string,confidence:double>" for f in fields) + ">"
     rows = docs.withColumn("_r", parse_reply(provider(asked), schema))
 
@@ -54,9 +58,9 @@ def semantic_extract(docs: DataFrame, fields: list[str], provider: Provider = of
     return rows.withColumn("extracted", F.create_map(*[x for f in fields for x in (F.lit(f), one(f))])).drop("_r")
 
 
-def sentiment(docs: DataFrame, provider: Provider = offline, text_col: str = "text") -> DataFrame:
+def sentiment(docs: DataFrame, provider: Provider = offline, text_col: str = "text", cap: int | None = None) -> DataFrame:
     """``docs`` with sentiment (polarity, score, confidence) and summary; neutral and 0 by default. Narrow."""
-    asked = F.concat(F.lit("Rate the sentiment as JSON.\n\n"), F.substring(text_col, 1, CAPS["sentiment"]))
+    asked = F.concat(F.lit("Rate the sentiment as JSON.\n\n"), _capped(text_col, cap))
     rows = docs.withColumn("_r", parse_reply(provider(asked), "struct<polarity:string,score:double,confidence:double,summary:string>"))
     found = F.struct(
         F.coalesce("_r.polarity", F.lit("neutral")).alias("polarity"),

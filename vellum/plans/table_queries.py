@@ -84,10 +84,6 @@ def _queries(spark, sf_dir):
     return load(spark, sf_dir, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
 
 
-def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.top_k(load(spark, sf_dir, "embeddings"), _queries(spark, sf_dir).where("query_id = 0"), 5).select("vec_id", "score", "rank")
-
-
 def vector_topk_per_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.top_k(load(spark, sf_dir, "embeddings"), _queries(spark, sf_dir), 5)
 
@@ -151,8 +147,13 @@ def tfidf_top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def topic_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    assigned = clustering.cluster_topics(load(spark, sf_dir, "benchmark"), "item_id", k=3)
-    return clustering.cluster_summary(assigned, "item_id")
+    return clustering.cluster_summary(clustering.cluster_topics(load(spark, sf_dir, "documents"), k=4))
+
+
+def cluster_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    assigned = clustering.cluster_topics(docs, k=4).select("doc_id", "cluster")
+    return clustering.top_terms(clustering.tfidf(docs, "doc_id").join(assigned, "doc_id"), "cluster")
 
 
 def centroid_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -241,8 +242,8 @@ def chunk_source_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _NAMES = (
     "router_route router_counts branch_merge upload_validation batch_validation corpus_stats corpus_dedup_first corpus_union library_upsert_latest "
-    "library_list_recent library_reconcile vector_topk vector_topk_per_query vector_norms knn_label_vote positional_chunk_join qa_retrieve qa_prompt "
-    "prompt_templates critic_embedding_claims critic_score tfidf_top_terms topic_clusters centroid_similarity cluster_representatives feedback_validate "
+    "library_list_recent library_reconcile vector_topk_per_query vector_norms knn_label_vote positional_chunk_join qa_retrieve qa_prompt "
+    "prompt_templates critic_embedding_claims critic_score tfidf_top_terms topic_clusters cluster_keywords centroid_similarity cluster_representatives feedback_validate "
     "feedback_signal for_each_counts table_shape workflow_chunks workflow_run_report extension_order_revenue extension_rollup extension_top_orders "
     "extension_event_windows extension_event_sessions chunk_source_counts"
 )

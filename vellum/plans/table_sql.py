@@ -54,7 +54,6 @@ SELECT doc_id AS file_id, CASE WHEN doc_id % 3 = 0 OR doc_id % 7 <> 1 THEN 'foun
     "library_list_recent": "SELECT event_id, ts, event_type FROM events ORDER BY ts DESC, event_id LIMIT 100",
     "library_reconcile": """
 SELECT doc_id, CASE WHEN doc_id % 3 > 0 AND doc_id % 5 > 0 THEN 'kept' WHEN doc_id % 5 > 0 THEN 'adopted' ELSE 'dropped' END AS state FROM documents WHERE doc_id % 3 > 0 OR doc_id % 5 > 0""",
-    "vector_topk": f"WITH {_TOPK} SELECT vec_id, score, rank FROM ranked WHERE rank <= 5 AND query_id = 0",
     "vector_topk_per_query": f"WITH {_TOPK} SELECT query_id, vec_id, score, rank FROM ranked WHERE rank <= 5",
     "vector_norms": "SELECT vec_id, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm, len(embedding)::INT AS dimension FROM embeddings",
     "knn_label_vote": f"""

@@ -106,6 +106,35 @@ def mask_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.md5("masked_text").alias("masked_md5"), F.col("total_masked").cast("long").alias("total_masked"))
 
 
+def pii_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spans(spark, sf_dir, "FINANCIAL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("end") - F.col("start")).alias("chars"))
+
+
+def pii_phones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spans(spark, sf_dir, "PHONE").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("first_phone"))
+
+
+def mask_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = masker.mask_text(_docs(spark, sf_dir))
+    return rows.select("doc_id", F.md5("masked_text").alias("masked_md5"), "total_masked", F.to_json("by_type").alias("by_type"))
+
+
+def clean_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = text_cleaner.clean_text(_dirty(_docs(spark, sf_dir)))
+    return rows.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), F.sum("original_length").alias("original"), F.sum("cleaned_length").alias("cleaned"), F.max("chars_removed").alias("most_removed"))
+
+
+def gap_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return regex_extractor.gap_fields(_docs(spark, sf_dir), CHECKS).where("status = 'GAP'").select("doc_id", "field", "severity")
+
+
+def spell_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names torn in two, put together again."""
+    text = F.concat(F.lit("from "), F.substring(F.lower("n_name"), 1, 3), F.lit(" "), F.substr(F.lower("n_name"), F.lit(4)), F.lit(" to x"))
+    known = {r.n: 1 for r in load(spark, sf_dir, "nation").where("NOT contains(n_name, ' ')").select(F.lower("n_name").alias("n")).collect()}  # 25 rows
+    return text_corrector.correct_text(load(spark, sf_dir, "nation").select("n_nationkey", text.alias("text")), known, max_distance=0).drop("text")
+
+
 RULES = [
     Pattern("email", r"[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}", category="contact", required=True),
     Pattern("secret", r"token = \"([0-9a-f]+)\"", group=1, category="secret", exact_length=40),
@@ -227,7 +256,7 @@ def element_type_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _NAMES = (
     "splitter_chunks splitter_stats index_chunks_trimmed clean_text clean_upper strip_special_stats digit_fold dates_numeric_normalized "
-    "date_format_variants dates_by_month_name pii_emails pii_ipv4 pii_email_offsets pii_spans_by_type mask_emails regex_extract_fields "
+    "date_format_variants dates_by_month_name pii_emails pii_ipv4 pii_email_offsets pii_spans_by_type pii_cards pii_phones mask_text clean_stats gap_missing spell_merge mask_emails regex_extract_fields "
     "regex_extract_stats gap_score gap_report gap_invoices language_rank language_segments claim_split line_overlap doc_compare spell_corrections "
     "edit_distance llm_json_recovery answer_parse translate_identity sentiment_defaults semantic_extract summarize_first ocr_line_aggregate element_type_summary"
 )

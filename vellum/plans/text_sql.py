@@ -65,9 +65,13 @@ def _languages(mode: str) -> str:
     return rf"""
 langs AS (SELECT * FROM (VALUES {words}) AS t(lang, own)),
 segs AS (SELECT doc_id, row_number() OVER () AS pos, {_strip('seg')} AS seg FROM (SELECT doc_id, {parts} AS seg FROM documents)),
-hits AS (
+worth AS (
   SELECT doc_id, pos, lang, len(list_filter(regexp_split_to_array(lower(seg), '[^a-zà-ÿœ\x{{0600}}-\x{{06FF}}]+'), lambda w: list_contains(own, w))) AS hits
   FROM segs, langs WHERE length(regexp_replace(seg, '[^a-zA-Z]', '', 'g')) >= 3
+), hits AS (
+  SELECT doc_id, pos, lang, hits FROM worth UNION ALL
+  SELECT doc_id, 0, langs.lang, len(list_filter(regexp_split_to_array(lower(text), '[^a-zà-ÿœ\x{{0600}}-\x{{06FF}}]+'), lambda w: list_contains(own, w)))
+  FROM documents, langs WHERE doc_id NOT IN (SELECT doc_id FROM worth WHERE hits > 0)
 ), shares AS (SELECT doc_id, lang, hits, hits / sum(hits) OVER (PARTITION BY doc_id, pos) AS p FROM hits),
 means AS (SELECT doc_id, lang, round(avg(p), 4) AS probability FROM shares WHERE hits > 0 GROUP BY doc_id, lang),
 ranked AS (
@@ -125,6 +129,14 @@ WITH {_GAPS}, s AS (
          coalesce(string_agg(field, ',' ORDER BY field) FILTER (WHERE status = 'GAP' AND severity = 'CRITICAL'), '') AS missing
   FROM fields GROUP BY doc_id)
 SELECT *, round(matched * 100 / total_fields, 1) AS percentage, round(matched * 100 / total_fields, 1) / 100 >= 0.4 AS threshold_exceeded FROM s""",
+    "gap_missing": f"WITH {_GAPS} SELECT doc_id, field, severity FROM fields WHERE status = 'GAP'",
+    "clean_stats": f"""
+WITH d AS (SELECT lang, {_DIRTY} AS text FROM documents), c AS (SELECT lang, length(text) AS n, length({_clean('text')}) AS m FROM d)
+SELECT lang, count(*) AS docs, sum(n)::BIGINT AS original, sum(m)::BIGINT AS cleaned, max(n - m) AS most_removed FROM c GROUP BY lang""",
+    "spell_merge": """
+WITH t AS (SELECT n_nationkey, lower(n_name) AS n FROM nation)
+SELECT n_nationkey, CASE WHEN contains(n, ' ') THEN 'from ' || n[1:3] || ' ' || n[4:] || ' to x' ELSE 'from ' || n || ' to x' END AS corrected_text,
+       CASE WHEN contains(n, ' ') THEN 0 ELSE 1 END AS n_changes FROM t""",
     "gap_report": f"WITH {_GAPS} SELECT field, severity, status, method, count(*) AS n FROM fields GROUP BY ALL",
     "gap_invoices": """
 WITH s AS (SELECT 2 + (o_orderstatus <> 'F')::BIGINT AS matched FROM orders)
@@ -152,7 +164,7 @@ SELECT conv_id, turn, CASE WHEN turn % 3 = 2 THEN 'none' ELSE role END AS found_
     "answer_parse": "SELECT conv_id, turn, role AS answer, CASE WHEN conv_id % 2 = 0 THEN 'medium' ELSE 'low' END AS confidence FROM conversations",
     "translate_identity": "SELECT doc_id, md5(text) AS text_md5 FROM documents",
     "sentiment_defaults": "SELECT doc_id, 'neutral' AS polarity, 0.0::DOUBLE AS score, 0.0::DOUBLE AS confidence, '' AS summary FROM documents",
-    "semantic_extract": "SELECT doc_id, (42 + least(length(text), 12000))::VARCHAR AS size, 0.9::DOUBLE AS confidence, false AS found FROM documents",
+    "semantic_extract": "SELECT doc_id, (42 + length(text))::VARCHAR AS size, 0.9::DOUBLE AS confidence, false AS found FROM documents",
     "ocr_line_aggregate": r"""
 WITH k AS (SELECT conv_id, turn, text, (turn % 7) / 10 AS c FROM conversations WHERE regexp_matches(text, '\S'))
 SELECT conv_id, md5(string_agg(text, chr(10) ORDER BY turn, text)) AS text, count(*) AS total_lines, round(avg(c), 4) AS avg_confidence,

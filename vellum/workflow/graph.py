@@ -208,9 +208,11 @@ def compose(graph: Graph, registry: dict[str, NodeType], inputs: dict[str, dict[
             control = [e for e in graph.edges if e.target == name and e.kind == "control" and runs[e.source].outputs]
             conditions = [e.condition for e in control if e.condition is not None]
             if conditions:
-                given = {p: df.where(F.col("route").isin(*conditions)) if "route" in df.columns else df for p, df in given.items()}
+                given = {p: _branch(df, [runs[e.source] for e in control], conditions) for p, df in given.items()}
             kind = registry[node.type]
             try:
+                if unrouted := [p for p, df in given.items() if df is None]:
+                    raise ValueError(f"{name}: what comes in at {', '.join(unrouted)} can't be told by route")
                 outputs = kind.run(given, kind.config(node.config))
                 run = NodeRun(name, level, "success", None, outputs, 0.0)
             except (ValueError, KeyError, RuntimeError) as x:
@@ -220,6 +222,21 @@ def compose(graph: Graph, registry: dict[str, NodeType], inputs: dict[str, dict[
     return runs
 
 
+#: Columns by which rows that come past a router are matched with its decisions.
+KEYS = ("doc_id", "file_id", "path")
+
+
+def _branch(df: DataFrame, routers: list[NodeRun], conditions: list[str]) -> DataFrame | None:
+    """The rows of a branch: by their own ``route``, or by that which a router gave to the rows with the same key; None if neither is there."""
+    if "route" in df.columns:
+        return df.where(F.col("route").isin(*conditions))
+    for decided in (out for run in routers for out in run.outputs.values() if "route" in out.columns):
+        key = next((k for k in KEYS if k in df.columns and k in decided.columns), None)
+        if key is not None:
+            return df.join(decided.where(F.col("route").isin(*conditions)).select(key), key, "left_semi")
+    return None
+
+
 def report(runs: dict[str, NodeRun]) -> dict[str, Any]:
     """Status counts and the whole run's status: failed if any node failed; skipped is no failure."""
     statuses = [r.status for r in runs.values()]
