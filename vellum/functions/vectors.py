@@ -15,9 +15,9 @@ def norm(a: Column) -> Column:
     return F.sqrt(F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine similarity, 0 if either norm is 0."""
-    both = norm(a) * norm(b)
+def cosine(a: Column, b: Column, norm_a: Column | None = None, norm_b: Column | None = None) -> Column:
+    """Cosine similarity, 0 if either norm is 0. Norms that are known already aren't computed for each pair again."""
+    both = (norm(a) if norm_a is None else norm_a) * (norm(b) if norm_b is None else norm_b)
     return F.when(both > 0, dot(a, b) / both).otherwise(F.lit(0.0))
 
 

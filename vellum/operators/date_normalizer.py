@@ -57,30 +57,44 @@ def _month(name: Column) -> Column:
     return out
 
 
+#: One scan of a matched string: its parts by form (year first, day or month first, day and month's name, month's name and day), then the time.
+_FORMS = (
+    r"(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})(?!\d)",
+    r"(\d{1,2})[-/.](\d{1,2})[-/.](\d{4}|\d{2})(?!\d)",
+    rf"(\d{{1,2}})(?:st|nd|rd|th|er|\.)?\s+(?:de\s+)?({'|'.join(_NAMES)})\.?,?\s+(?:de\s+)?(\d{{4}})",
+    rf"({'|'.join(_NAMES)})\.?\s+(\d{{1,2}})(?:st|nd|rd|th)?,?\s+(\d{{4}})",
+)
+_CLOCK = r"\s*T?(\d{1,2}):(\d{2})(?::(\d{2}))?\s*(am|pm|ص|م|صباحاً|صباحا|مساءً|مساء)?$"
+_PARTS = rf"(?isU)^(?:{'|'.join(_FORMS)})(?:.*?{_CLOCK})?.*$"
+_CUT = "\u0001"
+
+
 def parse(value: Column, day_first: bool = True) -> Column:
     """(date, hour, minute, second, has_time) of a matched string; null if it is no date."""
-    g = lambda pattern, k: F.nullif(F.regexp_extract(value, "(?iU)" + pattern, k), F.lit(""))
-    iso, dmy = r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})(?!\d)", r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4}|\d{2})(?!\d)"
-    names = "|".join(_NAMES)
-    word, us = rf"^(\d{{1,2}})(?:st|nd|rd|th|er|\.)?\s+(?:de\s+)?({names})\.?,?\s+(?:de\s+)?(\d{{4}})", rf"^({names})\.?\s+(\d{{1,2}})(?:st|nd|rd|th)?,?\s+(\d{{4}})"
-    first, second = g(dmy, 1).cast("int"), g(dmy, 2).cast("int")
-    short = g(dmy, 3)
-    year2 = F.when(F.length(short) == 2, short.cast("int") + F.when(short.cast("int") < 70, 2000).otherwise(1900)).otherwise(short.cast("int"))
+    parts = F.split(F.regexp_replace(value, _PARTS, _CUT.join(f"${k}" for k in range(1, 17))), _CUT, -1)
+    return let(parts, lambda p: _read(p, day_first))
+
+
+def _read(parts: Column, day_first: bool) -> Column:
+    g = lambda k: F.nullif(F.get(parts, F.lit(k - 1)), F.lit(""))
+    # A string that isn't of any form stays whole, as one part.
+    n = lambda k: F.when(F.size(parts) == 16, g(k).cast("int"))
+    first, second, short = n(4), n(5), n(6)
+    year2 = F.when(F.length(g(6)) == 2, short + F.when(short < 70, 2000).otherwise(1900)).otherwise(short)
     swap = F.when(F.lit(day_first), second > 12).otherwise(first <= 12)
-    year = F.coalesce(g(iso, 1).cast("int"), year2, g(word, 3).cast("int"), g(us, 3).cast("int"))
-    month = F.coalesce(g(iso, 2).cast("int"), F.when(swap, first).otherwise(second), _month(g(word, 2)), _month(g(us, 1)))
-    day = F.coalesce(g(iso, 3).cast("int"), F.when(swap, second).otherwise(first), g(word, 1).cast("int"), g(us, 2).cast("int"))
-    time = r"\s*T?(\d{1,2}):(\d{2})(?::(\d{2}))?\s*(am|pm|ص|م|صباحاً|صباحا|مساءً|مساء)?$"
-    hour, half = g(time, 1).cast("int"), F.lower(g(time, 4))
+    year = F.coalesce(n(1), year2, n(9), n(12))
+    month = F.coalesce(n(2), F.when(swap, first).otherwise(second), _month(F.coalesce(g(8), g(10))))
+    day = F.coalesce(n(3), F.when(swap, second).otherwise(first), n(7), n(11))
+    hour, half = n(13), F.lower(g(16))
     late = F.coalesce(half.isin("pm", "م", "مساءً", "مساء"), F.lit(False))
     early = F.coalesce(half.isin("am", "ص", "صباحاً", "صباحا"), F.lit(False))
     hour = F.when(late & (hour < 12), hour + 12).when(early & (hour == 12), 0).otherwise(hour)
     return F.struct(
         F.try_make_timestamp(year, month, day, F.lit(0), F.lit(0), F.lit(0)).cast("date").alias("date"),
         F.coalesce(hour, F.lit(0)).alias("hour"),
-        F.coalesce(g(time, 2).cast("int"), F.lit(0)).alias("minute"),
-        F.coalesce(g(time, 3).cast("int"), F.lit(0)).alias("second"),
-        g(time, 1).isNotNull().alias("has_time"),
+        F.coalesce(n(14), F.lit(0)).alias("minute"),
+        F.coalesce(n(15), F.lit(0)).alias("second"),
+        n(13).isNotNull().alias("has_time"),
     )
 
 

@@ -51,8 +51,10 @@ def top_k(
     out = None
     for b in range(blocks):
         part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64(query_key), F.lit(blocks)) == b)
-        score = F.round(vectors.cosine(F.col(vector), F.col(query_vector)), 4)
-        scored = store.select(key, vector).crossJoin(F.broadcast(part.select(query_key, query_vector))).select(query_key, key, score.alias("score"))
+        score = F.round(vectors.cosine(F.col(vector), F.col(query_vector), F.col("_n"), F.col("_m")), 4)
+        rows = store.select(key, vector, vectors.norm(F.col(vector)).alias("_n"))
+        asked = part.select(query_key, query_vector, vectors.norm(F.col(query_vector)).alias("_m"))
+        scored = rows.crossJoin(F.broadcast(asked)).select(query_key, key, score.alias("score"))
         best = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
         out = best if out is None else out.unionByName(best)
     return out
