@@ -18,7 +18,7 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = load(spark, sf_dir, "labels").where("quality = 1")
-    rows = quality.judge(load(spark, sf_dir, "documents").select("doc_id", "text"), trusted)
+    rows = quality.judge(load(spark, sf_dir, "documents"), trusted, keep=["doc_id"])
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
     return rows.select("doc_id", *[F.col(f"_{c}").alias(c) for c in names])
 
