@@ -35,52 +35,56 @@ _BREAKS = r"[\x20\x09-\x0D]+"
 
 
 def _hashed(docs: DataFrame, id_col: str, text_col: str, alone: int | None = None) -> DataFrame:
-    """(id, row keys, lines: array of (place among all lines, hash, digest, with ``alone`` whether it is that long))."""
+    """(id, row keys, and of the lines: place among all lines, hash, digest in hex, with ``alone`` whether it is that long)."""
 
     def more(s: Column) -> list[Column]:
-        return [] if alone is None else [(F.size(F.filter(F.split(s.x, _BREAKS, -1), lambda w: w != "")) >= alone).alias("w")]
+        return [] if alone is None else [(F.size(F.filter(F.split(s.x, _BREAKS, -1), lambda w: w != "")) >= alone).alias("long")]
 
     key, key2 = row_keys(id_col, text_col)
     numbered = F.transform(F.split(F.col(f"`{text_col}`"), "\n", -1), lambda x, i: F.struct(i.alias("p"), x.alias("x")))
     lines = F.filter(numbered, lambda s: s.x.rlike(_WORD))
-    return docs.select(
-        F.col(f"`{id_col}`").alias("id"),
-        key.alias("key"),
-        key2.alias("key2"),
-        F.transform(lines, lambda s: F.struct(s.p.alias("p"), F.xxhash64(s.x).alias("h"), F.md5(s.x).alias("d"), *more(s))).alias("lines"),
-    )
+    hashed = F.transform(lines, lambda s: F.struct(s.p.alias("p"), F.xxhash64(s.x).alias("h"), F.md5(s.x).alias("d"), *more(s)))
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), key.alias("key"), key2.alias("key2"), hashed.alias("l"))
+    # A column of structs holds an array of each field.
+    return rows.select("id", "key", "key2", *[F.col(f"l.{c}").alias(c) for c in ("p", "h", "d", *["long"] * (alone is not None))])
 
 
 def _selected(hashed: DataFrame, w: int) -> DataFrame:
-    """A row for each selected line: (id, row keys, its hash, first place and digests of the lines around it, windows).
+    """A row for each selected line: (id, row keys, its hash, places and digests of the lines around it, windows).
 
-    ``around`` are the places of the lines in windows that selected it, ``digests`` theirs, 32 characters each; there
+    ``around`` are the places of the lines in windows that selected it, ``digests`` theirs, 16 bytes each; there
     are ``n`` such windows, one after the other.
     """
-    lines = F.col("lines")
+    h = F.col("h")
 
     def least(at: Column) -> Column:
         """Where the window from ``at`` on selects: the least hash, the rightmost of equal ones."""
-        return -F.array_min(F.transform(F.slice(lines, at + 1, F.lit(w)), lambda x, k: F.struct(x.h.alias("h"), (-(at + k)).alias("p"))))["p"]
+        if w > 3:
+            return -F.array_min(F.transform(F.slice(h, at + 1, F.lit(w)), lambda x, k: F.struct(x.alias("h"), (-(at + k)).alias("p"))))["p"]
+        best = at
+        for k in range(1, w):
+            best = F.when(F.get(h, at + k) <= F.get(h, best), at + k).otherwise(best)
+        return best
 
     def runs(chosen: Column) -> Column:
         """The windows from, to that selected the same line: what a line was selected by stands together."""
         begins = F.filter(F.sequence(F.lit(0), F.size(chosen) - 1), lambda i: (i == 0) | (F.get(chosen, i) != F.get(chosen, i - 1)))
         return let(begins, lambda b: F.transform(b, lambda i, k: F.struct(F.get(chosen, i).alias("s"), i.alias("lo"), (F.coalesce(F.get(b, k + 1), F.size(chosen)) - 1).alias("hi"))))
 
-    n = F.size(lines)
-    chosen = F.when(n >= w, F.transform(F.sequence(F.lit(0), n - w), least))
-    rows = hashed.select("id", "key", "key2", "lines", F.explode(let(chosen, lambda c: F.when(c.isNotNull(), runs(c)))).alias("r"))
-    part = F.slice(lines, F.col("r.lo") + 1, F.col("r.hi") - F.col("r.lo") + w)
+    n = F.size(h)
+    chosen = F.sequence(F.lit(0), n - w) if w == 1 else F.transform(F.sequence(F.lit(0), n - w), least)
+    rows = hashed.where(n >= w).select("id", "key", "key2", "p", "h", "d", F.explode(let(chosen, runs)).alias("r"))
+    first, size = F.col("r.lo") + 1, F.col("r.hi") - F.col("r.lo") + w
     return rows.select(
         "id",
         "key",
         "key2",
-        F.get(lines, F.col("r.s")).h.alias("f"),
-        F.transform(part, lambda s: s.p).alias("around"),
-        F.unhex(F.array_join(F.transform(part, lambda s: s.d), "")).alias("digests"),
-        (F.col("r.hi") - F.col("r.lo") + 1).alias("n"),
-    ).withColumn("w", F.lit(w))
+        F.get(h, F.col("r.s")).alias("f"),
+        F.slice("p", first, size).alias("around"),
+        F.unhex(F.array_join(F.slice("d", first, size), "")).alias("digests"),
+        (size - w + 1).alias("n"),
+        F.lit(w).alias("w"),
+    )
 
 
 def repeated_lines(docs: DataFrame, min_run: int = 2, id_col: str = "doc_id", text_col: str = "text", alone: int | None = None) -> DataFrame:
@@ -89,7 +93,8 @@ def repeated_lines(docs: DataFrame, min_run: int = 2, id_col: str = "doc_id", te
     hashed = scratch.write(_hashed(docs, id_col, text_col, alone), "hashes")
     chosen = _selected(hashed, min_run)
     if alone is not None and min_run > 1:
-        chosen = chosen.union(_selected(hashed.withColumn("lines", F.filter("lines", lambda s: s.w)), 1))
+        only = {c: F.filter(c, lambda x, i: F.get("long", i)) for c in ("p", "h", "d")}
+        chosen = chosen.union(_selected(hashed.withColumns(only), 1))
     often = chosen.groupBy("f").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("f")
     joined = chosen.join(redealt(often, "f", "g"), F.col("f") == F.col("g"))
     # Both ways from the fingerprint: each window that selected it, which is the lines before and after it that must match too.
