@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -353,7 +354,7 @@ def test_longest_matches(spark, docs, rows):
 def test_warc(spark, tmp_path):
     same_page = "<html>é</html>"
     data = [(i, f"http://{h}.example.com/p/{i % 7}?q#f", same_page if i % 3 == 0 else f"<p>{i}" * 50) for i, h in enumerate(["a", "WWW.b", "c"] * 300)]
-    data += [(1000, None, None), (1001, "not a url", ""), (None, "http://x.org", same_page), (1002, 'http://e.org/"\\\n', "z")]
+    data += [(1000, None, None), (1003, "-", "dash"), (1001, "not a url", ""), (None, "http://x.org", same_page), (1002, 'http://e.org/"\\\n', "z")]
     pages = spark.createDataFrame(data, "page_id long, url string, html string")
     folder = f"file://{tmp_path}/w"
     warc.write_archive(pages, folder)
@@ -379,6 +380,42 @@ def test_warc(spark, tmp_path):
     assert warc.read_captures(pages.limit(0), none).count() == 0
 
 
+def test_warc_parts_and_repeated_rows(spark, tmp_path):
+    data = [(i % 80, f"http://h{i % 7}.org/{i % 80}", f"page {i % 50}") for i in range(240)]
+    pages, folder = spark.createDataFrame(data, "page_id long, url string, html string"), f"file://{tmp_path}/w"
+    warc.write_archive(pages, folder, file_bytes=2000)
+    assert warc.open_index(spark, folder).count() > 12
+    out = warc.read_captures(pages, folder).collect()
+    same([(r.page_id, r.url, r.payload_bytes) for r in out], [(i, u, len(h)) for i, u, h in data])
+
+
+def test_capture_index_of_many_blocks():
+    part, files = warc._Part(), {}
+    lines = sorted((f"org,h{i % 40})/{i % 9}", i % 500) for i in range(4 * warc.BLOCK_LINES + 7))
+    for k, (key, page) in enumerate(lines):
+        part.add(key, page, 10, f"d{k}")
+
+    class Out(bytearray):
+        def write(self, data):
+            self.extend(data)
+
+    class Files:
+        def read(self, name, at, n):
+            return files[name][at : at + n]
+
+        def size(self, name):
+            return len(files[name])
+
+    out = Out()
+    part.write_blocks(out)
+    files |= {"p.cdx": bytes(out), "p.dir": json.dumps(part.directory).encode()}
+    index = warc.CaptureIndex(Files(), "p")
+    assert len(index.directory) == 5
+    for key, page in set(lines):
+        assert [x[4] for x in index.find(key, page)] == [f"d{k}" for k, x in enumerate(lines) if x == (key, page)]
+    assert index.find("org,h1)/0", 7000) == [] and index.find("", 0) == [] and index.find("z", 1) == []
+
+
 def test_capture_keys():
     keys = {
         "https://WWW.Example.com:443/a?b#c": "com,example,www)/a?b",

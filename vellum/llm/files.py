@@ -38,6 +38,15 @@ class Ranges:
     def __init__(self, folder: str, keep: int = 16):
         self.system, self.path = open_folder(folder)
         self.keep, self.open = keep, {}
+        self.ahead: tuple[str, int, bytes] = ("", 0, b"")
+
+    def read_on(self, name: str, at: int, size: int, ahead: int = 1 << 20) -> bytes:
+        """A range like that of read(), where the next ones will follow soon: they are read together."""
+        held, begin, data = self.ahead
+        if held != name or not begin <= at <= at + size <= begin + len(data):
+            begin, data = at, self.read(name, at, max(size, ahead))
+            self.ahead = (name, at, data)
+        return data[at - begin : at - begin + size]
 
     def read(self, name: str, at: int, size: int) -> bytes:
         file = self.open.pop(name, None) or self.system.open_input_file(f"{self.path}/{name}")

@@ -11,7 +11,7 @@ Sequences of equal remaining capacity are kept as ranges, and a length splits on
 some capacity squared entries, and a few thousand in practice; its size is checked before it is sent out. On the executors, pieces are
 numbered within their length, bucket by bucket, and look up their range by binary search.
 
-Edge cases. Null and empty texts are the end token only. Repeated rows are packed each. An empty table gives an
+Edge cases. Null and empty texts are the end token only. A very long text is many pieces, all but the last of them full. Repeated rows are packed each. An empty table gives an
 empty result. Any other columns of ``documents`` are left out.
 """
 
@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from vellum.llm.common import Scratch, dense_rank_by_bucket
 from vellum.llm.tokens import batches_of, encoder
 
-BUCKETS = 256
+#: Pieces of one length are numbered in buckets: so many at least, and of so many pieces each.
+BUCKETS, BUCKET_ROWS = 256, 200_000
 PLAN_LIMIT = 4_000_000
 
 
@@ -145,7 +146,8 @@ def pack(pieces: DataFrame, capacity: int = 2048, order: tuple[str, ...] = ("doc
         raise RuntimeError(f"a plan of {len(entries)} entries is over the limit of {PLAN_LIMIT}")
     rows = np.array(sorted(entries), dtype=np.int64).reshape(-1, 5)
     shared = pieces.sparkSession.sparkContext.broadcast(rows)
-    bucket = F.pmod(F.xxhash64(*order), F.lit(BUCKETS))
+    buckets = max(BUCKETS, -(-max(histogram.values(), default=0) // BUCKET_ROWS))
+    bucket = F.pmod(F.xxhash64(*order), F.lit(buckets))
     numbered = dense_rank_by_bucket(pieces, ["length"], bucket, [F.col(c) for c in order], "_number")
     names = pieces.columns
 

@@ -4,7 +4,8 @@ Records are gzip members of WARC files, in the order of their capture key: the U
 The index has two levels. Lines (key, page id, file, offset, length, digest), sorted by key, are packed into compressed
 blocks of BLOCK_LINES; the directory holds each block's first line, its offset and length. A lookup binary-searches
 the directory, reads one block by range, binary-searches it, and reads the record by range. Directory and blocks exist once
-for each part of the key space, and the list of parts is itself sorted, so nothing of the index is ever read whole.
+for each part of the key space, and the list of parts is itself sorted, so nothing of the index is ever read whole. A task begins
+another part after FILE_BYTES. Look-ups come in key order, so records that follow each other are read together.
 
 Payloads. Of captures with equal payloads the one with the greatest page id is a response; the others are revisit records
 without payload that refer to it. Payloads under ``min_payload`` bytes are always responses. The greatest id is found by a summed-up count of
@@ -12,7 +13,7 @@ SHA-1 digests and SHA-256 digests; joins by digest deal out both sides anew, so
 
 Edge cases. A null html is an empty payload, a null URL has key "-". Rows without a page id are no captures of their own: they are
 archived with id -1 and lose to any other. Rows with equal page id and payload are written each, of the same type
-of record. An empty table gives an archive without parts. Extra columns are left out.
+of record. An empty table gives an archive without parts. A very long payload is one record. Extra columns are left out.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ from vellum.llm.common import Scratch, partitions, redealt
 from vellum.llm.files import Ranges, write_whole
 
 BLOCK_LINES = 512
+#: Bytes of an archive file after which a task begins another part.
+FILE_BYTES = 1 << 30
 _URL = re.compile(r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)(?::(\d+))?([^#]*)")
 
 
@@ -61,7 +64,8 @@ def record(kind: str, page: int, url: str | None, payload: bytes, size: int, dig
         f"WARC-Type: {kind}",
         f"WARC-Record-ID: <urn:vellum:page:{page}>",
         "WARC-Date: 2000-01-01T00:00:00Z",
-        f"WARC-Target-URI: {json.dumps(url)[1:-1] if url is not None else '-'}",
+        # A null URL is "-"; a URL of that name is written with its character escaped.
+        f"WARC-Target-URI: {'-' if url is None else '\\u002d' if url == '-' else json.dumps(url)[1:-1]}",
         f"WARC-Payload-Digest: sha1:{digest}",
         f"X-Payload-Bytes: {size}",
         "Content-Type: text/html; charset=utf-8",
@@ -107,7 +111,7 @@ def _index_key(url: Column):
 
 
 def write_archive(
-    pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_payload: int = 0, level: int = 6
+    pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_payload: int = 0, level: int = 6, file_bytes: int = FILE_BYTES
 ) -> None:
     """Writes part-*.warc.gz, part-*.cdx (blocks), part-*.dir (directory) and the manifest, the sorted list of parts."""
     spark = pages.sparkSession
@@ -117,31 +121,38 @@ def write_archive(
     ranged = rows.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order, F.xxhash64("html"))
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = f"part-{TaskContext.get().partitionId():06d}"
-        held = _Part()
-        with write_whole(folder, f"{part}.warc.gz") as out:
-            for batch in batches:
-                for page, url, html, target, key in zip(*(batch.column(c) for c in ("page", "url", "html", "target", "key")), strict=True):
-                    page, payload, target = page.as_py(), html.as_py().encode(), target.as_py()
+        task, rows, no = TaskContext.get().partitionId(), _rows(batches), 0
+        row = next(rows, None)
+        while row is not None:
+            part, held = f"part-{task:06d}-{no:06d}", _Part()
+            with write_whole(folder, f"{part}.warc.gz") as out:
+                while row is not None and held.at < file_bytes:
+                    page, url, html, target, key = row
+                    payload = html.encode()
                     digest = base32_sha1(payload)
                     revisit = target is not None and page != target
-                    data = record(
-                        "revisit" if revisit else "response", page, url.as_py(), b"" if revisit else payload, len(payload), digest, target if revisit else None
-                    )
+                    data = record("revisit" if revisit else "response", page, url, b"" if revisit else payload, len(payload), digest, target if revisit else None)
                     member = gzip.compress(data, level, mtime=0)
                     out.write(member)
-                    held.add(key.as_py(), page, len(member), digest)
-        with write_whole(folder, f"{part}.cdx") as out:
-            held.write_blocks(out)
-        with write_whole(folder, f"{part}.dir") as out:
-            out.write(json.dumps(held.directory).encode())
-        if held.first is not None:
+                    held.add(key, page, len(member), digest)
+                    row = next(rows, None)
+            with write_whole(folder, f"{part}.cdx") as out:
+                held.write_blocks(out)
+            with write_whole(folder, f"{part}.dir") as out:
+                out.write(json.dumps(held.directory).encode())
             yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (part, *held.first, held.lines)], names=["part", "key", "page", "lines"])
+            no += 1
 
     made = ranged.select("page", "url", "html", "target", "key").mapInArrow(step, "part string, key string, page long, lines long")
     made.write.parquet(f"{folder}/manifest")
 
 
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in batches:
+        for row in zip(*(batch.column(c) for c in ("page", "url", "html", "target", "key")), strict=True):
+            yield tuple(x.as_py() for x in row)
+
+
 class _Part:
     """The index of one part: lines, packed block by block."""
 
@@ -204,7 +215,7 @@ class CaptureIndex:
 
     def record(self, line: list) -> tuple[dict[str, str], bytes]:
         _, _, at, size, digest = line
-        fields, payload = parse_record(gzip.decompress(self.files.read(f"{self.part}.warc.gz", at, size)))
+        fields, payload = parse_record(gzip.decompress(self.files.read_on(f"{self.part}.warc.gz", at, size)))
         if fields["WARC-Payload-Digest"] != f"sha1:{digest}" or (fields["WARC-Type"] == "response" and base32_sha1(payload) != digest):
             raise ValueError(f"{self.part}: a record is damaged")
         return fields, payload
