@@ -95,6 +95,10 @@ SELECT doc_id, count(*) AS chunks, sum(length(t))::BIGINT AS chars FROM t WHERE
     "clean_text": f"""
 WITH d AS (SELECT doc_id, {_DIRTY} AS text FROM documents), c AS (SELECT doc_id, text, {_clean('text')} AS cleaned FROM d)
 SELECT doc_id, md5(cleaned) AS cleaned_md5, length(text) AS original_length, length(cleaned) AS cleaned_length, length(text) - length(cleaned) AS chars_removed FROM c""",
+    "workflow_chunks": f"""
+WITH c AS (SELECT source, lower({_clean('text')}) AS t FROM documents), n AS (SELECT source, length(t) AS n FROM c WHERE regexp_matches(t, '\\S')),
+k AS (SELECT source, n, CASE WHEN n <= 256 THEN 1 ELSE 1 + ceil((n - 256) / 200.0)::BIGINT END AS k FROM n)
+SELECT source, sum(k)::BIGINT AS chunks, sum(n + 56 * (k - 1))::BIGINT AS chars FROM k GROUP BY source""",
     "clean_upper": f"SELECT doc_id, md5(upper(replace({_clean('text')}, 'ß', 'SS'))) AS cleaned_md5 FROM documents",
     "strip_special_stats": r"""
 WITH s AS (SELECT lang, length(text) - length(regexp_replace(text, '[^\pL\pM\pN\p{Pc}\s.,;:!?()\[\]/%€$@''"-]', '', 'g')) AS n FROM documents)
@@ -111,6 +115,11 @@ SELECT v AS value, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT do
 WITH {_IPS}
 SELECT doc_id, count(*) AS n, min(v) AS first_ip FROM ips
 WHERE len(list_filter(string_split(v, '.'), lambda o: o::INT > 255 OR (length(o) > 1 AND o[1] = '0'))) = 0 GROUP BY doc_id""",
+    "pii_email_offsets": f"""
+WITH p AS (SELECT doc_id, regexp_split_to_array(text, '{_EMAIL}') AS p, regexp_extract_all(text, '{_EMAIL}') AS m FROM documents),
+s AS (SELECT doc_id, m[i] AS value, (list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))::INT AS start
+      FROM p, unnest(range(1, len(m) + 1)) AS t(i))
+SELECT doc_id, start, (start + length(value))::INT AS "end", value FROM s""",
     "mask_emails": f"""
 WITH p AS (SELECT doc_id, regexp_split_to_array(text, '{_EMAIL}') AS p, regexp_extract_all(text, '{_EMAIL}') AS m FROM documents)
 SELECT doc_id, len(m) AS total_masked,
