@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vellum.llm import chat, decontaminate, lines, packing, quality, rans, sharding, substrings, warc
+from vellum.llm import chat, decontaminate, jaccard, lines, packing, quality, rans, sharding, simhash, substrings, warc
 from vellum.llm.common import Scratch
 from vellum.llm.files import Ranges
 from vellum.llm.tokens import CachedEncoder, tokenizer_path
@@ -566,6 +566,25 @@ def test_long_lines_repeat_alone(spark):
     assert [(r._n_lines, r._n_removed) for r in marked] == [(4, 0), (4, 1), (1, 1), (3, 0), (0, 0), (3, 3)]
 
 
+def test_columns_of_any_name_stay(spark):
+    names = ["_bucket", "_start", "_i", "_n", "_digest", "_h", "_b", "_t", "_total", "_key", "_key2", "_k", "_dropped", "key", "key2", "k", "dropped", "c0", "c1", "fp", "root"]
+    text = "one two three\nfour five\nsix"
+    rows = [(1, text, *range(len(names))), (2, f"{text}\nseven", *range(100, 100 + len(names))), (3, None, *[None] * len(names))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` int" for n in names))
+    expected = {r[0]: r[2:] for r in rows}
+    for out in (
+        sharding.assign(docs, 4),
+        lines.mark_repeated_lines(docs),
+        lines.drop_repeated_lines(docs),
+        quality.judge(docs, docs.where("doc_id = 1")),
+        simhash.drop_near_duplicates(docs),
+        jaccard.drop_near_duplicates(docs),
+        decontaminate.drop_contaminated(docs, docs.selectExpr("9 AS item_id", "'x y' AS text")),
+    ):
+        got = {r.doc_id: tuple(r[n] for n in names) for r in out.collect()}
+        assert got == {i: v for i, v in expected.items() if i in got} and len(got) >= 2
+
+
 # 10
 
 

@@ -9,7 +9,8 @@ Slots number a shard's records from 0, ordered by the MD5 of the key and then th
 are counted bucket by bucket (the digest's first three hex digits), so no task sorts a shard.
 
 Edge cases. A null key is a key of its own. A null text has size 1 (as an empty one) and the checksum of nothing. Rows
-with equal keys share a shard; their slots differ. An empty table gives an empty result. Extra columns stay.
+with equal keys share a shard; their slots differ. A very long text is read once, for its size and checksum. An empty table gives an empty result. Extra columns stay, whatever their
+names; only those named like the added ones are replaced.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import dense_rank_by_bucket
+from vellum.llm.common import dense_rank_by_bucket, fresh
 
 BUCKETS = 4096
 
@@ -46,15 +47,17 @@ def assign(docs: DataFrame, shards: int | list[float] = 16, key_col: str = "doc_
     more = weights + [1.0] * ((grown or len(weights) + 1) - len(weights))
     data = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
     key = _key(key_col)
+    docs = docs.drop("_size", "_crc32", "_shard", "_slot", "_grown")
+    (digest,) = fresh(docs, "_digest")
     rows = docs.withColumns(
         {
             "_size": (F.octet_length(data) + 1).cast("long"),
             "_crc32": F.crc32(data),
             "_shard": rendezvous(key, weights),
             "_grown": rendezvous(key, more),
-            "_digest": F.md5(key),
+            digest: F.md5(key),
         }
     )
-    bucket = F.conv(F.substring("_digest", 1, 3), 16, 10)
-    order = [F.col("_digest"), F.col(key_col), F.col("_size"), F.col("_crc32")]
-    return dense_rank_by_bucket(rows, ["_shard"], bucket, order, "_slot").drop("_digest")
+    bucket = F.conv(F.substring(digest, 1, 3), 16, 10)
+    order = [F.col(digest), F.col(key_col), F.col("_size"), F.col("_crc32")]
+    return dense_rank_by_bucket(rows, ["_shard"], bucket, order, "_slot").drop(digest)

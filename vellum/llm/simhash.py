@@ -18,7 +18,8 @@ its links leaves the task: at most one link for each member. A bucket of more th
 blocks, and each pair of blocks is one unit of work, so that no task holds a whole hot bucket.
 
 Edge cases. Null and empty texts, and texts of break characters only, have fingerprint zero and link like any
-other. A text of fewer words than a shingle is one shingle. Rows without an id take part; ``component_id``
+other. A text of fewer words than a shingle is one shingle, a very long one is hashed as a whole. Ids are whole numbers (cast to
+long). Rows without an id take part; ``component_id``
 is the least id that is not null, null if there is none. Repeated rows stay rows of their own. An empty
 table gives an empty result.
 """
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm import golay
-from vellum.llm.common import Scratch, components, partitions, redealt
+from vellum.llm.common import Scratch, components, fresh, partitions, redealt, row_keys
 
 #: Lowest bit and bits of each segment of a fingerprint.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -266,6 +267,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     best = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("_p")).agg(
         F.min(F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.col("row_key").alias("k"))).alias("b")
     )
-    keep = best.select(F.col("b.k").alias("_key")).distinct()
-    kept = docs.withColumn("_key", F.xxhash64(id_col, text_col)).join(keep, "_key", "left_semi")
-    return kept.dropDuplicates(["_key"]).drop("_key")
+    k, k2 = fresh(docs, "_key", "_key2")
+    keys = row_keys(id_col, text_col)
+    keep = best.select(F.col("b.k").alias(k)).distinct()
+    kept = docs.withColumn(k, keys[0]).withColumn(k2, keys[1]).join(keep, k, "left_semi")
+    return kept.dropDuplicates([k, k2]).drop(k, k2)
