@@ -255,3 +255,21 @@ def test_first_wins_and_latest(spark):
     assert corpus.first_wins(rows, [F.col("k")], [F.col("at")]).columns == rows.columns
     latest = corpus.upsert_latest(rows.where("id < 3"), rows.where("id > 2"), "k", "at", "id")
     assert sorted(r.id for r in latest.collect()) == [1, 4]
+
+
+def test_dates_of_both_calendars(spark):
+    rows = docs(spark, "الموعد 17-01-1437 هـ 08:30 مساءً ثم 12/08/2026", "1 رمضان 1440, 17-01-1650, 3/4/2020 10:05 pm", None, "")
+    out = date_normalizer.normalize_dates(rows, hijri=True).orderBy("doc_id").collect()
+    assert [[(d.normalized, d.calendar) for d in r.dates or []] for r in out] == [
+        [("2015-10-30 20:30:00", "hijri"), ("2026-08-12", "gregorian")],
+        [("2019-05-06", "hijri"), ("1650-01-17", "gregorian"), ("2020-04-03 22:05:00", "gregorian")],
+        [],
+        [],
+    ]
+    assert out[0].normalized_text == "الموعد 2015-10-30 20:30:00 ثم 2026-08-12"
+
+
+def test_index_is_stored(spark, tmp_path):
+    index = retrieval.index_documents(docs(spark, "one two", "three"))
+    assert retrieval.save_index(index, f"file://{tmp_path}/i") == 2 == retrieval.save_index(index, f"file://{tmp_path}/i")
+    assert sorted(retrieval.load_index(spark, f"file://{tmp_path}/i").collect()) == sorted(index.collect())

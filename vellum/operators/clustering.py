@@ -12,8 +12,11 @@ from pyspark.sql import functions as F
 
 from vellum.functions import vectors
 from vellum.functions.text import strip
+from vellum.operators.language import STOP_WORDS
 
 MIN_CHARS = 20
+#: Similarity from which two documents alone are one topic.
+SAME_TOPIC = 0.42
 WORD = r"[^\W\d_][\w'-]+"
 
 
@@ -73,7 +76,10 @@ def cluster_topics(docs: DataFrame, key: str = "doc_id", text_col: str = "text",
     rows = features(usable, text_col).select(key, "features")
     rows = rows.checkpoint() if docs.sparkSession.conf.get("spark.checkpoint.dir", None) else rows  # read by each round
     n = rows.count()
-    if n < 3 and k is None or n < 2:
+    if n == 2 and k is None:  # two texts are one topic if they are alike enough
+        a, b = (r.features for r in rows.select("features").collect())
+        k = 1 if a.dot(b) / max(a.norm(2) * b.norm(2), 1e-12) >= SAME_TOPIC else 2
+    if n < 2:
         k = 1
     if k is None:
         scored = []
@@ -95,6 +101,15 @@ def cluster_topics(docs: DataFrame, key: str = "doc_id", text_col: str = "text",
     return joined.select(key, "cluster", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 4).alias("similarity"))
 
 
+def cluster_labels(docs: DataFrame, assigned: DataFrame, key: str = "doc_id", text_col: str = "text", k: int = 5) -> DataFrame:
+    """cluster, keywords (the ``k`` heaviest terms that are no function words), label: the first three of them."""
+    stop = sorted({w for own in STOP_WORDS.values() for w in own})
+    weights = tfidf(docs.select(key, text_col), key, text_col).where(~F.col("term").isin(stop))
+    best = top_terms(weights.join(assigned.select(key, "cluster"), key), "cluster", k)
+    listed = best.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda x: x.term).alias("keywords"))
+    return listed.withColumn("label", F.array_join(F.slice("keywords", 1, 3), " · "))
+
+
 def cluster_summary(assigned: DataFrame, key: str = "doc_id") -> DataFrame:
     """cluster, documents, avg_similarity, representative: the most similar document, the least key of equal ones."""
     return assigned.groupBy("cluster").agg(

@@ -7,6 +7,8 @@ time after any of them, and Hijri dates, numeric or by month name, of the years
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,16 +87,20 @@ def _read(parts: Column, day_first: bool) -> Column:
     year = F.coalesce(n(1), year2, n(9), n(12))
     month = F.coalesce(n(2), F.when(swap, first).otherwise(second), _month(F.coalesce(g(8), g(10))))
     day = F.coalesce(n(3), F.when(swap, second).otherwise(first), n(7), n(11))
-    hour, half = n(13), F.lower(g(16))
+    return _dated(F.try_make_timestamp(year, month, day, F.lit(0), F.lit(0), F.lit(0)).cast("date"), n(13), n(14), n(15), g(16))
+
+
+def _dated(date: Column, hour: Column, minute: Column, second: Column, half: Column) -> Column:
+    half = F.lower(half)
     late = F.coalesce(half.isin("pm", "م", "مساءً", "مساء"), F.lit(False))
     early = F.coalesce(half.isin("am", "ص", "صباحاً", "صباحا"), F.lit(False))
-    hour = F.when(late & (hour < 12), hour + 12).when(early & (hour == 12), 0).otherwise(hour)
+    at = F.when(late & (hour < 12), hour + 12).when(early & (hour == 12), 0).otherwise(hour)
     return F.struct(
-        F.try_make_timestamp(year, month, day, F.lit(0), F.lit(0), F.lit(0)).cast("date").alias("date"),
-        F.coalesce(hour, F.lit(0)).alias("hour"),
-        F.coalesce(n(14), F.lit(0)).alias("minute"),
-        F.coalesce(n(15), F.lit(0)).alias("second"),
-        n(13).isNotNull().alias("has_time"),
+        date.alias("date"),
+        F.coalesce(at, F.lit(0)).alias("hour"),
+        F.coalesce(minute, F.lit(0)).alias("minute"),
+        F.coalesce(second, F.lit(0)).alias("second"),
+        hour.isNotNull().alias("has_time"),
     )
 
 
@@ -105,12 +111,26 @@ def render(parsed: Column, fmt: str = "YYYY-MM-DD") -> Column:
     return F.concat(date, F.when(parsed["has_time"], time).otherwise(F.lit("")))
 
 
-def find_dates(text: Column, fmt: str = "YYYY-MM-DD", day_first: bool = True) -> Column:
-    """array of (start, end, original, normalized, iso_date, has_time), in order and disjoint. Null if there is no text."""
-    found = matches(tx.fold_digits(text), PATTERN)
-    read = F.transform(found, lambda m: F.struct(m.alias("m"), parse(m.value, day_first).alias("p")))
+def find_dates(text: Column, fmt: str = "YYYY-MM-DD", day_first: bool = True, hijri: list[int] | None = None) -> Column:
+    """array of (start, end, original, normalized, iso_date, has_time, calendar), in order and disjoint. Null if there is no text.
+
+    ``hijri``: the days that ``hijri_months`` gives; Hijri dates are then looked for first, and hide what lies over them.
+    """
+    gregorian = _found(text, matches(tx.fold_digits(text), PATTERN), lambda v: parse(v, day_first), fmt, "gregorian")
+    if hijri is None:
+        return gregorian
+    other = _found(text, matches(tx.fold_digits(text), HIJRI_PATTERN), lambda v: parse_hijri(v, hijri), fmt, "hijri")
+
+    def merged(both: Column) -> Column:
+        free = F.filter(both.g, lambda x: ~F.exists(both.h, lambda y: (x.start < y.end) & (y.start < x.end)))
+        return F.array_sort(F.concat(both.h, free))
+
+    return let(F.struct(gregorian.alias("g"), other.alias("h")), merged)
+
+
+def _found(text: Column, found: Column, read, fmt: str, calendar: str) -> Column:
     return F.transform(
-        F.filter(read, lambda r: r.p["date"].isNotNull()),
+        F.filter(F.transform(found, lambda m: F.struct(m.alias("m"), read(m.value).alias("p"))), lambda r: r.p["date"].isNotNull()),
         lambda r: F.struct(
             r.m.start.alias("start"),
             r.m.end.alias("end"),
@@ -118,6 +138,7 @@ def find_dates(text: Column, fmt: str = "YYYY-MM-DD", day_first: bool = True) ->
             render(r.p, fmt).alias("normalized"),
             F.date_format(r.p["date"], "yyyy-MM-dd").alias("iso_date"),
             r.p["has_time"].alias("has_time"),
+            F.lit(calendar).alias("calendar"),
         ),
     )
 
@@ -126,43 +147,57 @@ def normalized_text(text: Column, fmt: str = "YYYY-MM-DD", day_first: bool = Tru
     return let(find_dates(text, fmt, day_first), lambda found: replace_spans(text, found, lambda s: s["normalized"]))
 
 
-def normalize_dates(docs: DataFrame, text_col: str = "text", fmt: str = "YYYY-MM-DD", day_first: bool = True, limit: int | None = None) -> DataFrame:
-    """``docs`` with dates (all, or the first ``limit``) and normalized_text, in which just these are replaced. Narrow."""
-    found = find_dates(F.col(text_col), fmt, day_first)
+def normalize_dates(
+    docs: DataFrame, text_col: str = "text", fmt: str = "YYYY-MM-DD", day_first: bool = True, limit: int | None = None, hijri: bool = False
+) -> DataFrame:
+    """``docs`` with dates (all, or the first ``limit``) and normalized_text, in which just these are replaced. Narrow.
+
+    ``hijri``: dates of the Hijri calendar are found too.
+    """
+    found = find_dates(F.col(text_col), fmt, day_first, hijri_months(docs.sparkSession) if hijri else None)
     rows = docs.withColumn("dates", found if limit is None else F.slice(found, 1, limit))
     return rows.withColumn("normalized_text", replace_spans(F.col(text_col), F.col("dates"), lambda s: s["normalized"]))
 
 
-def hijri_months(spark: SparkSession, first: int = 1300, last: int = 1600) -> DataFrame:
-    """(year, month, begins): the first day of each Hijri month; 12 rows a year, so small by its bounds."""
-    chrono = spark._jvm.java.time.chrono.HijrahDate
-    day = spark._jvm.java.time.LocalDate
-    rows = [(y, m, str(day.ofEpochDay(chrono.of(y, m, 1).toEpochDay()))) for y in range(first, last + 1) for m in range(1, 13)]
-    return spark.createDataFrame(rows, "year int, month int, begins string").select("year", "month", F.to_date("begins").alias("begins"))
+#: Years of the Hijri calendar that are known.
+HIJRI_YEARS = (1300, 1600)
+_MONTHS: list[int] = []
+_HIJRI_NAMES = "|".join(n.replace(" ", r"\s+") for alternatives in HIJRI_MONTHS.values() for n in alternatives.split("|"))
+HIJRI_PATTERN = (
+    rf"(?iU)(?<![\w./-])(?:\d{{1,2}}[./-]\d{{1,2}}[./-]1[2-6]\d{{2}}|\d{{1,2}}\s+(?:{_HIJRI_NAMES})\s+1[2-6]\d{{2}})"
+    rf"(?:\s*(?:هـ|هجري|هجرية))?{_TIME}(?!\d)"
+)
+_HIJRI_PARTS = rf"(?isU)^(?:(\d{{1,2}})[./-](\d{{1,2}})[./-](\d{{4}})|(\d{{1,2}})\s+({_HIJRI_NAMES})\s+(\d{{4}}))(?:.*?{_CLOCK})?.*$"
+
+
+def hijri_months(spark: SparkSession) -> list[int]:
+    """The first day of each Hijri month of HIJRI_YEARS, in days since 1970: a constant of the plan, some 3,600 numbers."""
+    if not _MONTHS:
+        of = spark._jvm.java.time.chrono.HijrahDate.of
+        _MONTHS.extend(of(y, m, 1).toEpochDay() for y in range(HIJRI_YEARS[0], HIJRI_YEARS[1] + 1) for m in range(1, 13))
+    return _MONTHS
+
+
+def parse_hijri(value: Column, months: list[int]) -> Column:
+    """As ``parse``, of a string that HIJRI_PATTERN matches. Years that aren't known are no dates."""
+    starts = F.from_json(F.lit(json.dumps(months)), "array<int>")
+
+    def read(parts: Column) -> Column:
+        g = lambda k: F.nullif(F.get(parts, F.lit(k - 1)), F.lit(""))
+        n = lambda k: F.when(F.size(parts) == 10, g(k).cast("int"))
+        named = F.lit(None).cast("int")
+        for number, alternatives in HIJRI_MONTHS.items():
+            named = F.when(F.regexp_replace(g(5), r"\s+", " ").isin(*alternatives.split("|")), F.lit(number)).otherwise(named)
+        day, month, year = F.coalesce(n(1), n(4)), F.coalesce(n(2), named), F.coalesce(n(3), n(6))
+        known = day.between(1, 30) & month.between(1, 12) & year.between(*HIJRI_YEARS)
+        first = F.get(starts, F.when(known, (year - HIJRI_YEARS[0]) * 12 + month - 1))
+        return _dated(F.date_add(F.lit("1970-01-01").cast("date"), first + day - 1), n(7), n(8), n(9), g(10))
+
+    return let(F.split(F.regexp_replace(value, _HIJRI_PARTS, _CUT.join(f"${k}" for k in range(1, 11))), _CUT, -1), read)
 
 
 def find_hijri_dates(docs: DataFrame, text_col: str = "text", key: str = "doc_id", fmt: str = "YYYY-MM-DD") -> DataFrame:
-    """(key, start, end, original, normalized) of Hijri dates: a table of months is broadcast (some 3,600 rows)."""
-    names = "|".join(n.replace(" ", r"\s+") for alternatives in HIJRI_MONTHS.values() for n in alternatives.split("|"))
-    tail = r"(?:\s*(?:هـ|هجري|هجرية))?" + _TIME
-    pattern = rf"(?iU)(?<![\w./-])(?:\d{{1,2}}[./-]\d{{1,2}}[./-]1[2-6]\d{{2}}|\d{{1,2}}\s+(?:{names})\s+1[2-6]\d{{2}}){tail}(?!\d)"
-    found = docs.select(key, text_col, F.explode(matches(tx.fold_digits(F.col(text_col)), pattern)).alias("m"))
-    value = F.col("m.value")
-    g = lambda p, k: F.nullif(F.regexp_extract(value, "(?iU)" + p, k), F.lit(""))
-    numeric, word = r"^(\d{1,2})[./-](\d{1,2})[./-](\d{4})", rf"^(\d{{1,2}})\s+({names})\s+(\d{{4}})"
-    month = F.lit(None).cast("int")
-    for number, alternatives in HIJRI_MONTHS.items():
-        month = F.when(F.regexp_replace(g(word, 2), r"\s+", " ").isin(*alternatives.split("|")), F.lit(number)).otherwise(month)
-    rows = found.select(
-        key,
-        F.col("m.start").alias("start"),
-        F.col("m.end").alias("end"),
-        F.substring(F.col(text_col), F.col("m.start") + 1, F.col("m.end") - F.col("m.start")).alias("original"),
-        F.coalesce(g(numeric, 1), g(word, 1)).cast("int").alias("d"),
-        F.coalesce(g(numeric, 2).cast("int"), month).alias("month"),
-        F.coalesce(g(numeric, 3), g(word, 3)).cast("int").alias("year"),
-        parse(F.concat(F.lit("01/01/2000 "), F.regexp_extract(value, r"(?iU)(\d{1,2}:\d{2}.*)$", 1))).alias("t"),
-    )
-    joined = rows.join(F.broadcast(hijri_months(docs.sparkSession)), ["year", "month"]).where("d BETWEEN 1 AND 30")
-    stamped = F.struct(F.date_add("begins", F.col("d") - 1).alias("date"), F.col("t.hour").alias("hour"), F.col("t.minute").alias("minute"), F.col("t.second").alias("second"), F.col("t.has_time").alias("has_time"))
-    return joined.select(key, "start", "end", "original", render(stamped, fmt).alias("normalized"))
+    """(key, start, end, original, normalized) of Hijri dates. Narrow."""
+    text = F.col(text_col)
+    found = _found(text, matches(tx.fold_digits(text), HIJRI_PATTERN), lambda v: parse_hijri(v, hijri_months(docs.sparkSession)), fmt, "hijri")
+    return docs.select(key, F.explode(found).alias("d")).select(key, "d.start", "d.end", "d.original", "d.normalized")

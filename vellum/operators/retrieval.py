@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -68,6 +68,16 @@ def index_documents(docs: DataFrame, size: int = 512, overlap: int = 100, key: s
     return embed_chunks(parts, "chunk_text", embed)
 
 
+def save_index(index: DataFrame, path: str) -> int:
+    """Writes an index in place of what lies at ``path``; the number of chunks stored."""
+    index.write.mode("overwrite").parquet(path)
+    return index.sparkSession.read.parquet(path).count()
+
+
+def load_index(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
 def format_chunks(chunks: Column) -> Column:
     """``[i] text (source: s)`` joined by blank lines; ``chunks``: array of (text, source)."""
     lines = F.transform(

@@ -59,11 +59,19 @@ node("document-batch-upload", "ingestion", "documents:document[]", "documents:do
 )
 
 
-@node("corpus-input", "clustering", "documents?:document[]", "corpus:corpus documents:text", C("folder_name"))
+@node("corpus-input", "clustering", "documents?:document[] index?:document[] file_ids?:json", "corpus:corpus documents:text missing:json", C("folder_name"))
 def _corpus(i: Inputs, c: Config):
-    if "documents" not in i:
-        raise ValueError("a corpus needs documents")
-    return {"corpus": i["documents"].withColumn("corpus_name", F.lit(c.get("folder_name", ""))), "documents": i["documents"]}
+    """The documents given and those of ``file_ids`` that the index has, the first of each key; the ids that nothing has."""
+    if not {"documents", "file_ids"} & set(i) or ("file_ids" in i and "index" not in i):
+        raise ValueError("a corpus needs documents, or file ids and an index")
+    out = {}
+    docs = i.get("documents")
+    if "file_ids" in i:
+        docs, out["missing"] = corpus.build_corpus(i["index"].limit(0) if docs is None else docs, i["index"], i["file_ids"])
+    key = next((k for k in ("file_id", "doc_id", "path") if k in docs.columns), None)
+    if key is not None and "file_ids" in i:
+        docs = corpus.first_wins(docs, [F.col(key)], [F.col(x) for x in docs.columns if not docs.schema[x].dataType.typeName() == "map"])
+    return out | {"corpus": docs.withColumn("corpus_name", F.lit(c.get("folder_name", ""))), "documents": docs}
 
 
 @node("document-parser", "ingestion", "document:any", "text:text data:json", C("parse_entire_document", "boolean", default=True), C("include_tables", "boolean", default=True),
@@ -127,8 +135,8 @@ def _cleaner(i: Inputs, c: Config):
 node("text-corrector", "normalization", "text:text", "text:text all:json", C("dictionary", "json", required=True), C("max_edit_distance", "number", default=1))(
     lambda i, c: _text("corrected_text")(text_corrector.correct_text(i["text"], c["dictionary"], max_distance=int(c["max_edit_distance"])))
 )
-node("date-normalizer", "normalization", "text:text", "text:text all:json", C("format", "select", default="YYYY-MM-DD", options=tuple(date_normalizer.FORMATS)))(
-    lambda i, c: _text("normalized_text")(date_normalizer.normalize_dates(i["text"], fmt=c["format"]))
+node("date-normalizer", "normalization", "text:text", "text:text all:json", C("format", "select", default="YYYY-MM-DD", options=tuple(date_normalizer.FORMATS)), C("hijri", "boolean", default=True))(
+    lambda i, c: _text("normalized_text")(date_normalizer.normalize_dates(i["text"], fmt=c["format"], hijri=bool(c["hijri"])))
 )
 node("masker", "preprocessing", "text:text", "text:text all:json", C("kinds", "tags", default=list(masker.KINDS)), C("mask", default="█"))(
     lambda i, c: _text("masked_text")(masker.mask_text(i["text"], kinds=tuple(c["kinds"]), mask=c["mask"]))
@@ -183,7 +191,7 @@ node("feedback-collector", "rag", "feedback:json", "signal:json stored:json")(la
 @node("topic-clustering", "clustering", "corpus:any", "clusters:json assignments:table", C("k", "number"), C("max_k", "number", default=8))
 def _topics(i: Inputs, c: Config):
     out = clustering.cluster_topics(i["corpus"], k=int(c["k"]) if c.get("k") else None, max_k=int(c["max_k"]))
-    return {"assignments": out, "clusters": clustering.cluster_summary(out)}
+    return {"assignments": out, "clusters": clustering.cluster_summary(out).join(clustering.cluster_labels(i["corpus"], out), "cluster", "left")}
 
 
 node("comparison-agent", "agents", "original_document:text revised_document:text", "comparison:json", C("mode", "select", default="line", options=("line", "paragraph")), C("ignore_whitespace", "boolean", default=True), C("ignore_case", "boolean", default=False))(
