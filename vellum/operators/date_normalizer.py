@@ -46,7 +46,7 @@ HIJRI_MONTHS = {
     12: "ذو الحجة|ذي الحجة",
 }
 _NAMES = sorted((n for names in MONTHS.values() for n in names.split()), key=len, reverse=True)
-_TIME = r"(?:[T ]+(?:[01]?\d|2[0-3]):[0-5]\d(?::[0-5]\d)?(?:\s*(?:am|pm|ص|م|صباحاً|صباحا|مساءً|مساء))?)?"
+_TIME = r"(?:[T ]+(?:[01]?\d|2[0-3]):[0-5]\d(?::[0-5]\d)?(?:\s*(?:am|pm|صباحاً|صباحا|مساءً|مساء|ص|م))?)?"
 _NUMERIC = r"(?:\d{4}[-/.]\d{1,2}[-/.]\d{1,2}|\d{1,2}[-/.]\d{1,2}[-/.](?:\d{4}|\d{2}))"
 _WORDS = r"(?:\d{1,2}(?:st|nd|rd|th|er|\.)?\s+(?:de\s+)?(?:" + "|".join(_NAMES) + r")\.?,?\s+(?:de\s+)?\d{4}|(?:" + "|".join(_NAMES) + r")\.?\s+\d{1,2}(?:st|nd|rd|th)?,?\s+\d{4})"
 PATTERN = rf"(?iU)(?<![\w./-])(?:{_NUMERIC}|{_WORDS}){_TIME}(?![\w/-])"
