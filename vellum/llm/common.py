@@ -6,6 +6,7 @@ another one wrote, and a lost executor costs only the tasks that it was running.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -51,6 +52,11 @@ class Scratch:
         out.scratch_path = path
         return out
 
+    def tidy(self) -> None:
+        """Frees the shuffle files of what write() has cut off: Spark deletes them once the driver has collected its garbage."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, df: DataFrame) -> None:
         """Deletes a table of write() that nothing reads any more."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
