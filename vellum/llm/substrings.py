@@ -7,8 +7,8 @@ Fingerprints. Of the hashes of every 8 words, the least one in each run of (wind
 ones), so each window holds a selected hash and equal windows hold the same one at the same place: about one word in
 14 is selected, and no repeat can hide.
 
-Index. ``FingerprintIndex`` is a folder: a log of immutable runs, each a Parquet table of (fingerprint, document key), bucketed and
-sorted by fingerprint, and a manifest of versions that any later session opens. A new batch is written as a run and merge-joined with
+Index. ``FingerprintIndex`` is a folder: a log of immutable runs, each a Parquet table of (fingerprint, key), bucketed and
+sorted by fingerprint, with a key of the document's text, and a manifest of versions that any later session opens. A new batch is written as a run and merge-joined with
 the runs of history, of which nothing is dealt out again: both sides lie in the same buckets. What the batch shares with
 history, or has twice itself, are its hits; the runs say in which documents a hit lies. When a tier has ``fanout`` runs they
 are compacted into one run of the next tier. ``find_repeats`` goes this way, batch by batch; given an index of earlier
@@ -21,8 +21,8 @@ Shuffles. Fingerprints go once by fingerprint, the text once by document key, an
 dealt out by their hash alone, so that the adaptive planner can split a hot one; counts are summed up before the shuffle.
 
 Edge cases. Null texts have no words. Rows with equal text are copies of each other, rows that are equal in every column
-too. An empty table gives an empty result. A very long text is worked on by itself, in arrays of its words. A document's key is
-a 64-bit hash of id and text. Windows must have eight words at least. Other columns are left out, whatever their names.
+too. An empty table gives an empty result. A very long text is worked on by itself, in arrays of its words. Keys are
+64-bit hashes, of the text in the index, of id and text elsewhere. Windows must have eight words at least. Other columns are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -181,16 +181,26 @@ class FingerprintIndex:
 
 
 def fingerprints(docs: DataFrame, window: int, key: str, text_col: str) -> DataFrame:
-    """(fp, key): a row for each selected fingerprint of each document."""
+    """(fp, key): a row for each selected fingerprint of each text, ``key`` being a hash of the text.
+
+    All that matters of a fingerprint is where it lies and whether it occurs again: so one that a text has more than twice is two
+    rows, and a text that a task meets more than twice is worked on twice. Hot copies and texts of one phrase stay small this way.
+    """
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: Counter = Counter()
         for batch in batches:
             keys = batch.column(0).to_numpy(zero_copy_only=False)
             for lo in range(0, batch.num_rows, 1000):
                 fps, counts = [], []
-                for text in batch.column(1)[lo : lo + 1000]:
-                    words = (text.as_py() or "").encode().split()
-                    found = selected(_word_hashes(words, 0), window)[1] if len(words) >= window else np.zeros(0, dtype=np.uint64)
+                for own, text in zip(keys[lo : lo + 1000].tolist(), batch.column(1)[lo : lo + 1000], strict=True):
+                    data = (text.as_py() or "").encode()
+                    met[own, len(data)] += 1
+                    words = data.split() if met[own, len(data)] <= 2 else []
+                    found = np.zeros(0, dtype=np.uint64)
+                    if len(words) >= window:
+                        found, times = np.unique(selected(_word_hashes(words, 0), window)[1], return_counts=True)
+                        found = np.repeat(found, np.minimum(times, 2))
                     fps.append(found)
                     counts.append(len(found))
                 yield pa.RecordBatch.from_arrays(
@@ -260,12 +270,12 @@ def find_repeats(
 
     def keyed(of: DataFrame, new: bool) -> DataFrame:
         i, t = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
-        return of.select(i.alias("_id"), t.alias("_text"), F.xxhash64(i, t).alias("_key"), F.lit(new).alias("_new"))
+        return of.select(i.alias("_id"), t.alias("_text"), F.xxhash64(i, t).alias("_key"), F.xxhash64(t).alias("_own"), F.lit(new).alias("_new"))
 
     rows = keyed(docs, True)
     hits = None
     for k in range(batches):
-        found = index.add(fingerprints(rows.where(F.pmod("_key", F.lit(batches)) == k), window, "_key", "_text"))
+        found = index.add(fingerprints(rows.where(F.pmod("_own", F.lit(batches)) == k), window, "_own", "_text"))
         hits = found if hits is None else hits.union(found)
     if history is not None:
         rows = rows.union(keyed(history, False))
@@ -274,7 +284,9 @@ def find_repeats(
     equal = texts.groupBy("_t", "_d").agg(F.count(F.lit(1)).alias("_n"), F.min("_key").alias("_first")).where("_n > 1")
     equal = scratch.write(equal.select("_t", F.col("_d").alias("_e"), "_first"), "equal")
     copies = texts.join(equal, ["_t"]).where("_d = _e").select("_key", "_first").distinct()
-    per_row = index.locations(hits.distinct()).groupBy("key").agg(F.collect_set("fp").alias("_found"))
+    per_text = index.locations(hits.distinct()).groupBy("key").agg(F.collect_set("fp").alias("_found"))
+    mine = rows.where("_text IS NOT NULL").select(F.col("_key").alias("key"), "_own")
+    per_row = mine.join(redealt(per_text, "key", "_t"), F.col("_own") == F.col("_t")).groupBy("key").agg(F.first("_found").alias("_found"))
     info = scratch.write(per_row.join(copies, per_row.key == copies._key, "full").select(F.coalesce("key", "_key").alias("_k"), "_found", "_first"), "info")
 
     text = rows.select("_key", "_text", "_id", "_new")
