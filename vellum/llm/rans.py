@@ -1,16 +1,18 @@
 """Token ids in binary files, coded with a static range asymmetric numeral system (operator 8).
 
-All blocks share one frequency table, counted over the whole corpus and scaled to 2^20. A block is up to BLOCK ids, dealt
+All blocks share one frequency table, counted over the whole corpus while it is tokenised, and scaled to 2^20. A block is up to BLOCK ids, dealt
 in turn to LANES interleaved states of 64 bits, which put out 32-bit words into one stream; it needs nothing from
 other blocks. A file is: magic; blocks (the states where decoding begins, then the words); the index; its length
 and magic. The index holds, per block, a checkpoint (first id, ids, byte offset and length, CRC-32 of the bytes and of the
 ids), and per document its id and number of ids. So blocks can be decoded in parallel, from any place, and
-every byte is checked. Files are in ascending order of document id, nulls first; ties go by length and checksum.
+every byte is checked. Files are in ascending order of document id, nulls first; ties go by length and checksum. A task
+goes on to another file after FILE_IDS ids, between documents, so that a file's index stays small and a file is a unit of reading.
 
 Encoding and decoding run over many blocks at once: a numpy step moves every lane of every block by one id.
 
-Edge cases. Null and empty texts hold the end id only. Repeated rows are all written. An empty table gives files without
-blocks. Extra columns are left out.
+Edge cases. Null and empty texts hold the end id only. Repeated rows are all written. An empty table gives no
+files. Extra columns are left out. Ids are whole numbers (cast to long; other types are refused). A very long text is one
+document of one file, which is then longer than others; it is coded block by block like any other.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vellum.llm.common import Scratch, partitions
@@ -33,9 +36,9 @@ from vellum.llm.tokens import batches_of, encoder
 MAGIC = b"VLMRANS1"
 BITS = 20
 LANES = 64
-BLOCK = 1 << 16
-#: Blocks that are coded at a time, and blocks that a reading task takes.
-GROUP, UNIT = 32, 64
+BLOCK = 1 << 14
+#: Blocks that are coded at a time, and ids after which a task begins another file.
+GROUP, FILE_IDS = 128, 1 << 23
 _LOW = np.uint64(1 << 31)
 
 
@@ -118,27 +121,46 @@ def decode_blocks(payloads: list[bytes], counts: list[int], table: Table) -> lis
 
 
 def tokenize(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n, crc, ids): all ids of each row's text and the end id; 16 bits an id if they are enough."""
+    """(id, n, crc, ids, counts): all ids of each row's text and the end id; 16 bits an id if they are enough.
+
+    ``counts`` is null but in a last row of each task, which has nothing else: how often the task has met each id.
+    """
+    if docs.schema[id_col].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise TypeError(f"{id_col} must hold whole numbers")
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = encoder(path, spaced=True)
-        kind = id_type(tokenizer.tokenizer.get_vocab_size())
+        size = vocabulary_size(tokenizer.tokenizer, end_id)
+        kind, total = id_type(size), np.zeros(size, dtype="<i8")
         end = np.array([end_id], dtype="<u4")
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for lo, hi in batches_of(texts):
                 ids = [np.concatenate([x, end]) for x in tokenizer.encode_batch(texts[lo:hi])]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(lo, hi - lo),
-                        pa.array([len(x) for x in ids], pa.int64()),
-                        pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64()),
-                        pa.array([x.astype(kind).tobytes() for x in ids], pa.binary()),
-                    ],
-                    names=["id", "n", "crc", "ids"],
+                short = np.concatenate(ids).astype(kind)
+                total += np.bincount(short, minlength=size)
+                raw, ends = short.tobytes(), np.cumsum([len(x) for x in ids]) * short.itemsize
+                yield _token_rows(
+                    batch.column(0).slice(lo, hi - lo),
+                    [len(x) for x in ids],
+                    [zlib.crc32(x) for x in ids],
+                    [raw[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)],
+                    [None] * len(ids),
                 )
+        if total.any():
+            yield _token_rows(pa.array([None], pa.int64()), [0], [0], [None], [total.tobytes()])
+
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col)).mapInArrow(step, "id long, n long, crc long, ids binary, counts binary")
+
+
+def _token_rows(ids: pa.Array, n: list, crc: list, raw: list, counts: list) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
+    columns = [ids, *(pa.array(x, k) for x, k in zip((n, crc, raw, counts), kinds, strict=True))]
+    return pa.RecordBatch.from_arrays(columns, names=["id", "n", "crc", "ids", "counts"])
+
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col)).mapInArrow(step, "id long, n long, crc long, ids binary")
+def vocabulary_size(tokenizer, end_id: int) -> int:
+    return max(tokenizer.get_vocab_size(), end_id + 1)
 
 
 def id_type(vocabulary: int) -> str:
@@ -146,32 +168,32 @@ def id_type(vocabulary: int) -> str:
 
 
 def count_ids(tokens: DataFrame, vocabulary: int) -> np.ndarray:
-    """How often each id occurs in the whole corpus; at most ``vocabulary`` rows reach the driver."""
-    kind = id_type(vocabulary)
+    """How often each id occurs in the whole corpus, from the tasks' own counts: sums of at most ``vocabulary`` rows reach the driver."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(vocabulary, dtype=np.int64)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                data = b"".join(batch.column(0)[lo : lo + 1000].to_pylist())
-                total += np.bincount(np.frombuffer(data, dtype=kind), minlength=vocabulary)
+            for counts in batch.column(0):
+                total += np.frombuffer(counts.as_py(), dtype="<i8")
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["i", "n"])
 
     out = np.zeros(vocabulary, dtype=np.int64)
-    for i, n in tokens.select("ids").mapInArrow(step, "i long, n long").groupBy("i").agg(F.sum("n")).collect():
+    for i, n in tokens.where("counts IS NOT NULL").select("counts").mapInArrow(step, "i long, n long").groupBy("i").agg(F.sum("n")).collect():
         out[i] = n
     return out
 
 
-def write_archive(docs: DataFrame, folder: str, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write_archive(
+    docs: DataFrame, folder: str, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", file_ids: int = FILE_IDS
+) -> None:
     """Encodes ``docs`` into ``folder``: table.bin, part-*.rans, and the manifest (a Parquet table)."""
     from tokenizers import Tokenizer
 
     spark = docs.sparkSession
     scratch = Scratch(spark, "tokens")
     tokens = scratch.write(tokenize(docs, path, end_id, id_col, text_col), "ids", compression="zstd")
-    vocabulary = max(Tokenizer.from_file(path).get_vocab_size(), end_id + 1)
+    vocabulary = vocabulary_size(Tokenizer.from_file(path), end_id)
     frequencies = scale(count_ids(tokens, vocabulary))
     with write_whole(folder, "table.bin") as out:
         out.write(frequencies.astype("<u4").tobytes())
@@ -179,30 +201,40 @@ def write_archive(docs: DataFrame, folder: str, path: str, end_id: int, id_col:
     kind = id_type(vocabulary)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        name = f"part-{part:06d}.rans"
-        with write_whole(folder, name) as out:
-            writer = _Writer(out, Table(shared.value))
-            for batch in batches:
-                for doc, ids in zip(batch.column(0), batch.column(1), strict=True):
-                    writer.add(doc.as_py(), np.frombuffer(ids.as_py(), dtype=kind))
-            writer.close()
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([part], pa.int32()), pa.array([name]), pa.array([writer.ids], pa.int64()), pa.array([len(writer.blocks)], pa.int64())],
-            names=["part", "file", "n_ids", "n_blocks"],
-        )
+        part, table, rows = TaskContext.get().partitionId(), Table(shared.value), _documents(batches, kind)
+        doc, file = next(rows, None), 0
+        while doc is not None:
+            name = f"part-{part:06d}-{file:06d}.rans"
+            with write_whole(folder, name) as out:
+                writer = _Writer(out, table)
+                while doc is not None and writer.given < file_ids:
+                    writer.add(*doc)
+                    doc = next(rows, None)
+                writer.close()
+            columns = [pa.array([x], k) for x, k in ((part, pa.int32()), (file, pa.int32()), (name, pa.string()), (writer.ids, pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["part", "no", "file", "n_ids"])
+            file += 1
 
     order = [F.col("id").asc_nulls_first(), F.col("n"), F.col("crc")]
-    ranged = tokens.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
-    files = ranged.select("id", "ids").mapInArrow(step, "part int, file string, n_ids long, n_blocks long")
+    ranged = tokens.where("counts IS NULL").repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
+    files = ranged.select("id", "ids").mapInArrow(step, _MANIFEST)
     files.write.parquet(f"{folder}/manifest")
     scratch.drop(tokens)
 
 
+_MANIFEST = "part int, no int, file string, n_ids long"
+
+
+def _documents(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[tuple[int | None, np.ndarray]]:
+    for batch in batches:
+        for doc, ids in zip(batch.column(0), batch.column(1), strict=True):
+            yield doc.as_py(), np.frombuffer(ids.as_py(), dtype=kind)
+
+
 class _Writer:
     def __init__(self, out, table: Table):
         self.out, self.table = out, table
-        self.at, self.ids, self.held, self.size = len(MAGIC), 0, [], 0
+        self.at, self.ids, self.held, self.size, self.given = len(MAGIC), 0, [], 0, 0
         self.blocks: list[tuple] = []
         self.docs: list[int | None] = []
         self.counts: list[int] = []
@@ -213,6 +245,7 @@ class _Writer:
         self.counts.append(len(ids))
         self.held.append(ids)
         self.size += len(ids)
+        self.given += len(ids)
         if self.size >= GROUP * BLOCK:
             self._flush(False)
 
@@ -275,12 +308,14 @@ def read_ids(files: Ranges, name: str, blocks: np.ndarray, start: int, count: in
 
 
 def read_archive(spark: SparkSession, folder: str, keep_ids: bool = False) -> DataFrame:
-    """(id, start, n_tokens, ids_crc32, (ids)) of each document, decoded from the files in parallel units of blocks."""
-    files = spark.read.schema("part int, file string, n_ids long, n_blocks long").parquet(f"{folder}/manifest").orderBy("part").collect()
-    units, before = [], 0
-    for f in files:  # one row for each file
-        units += [(f.file, before, k, k + UNIT) for k in range(0, max(1, f.n_blocks), UNIT)]
-        before += f.n_ids
+    """(id, start, n_tokens, ids_crc32, (ids)) of each document, decoded from the files in parallel, each by the blocks of its index."""
+    files = spark.read.schema(_MANIFEST).parquet(f"{folder}/manifest").where("n_ids > 0")
+    # The parts are as many as the archive had tasks; within a part the files are numbered.
+    parts = files.groupBy("part").agg(F.sum("n_ids").alias("ids"))
+    before = F.coalesce(F.sum("ids").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select("part", before.alias("part_start"))
+    within = F.coalesce(F.sum("n_ids").over(W.partitionBy("part").orderBy("no").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    units = files.withColumn("within", within).join(parts, "part").select("file", (F.col("part_start") + F.col("within")).alias("before"))
     system, path = open_folder(folder)
     with system.open_input_stream(f"{path}/table.bin") as raw:
         shared = spark.sparkContext.broadcast(np.frombuffer(raw.read(), dtype="<u4"))
@@ -289,28 +324,27 @@ def read_archive(spark: SparkSession, folder: str, keep_ids: bool = False) -> Da
         table, ranges = Table(shared.value), Ranges(folder)
         for batch in batches:
             for unit in batch.to_pylist():
-                yield from _read_unit(ranges, unit, table, keep_ids)
+                yield from _read_file(ranges, unit["file"], unit["before"], table, keep_ids)
 
-    rows = spark.createDataFrame(units or [("", 0, 0, 0)], "file string, before long, first long, last long").where("file <> ''")
     schema = "id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * keep_ids
-    return rows.repartition(max(1, min(len(units), 4 * partitions(spark)))).mapInArrow(step, schema)
+    return units.repartition(4 * partitions(spark)).mapInArrow(step, schema)
 
 
-def _read_unit(ranges: Ranges, unit: dict, table: Table, keep_ids: bool) -> Iterator[pa.RecordBatch]:
-    """The documents that begin in the unit's blocks, a group of blocks at a time; the last one may reach further."""
-    blocks, docs, null, counts = read_index(ranges, unit["file"])
+def _read_file(ranges: Ranges, file: str, before: int, table: Table, keep_ids: bool) -> Iterator[pa.RecordBatch]:
+    """The documents of a file, a group of blocks at a time: those that begin there; the last one may reach further."""
+    blocks, docs, null, counts = read_index(ranges, file)
     starts = np.cumsum(counts) - counts
-    for g in range(unit["first"], min(unit["last"], len(blocks)), GROUP):
-        till = min(g + GROUP, unit["last"], len(blocks))
+    for g in range(0, len(blocks), GROUP):
+        till = min(g + GROUP, len(blocks))
         lo, hi = np.searchsorted(starts, [blocks[g, 0], blocks[till - 1, 0] + blocks[till - 1, 1]])
         if lo == hi:
             continue
-        ids = read_ids(ranges, unit["file"], blocks, int(starts[lo]), int(counts[lo:hi].sum()), table).astype("<u4")
+        ids = read_ids(ranges, file, blocks, int(starts[lo]), int(counts[lo:hi].sum()), table).astype("<u4")
         cuts = (starts[lo:hi] - starts[lo]).tolist()
         parts = [ids[a : a + n].tobytes() for a, n in zip(cuts, counts[lo:hi].tolist(), strict=True)]
         columns = [
             pa.array(docs[lo:hi], mask=null[lo:hi].astype(bool)),
-            pa.array(starts[lo:hi] + unit["before"]),
+            pa.array(starts[lo:hi] + before),
             pa.array(counts[lo:hi]),
             pa.array([zlib.crc32(p) for p in parts], pa.int64()),
         ]

@@ -7,6 +7,8 @@ not white space. Words of natural text repeat, so most pieces come from a table
 from __future__ import annotations
 
 import functools
+import gc
+import json
 import os
 import re
 
@@ -14,6 +16,20 @@ import numpy as np
 
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 _BREAK = ("\n",)
+#: Letters that no normaliser joins to anything, and ASCII marks but the apostrophe: marks after letters are cut off by every pattern.
+_PLAIN = re.compile(r"[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+")
+_MARKS = "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum() and c != "'")
+
+
+_ASCII = set(map(chr, range(128)))
+
+
+def _byte_letters() -> dict[str, str]:
+    """How a byte-level vocabulary writes each letter beyond ASCII of ``_PLAIN``: a character for each UTF-8 byte."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    written = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+    return {c: "".join(written[b] for b in c.encode()) for c in map(chr, range(0xC0, 0x100))}
 
 
 class CachedEncoder:
@@ -24,7 +40,7 @@ class CachedEncoder:
     The ids are those of ``encode`` without special tokens for any text.
     """
 
-    def __init__(self, path: str, spaced: bool, cache: int = 1_000_000):
+    def __init__(self, path: str, spaced: bool, cache: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -33,20 +49,92 @@ class CachedEncoder:
         self.mark_id, self.mark = added[0][0], added[0][1].content
         self.marks = [t.content for _, t in added]
         self.spaced, self.limit, self.space = spaced, cache, " " if spaced else ""
-        self.stops = {c: self._plain(c).tobytes() for c in ".,"}
-        self.known: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.known: dict[str | tuple, bytes] = {}
+        self.old: dict[str | tuple, bytes] = {}
+        self.letters, self.words = _byte_letters(), self._word_tokenizer(path)
+
+    def _word_tokenizer(self, path: str):
+        """The same model for words whose pieces are cut already, without the normaliser and the patterns; None if the file isn't of the kind.
+
+        ``edge``: ids with which a word begins (byte-level vocabularies write its space in front) or ends (word ends are marked).
+        """
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        with open(path) as f:
+            made = json.load(f)
+        suffix, first = made["model"].get("end_of_word_suffix"), made["pre_tokenizer"]
+        if made["model"]["type"] != "BPE" or not (first.get("use_regex") and not made["normalizer"] if self.spaced else suffix):
+            return None
+        out = Tokenizer.from_file(path)
+        out.normalizer, out.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
+        vocabulary = out.get_vocab()
+        self.edge = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.front = self._spelt(" ") if self.spaced else ""
+        self.edge[[i for t, i in vocabulary.items() if (t.startswith(self.front) if self.spaced else t.endswith(suffix))]] = True
+        return out
+
+    def _spelt(self, text: str) -> str:
+        from tokenizers import pre_tokenizers
+
+        return pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(text)[0][0]
 
     def _plain(self, text: str) -> np.ndarray:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
     def _learn(self, pieces: set[str | tuple]) -> None:
-        """Many pieces in one text, between marks that can stand in none of them.
-
-        A full stop or comma after a letter is a token of its own, so the piece before it is what is learnt.
-        """
-        known, ends = self.known, [p for p in pieces if p[-1] in self.stops and len(p) > 1 and p[-2].isalpha()]
-        todo = list((pieces.difference(ends) | {p[:-1] for p in ends}).difference(known))
+        """The ids of new pieces. Marks after letters are a token's text of their own, so letters and marks are learnt apart."""
+        known, old, ends, need, letters = self.known, self.old, [], set(), []
+        for p in pieces:
+            alone = isinstance(p, tuple)
+            text = p[0] if alone else p
+            word = text.rstrip(_MARKS)
+            if not word.isalpha() or not (word.isascii() or _PLAIN.fullmatch(word)):
+                need.add(p)
+                continue
+            key = (word,) if alone else word
+            if len(word) < len(text):
+                marks = (text[len(word) :],)
+                ends.append((p, key, marks))
+                need.add(marks)
+                if key in known:
+                    continue
+                if key in old:
+                    known[key] = old[key]
+                    continue
+            if alone:
+                need.add(key)
+            else:
+                letters.append(word)
+        letters = list(dict.fromkeys(letters))
+        if self.words is None:
+            need.update(letters)
+        else:
+            need.update(self._learn_words(letters))
+        self._learn_any([p for p in need if p not in known])
+        known.update((p, known[word] + known[marks]) for p, word, marks in ends)
+
+    def _learn_words(self, words: list[str], size: int = 200) -> list[str]:
+        """Learns words of plain letters, many in one text; returns those whose ends could not be told."""
+        groups, texts, left = [words[i : i + size] for i in range(0, len(words), size)], [], []
+        for part in groups:
+            text = " ".join(part) if self.spaced else " ".join(part).lower()
+            for c in sorted({*filter(str.isalpha, text)} - _ASCII, key="\u00c3".__ne__):  # that letter is in what others become
+                text = text.replace(c, self.letters[c])
+            texts.append(self.front + text.replace(" ", " " + self.front) if self.spaced else text)
+        for part, found in zip(groups, self.words.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            ids = np.asarray(found.ids, dtype="<u4")
+            cut = 4 * np.flatnonzero(self.edge[ids])
+            if len(cut) != len(part):
+                left += part
+                continue
+            ends = [*cut.tolist()[1:], 4 * len(ids)] if self.spaced else (cut + 4).tolist()
+            raw = ids.tobytes()
+            self.known.update((p, raw[x:y]) for p, x, y in zip(part, [0, *ends[:-1]], ends, strict=True))
+        return left
+
+    def _learn_any(self, todo: list[str | tuple]) -> None:
+        """Many pieces in one text, between marks that can stand in none of them."""
+        known = self.known
         size = 64 if self.spaced else 4000  # what each kind of vocabulary is fastest with
         groups = [todo[i : i + size] for i in range(0, len(todo), size)]
         texts = [self.mark.join([p[0] if isinstance(p, tuple) else self.space + p for p in part]) for part in groups]
@@ -55,7 +143,6 @@ class CachedEncoder:
             cut = np.flatnonzero(ids == self.mark_id)
             raw, starts, stops = ids.tobytes(), [0, *(4 * (cut + 1)).tolist()], [*(4 * cut).tolist(), 4 * len(ids)]
             known.update((p, raw[x:y]) for p, x, y in zip(part, starts, stops, strict=True))
-        known.update((p, known[p[:-1]] + self.stops[p[-1]]) for p in ends)
 
     def pieces(self, text: str) -> list[str | tuple]:
         """What the text is cut into. With spaces, a piece that has none is a tuple: the first of the text or of a line."""
@@ -76,6 +163,15 @@ class CachedEncoder:
 
     def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text; null is as empty."""
+        collecting = gc.isenabled()
+        gc.disable()  # tables of millions of strings hold no circles, and going through them takes long
+        try:
+            return self._encode_batch(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
         if len(self.known) > self.limit:
             self.old, self.known = self.known, {}
         known, old = self.known, self.old
