@@ -1,4 +1,4 @@
-"""The queries of the ten operators and of the pipeline, and the SQL of those that SQL can express."""
+"""The queries of the operators, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import chat, decontaminate, lines, packing, quality, rans, sharding, simhash, substrings, warc
+from vellum.llm import audit, centroids, chat, decontaminate, lines, packing, quality, rans, sharding, simhash, substrings, topk, warc
 from vellum.llm.common import Scratch, load
 from vellum.llm.tokens import tokenizer_path
 
@@ -100,6 +100,21 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = topk.top_k(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, last = centroids.cluster(load(spark, sf_dir, "embeddings"), count=16, rounds=3, width=64, scale=64)
+    rows = centroids.report(found, last, Scratch(spark, "centroids"))
+    return rows.select(F.col("id").alias("vec_id"), F.col("number").alias("cluster"), "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def op13_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_quality": op2_quality,
@@ -111,11 +126,46 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_rans": op8_rans,
     "op9_line_dedup": op9_line_dedup,
     "op10_chat": op10_chat,
+    "op11_topk": op11_topk,
+    "op12_centroids": op12_centroids,
+    "op13_audit": op13_audit,
 }
 
 #: The words of operator 5, with a list function of DuckDB.
 _OP5_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+_FINITE = "len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+
+def _op12_sql() -> str:
+    near = """SELECT vec_id, y, cluster, distance FROM (
+  SELECT vec_id, y, k AS cluster, list_sum(list_transform(range(1, 65), lambda i: (y[i] - c[i]) * (y[i] - c[i])))::BIGINT AS distance, n
+  FROM kept, c{0}
+) QUALIFY row_number() OVER (PARTITION BY n ORDER BY distance, cluster) = 1"""
+    parts = [
+        f"""kept AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS y, row_number() OVER () AS n
+  FROM embeddings WHERE len(embedding) = 64 AND {_FINITE}
+), c0 AS (
+  SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), y) - 1 AS k, y AS c FROM kept ORDER BY k LIMIT 16
+)"""
+    ]
+    for i in range(3):
+        parts.append(f"a{i} AS ({near.format(i)})")
+        parts.append(
+            f"""m{i} AS (
+  SELECT cluster, list(v ORDER BY i) AS c
+  FROM (SELECT cluster, i, (sum(y[i]) - (sum(y[i]) % count(*) + count(*)) % count(*)) // count(*) AS v FROM a{i}, range(1, 65) AS t(i) GROUP BY cluster, i)
+  GROUP BY cluster
+), c{i + 1} AS (SELECT k, coalesce(m.c, o.c) AS c FROM c{i} AS o LEFT JOIN m{i} AS m ON k = cluster)"""
+        )
+    parts.append(f"a3 AS ({near.format(3)})")
+    return f"""WITH {', '.join(parts)}
+SELECT vec_id, cluster::INTEGER AS cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia,
+       (sum(distance) OVER ())::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a3 JOIN c3 ON cluster = k"""
+
+
 ORACLES: dict[str, str] = {
     "op4_substrings": r"""
 WITH docs AS (
@@ -192,4 +242,46 @@ SELECT conv_id, count(*) AS n_turns,
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
        (3 + sum(size))::BIGINT AS formatted_chars
 FROM sized GROUP BY conv_id""",
+    "op11_topk": f"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings WHERE embedding IS NOT NULL AND {_FINITE}
+), scored AS (
+  SELECT q.vec_id AS query_id, x.vec_id, list_inner_product(q.e, x.e)::BIGINT AS score
+  FROM v AS q JOIN v AS x ON q.vec_id <> x.vec_id WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, (row_number() OVER w)::INTEGER AS rank, vec_id, score FROM scored
+WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5""",
+    "op12_centroids": _op12_sql(),
+    "op13_audit": r"""
+WITH split AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), told AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id
+), failed AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, len(w) < 50 AS a, 100 * len(list_distinct(w)) < 65 * len(w) AS b,
+         100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * len(t) AS c, regexp_matches(t, '[#$%&*|]') AS d,
+         coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), FALSE) AS e
+  FROM split LEFT JOIN told USING (doc_id)
+), masks AS (
+  SELECT part, a::INT + 2 * b::INT + 4 * c::INT + 8 * d::INT + 16 * e::INT AS m, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic
+  FROM failed GROUP BY ALL
+), f AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f, unnest([1, 2, 4, 8, 16]) AS bit
+), orders AS (
+  SELECT a.f || b.f || c.f || d.f || e.f AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+  FROM f AS a, f AS b, f AS c, f AS d, f AS e WHERE a.bit | b.bit | c.bit | d.bit | e.bit = 31
+), steps AS (
+  SELECT filter_order, step, bits[step] AS own, coalesce(list_sum(bits[1 : step - 1]), 0)::INT AS prior FROM orders, range(1, 6) AS t(step)
+), told_all AS (
+  SELECT part, filter_order, step, own,
+         sum(n) FILTER (WHERE m & (own | prior) = 0) AS kept, sum(n) FILTER (WHERE m & own <> 0 AND m & prior = 0) AS removed,
+         sum(n) FILTER (WHERE m & own <> 0 AND m & prior <> 0) AS redundant, sum(n) FILTER (WHERE m = own) AS unique_fails,
+         sum(good) FILTER (WHERE m & own <> 0 AND m & prior = 0) AS good_lost, sum(toxic) FILTER (WHERE m & own <> 0 AND m & prior = 0) AS toxic_lost
+  FROM masks, steps GROUP BY ALL
+)
+SELECT part, filter_order, step::INTEGER AS step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed,
+       coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails,
+       coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+       (sum(coalesce(removed, 0)) OVER (PARTITION BY part, own))::BIGINT AS shapley
+FROM told_all""",
 }
