@@ -123,7 +123,8 @@ def _assigned(centroids: np.ndarray, width: int, scale: int):
 
 
 def starting_centroids(rows: DataFrame, count: int, scale: int) -> np.ndarray:
-    first = rows.where("id IS NOT NULL").orderBy(F.sha2(F.concat(F.lit("1:"), F.col("id").cast("string")), 256), "v").limit(count).select("v").collect()
+    order = [F.sha2(F.concat(F.lit("1:"), F.col("id").cast("string")), 256), F.transform("v", lambda x: F.floor(scale * x)), F.col("v")]
+    first = rows.where("id IS NOT NULL").orderBy(*order).limit(count).select("v").collect()
     return _matrix([whole(np.array(r.v, dtype=np.float64), scale).tolist() for r in first])
 
 
