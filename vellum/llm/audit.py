@@ -23,7 +23,7 @@ from math import factorial
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import WORD_BREAKS
+from vellum.llm.common import WORD_BREAKS, Scratch
 
 _SIGNS = r"[#$%&*|]"
 _LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -64,6 +64,7 @@ def masks(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         F.min(F.when(F.col("id").isNotNull(), F.struct("id", "n"))).alias("first"),
         F.coalesce(F.sum(F.when(F.col("id").isNull(), F.col("n"))), F.lit(0)).alias("nameless"),
     )
+    by_text = Scratch(docs.sparkSession, "audit").write(by_text, "by_text")  # read twice; the texts are read once
     least = by_text.groupBy("same").agg(F.min("first.id").alias("least"), F.count(F.lit(1)).alias("kinds"))
     # Texts of one kind have their least id at hand; only the others are joined with it.
     shared = least.where("kinds > 1").select(F.col("same").alias("text"), "least")
