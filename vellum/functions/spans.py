@@ -15,22 +15,41 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def running_sums(numbers: Column) -> Column:
+    """The sum of what stands before each element of an array of whole numbers.
+
+    Goes by blocks of about the square root of the length, since a fold copies what it has gathered at every step.
+    """
+    none = F.struct(F.lit(0).alias("total"), F.array().cast("array<int>").alias("before"))
+
+    def fold(values: Column, number) -> Column:
+        return F.aggregate(
+            values,
+            none,
+            lambda acc, x: F.struct((acc["total"] + number(x)).alias("total"), F.concat(acc["before"], F.array(acc["total"])).alias("before")),
+        )
+
+    def joined(blocks: Column) -> Column:
+        starts = fold(blocks, lambda b: b["total"])["before"]
+        return F.flatten(F.zip_with(starts, blocks, lambda at, b: F.transform(b["before"], lambda x: x + at)))
+
+    def blocks(pair: Column) -> Column:
+        a, wide = pair["a"], pair["wide"]
+        at = F.sequence(F.lit(1), F.size(a), wide)
+        return let(F.transform(at, lambda i: fold(F.slice(a, i, wide), lambda x: x)), joined)
+
+    wide = F.ceil(F.sqrt(F.size(numbers))).cast("int")
+    return F.when(F.size(numbers) > 0, let(F.struct(numbers.alias("a"), wide.alias("wide")), blocks)).otherwise(F.array().cast("array<int>"))
+
+
 def matches(text: Column, pattern: str) -> Column:
     """array of (start, end, value) of the non-overlapping matches of a Java pattern that matches no empty string."""
 
     def place(pair: Column) -> Column:
         found, pieces = pair.found, pair.pieces
-        empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
-
-        def step(acc: Column, i: Column) -> Column:
-            start = acc["at"] + F.char_length(F.get(pieces, i))
-            end = start + F.char_length(F.get(found, i))
-            return F.struct(
-                end.alias("at"),
-                F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), F.get(found, i).alias("value")))).alias("out"),
-            )
-
-        return F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), empty, step, lambda acc: acc["out"])
+        lengths = F.zip_with(found, F.slice(pieces, F.lit(1), F.size(found)), lambda m, p: F.char_length(m) + F.char_length(p))
+        ends = F.zip_with(running_sums(lengths), lengths, lambda at, n: at + n)
+        return F.zip_with(ends, found, lambda end, m: F.struct((end - F.char_length(m)).alias("start"), end.alias("end"), m.alias("value")))
 
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     both = F.struct(found.alias("found"), F.split(text, pattern, -1).alias("pieces"))
@@ -43,17 +62,20 @@ def greedy(spans: Column) -> Column:
 
     ``spans``: array of structs whose first fields are start, minus priority, minus length, end.
     """
-    kind = "array<struct<start:int,rank:int,longest:int,end:int,type:string,value:string>>"
-    empty = F.struct(F.lit(0).alias("last"), F.array().cast(kind).alias("kept"))
+    empty = F.struct(F.lit(0).alias("last"), F.lit(0).alias("i"), F.array().cast("array<int>").alias("kept"))
 
     def step(acc: Column, s: Column) -> Column:
         fits = s["start"] >= acc["last"]
         return F.struct(
             F.when(fits, s["end"]).otherwise(acc["last"]).alias("last"),
-            F.when(fits, F.concat(acc["kept"], F.array(s))).otherwise(acc["kept"]).alias("kept"),
+            (acc["i"] + 1).alias("i"),
+            F.when(fits, F.concat(acc["kept"], F.array(acc["i"]))).otherwise(acc["kept"]).alias("kept"),
         )
 
-    return F.aggregate(F.array_sort(spans), empty, step, lambda acc: acc["kept"])
+    def kept(ordered: Column) -> Column:
+        return F.transform(F.aggregate(ordered, empty, step, lambda acc: acc["kept"]), lambda i: F.get(ordered, i))
+
+    return let(F.array_sort(spans), kept)
 
 
 def typed(found: Column, kind: str, priority: int) -> Column:
@@ -72,11 +94,12 @@ def typed(found: Column, kind: str, priority: int) -> Column:
 
 def replace_spans(text: Column, spans: Column, with_) -> Column:
     """``text`` with each of its disjoint, ordered spans replaced by ``with_(span)``."""
-    empty = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        return F.struct(s["end"].alias("at"), F.concat(acc["out"], gap, with_(s)).alias("out"))
+    def joined(pair: Column) -> Column:
+        whole, at = pair["text"], pair["spans"]
+        before = lambda i: F.when(i > 0, F.get(at, i - 1)["end"]).otherwise(0)
+        marked = F.transform(at, lambda s, i: F.concat(F.substring(whole, before(i) + 1, s["start"] - before(i)), with_(s)))
+        rest = F.substr(whole, before(F.size(at)) + 1)
+        return F.array_join(F.concat(marked, F.array(rest)), "")
 
-    done = F.aggregate(spans, empty, step)
-    return F.concat(done["out"], F.substr(text, done["at"] + 1))
+    return let(F.struct(text.alias("text"), spans.alias("spans")), joined)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions import text as tx
 from vellum.functions.jsontext import parse_reply
-from vellum.operators import comparison, corpus, date_normalizer, language, masker, providers, regex_extractor, text_cleaner, text_corrector
+from vellum.operators import comparison, corpus, date_normalizer, language, masker, providers, ranges, regex_extractor, text_cleaner, text_corrector
 from vellum.operators.regex_extractor import Field, Pattern
 from vellum.operators.text_splitter import split_text
 from vellum.sources.tables import load
@@ -119,6 +119,20 @@ def mask_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.md5("masked_text").alias("masked_md5"), "total_masked", F.to_json("by_type").alias("by_type"))
 
 
+def span_box_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rectangles to redact: e-mail addresses with 40 characters on both sides, against the boxes of the words of their texts."""
+    found = masker.sensitive_spans(_docs(spark, sf_dir), kinds=("EMAIL",)).where(F.size("spans") > 0)
+    spans = found.select("doc_id", F.explode("spans").alias("s")).select("doc_id", (F.col("s.start") - 40).alias("start"), (F.col("s.end") + 40).alias("end"))
+    return ranges.span_rectangles(spans, ranges.word_boxes(found, "doc_id"), "doc_id", ["doc_id"])
+
+
+def chunks_without_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks that no e-mail address touches."""
+    spans = _spans(spark, sf_dir, "EMAIL").select("doc_id", F.col("start").alias("r_start"), F.col("end").alias("r_end"))
+    rows = ranges.not_overlapping(_chunk_rows(spark, sf_dir), spans, ["doc_id"], ["doc_id", "index"], left_range=("char_start", "char_end"))
+    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.col("char_end") - F.col("char_start")).alias("chars"))
+
+
 def clean_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = text_cleaner.clean_text(_dirty(_docs(spark, sf_dir)))
     return rows.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), F.sum("original_length").alias("original"), F.sum("cleaned_length").alias("cleaned"), F.max("chars_removed").alias("most_removed"))
@@ -258,6 +272,6 @@ _NAMES = (
     "splitter_chunks splitter_stats index_chunks_trimmed clean_text clean_upper strip_special_stats digit_fold dates_numeric_normalized "
     "date_format_variants dates_by_month_name pii_emails pii_ipv4 pii_email_offsets pii_spans_by_type pii_cards pii_phones mask_text clean_stats gap_missing spell_merge mask_emails regex_extract_fields "
     "regex_extract_stats gap_score gap_report gap_invoices language_rank language_segments claim_split line_overlap doc_compare spell_corrections "
-    "edit_distance llm_json_recovery answer_parse translate_identity sentiment_defaults semantic_extract summarize_first ocr_line_aggregate element_type_summary"
+    "span_box_union chunks_without_emails edit_distance llm_json_recovery answer_parse translate_identity sentiment_defaults semantic_extract summarize_first ocr_line_aggregate element_type_summary"
 )
 QUERIES = {n: globals()[n] for n in _NAMES.split()}

@@ -36,6 +36,12 @@ ips AS (
     SELECT doc_id, unnest(regexp_extract_all(regexp_replace(text, '\d+(\.\d+)*', '<\0>', 'g'), '<\d{{1,3}}\.\d{{1,3}}\.\d{{1,3}}\.\d{{1,3}}>')) AS v FROM documents)
 )"""
 
+_EMAIL_SPANS = f"""
+parts AS (SELECT doc_id, regexp_split_to_array(text, '{_EMAIL}') AS p, regexp_extract_all(text, '{_EMAIL}') AS m FROM documents WHERE regexp_matches(text, '{_EMAIL}')),
+begun AS (SELECT doc_id, m[i] AS value, (list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))::INT AS s
+          FROM parts, unnest(range(1, len(m) + 1)) AS t(i)),
+spans AS (SELECT doc_id, s, (s + length(value))::INT AS e FROM begun)"""
+
 _RULES = r"""
 found AS (
   SELECT doc_id, 'contact' AS category, 'email' AS name, true AS required, nullif(regexp_extract(text, '(?i)[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}'), '') AS value, 0.8 AS sure, true AS ok FROM documents
@@ -138,6 +144,24 @@ WITH {_GAPS}, s AS (
          coalesce(string_agg(field, ',' ORDER BY field) FILTER (WHERE status = 'GAP' AND severity = 'CRITICAL'), '') AS missing
   FROM fields GROUP BY doc_id)
 SELECT *, round(matched * 100 / total_fields, 1) AS percentage, round(matched * 100 / total_fields, 1) / 100 >= 0.4 AS threshold_exceeded FROM s""",
+    "span_box_union": rf"""
+WITH {_EMAIL_SPANS}, lines AS (
+  SELECT doc_id, i - 1 AS line, l[i] AS x, (coalesce(list_sum(list_transform(l[1:i - 1], lambda y: length(y))), 0) + i - 1)::INT AS o
+  FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents SEMI JOIN spans USING (doc_id)), unnest(range(1, len(l) + 1)) AS t(i)
+), cut AS (
+  SELECT doc_id, line, o, regexp_split_to_array(x, '[^ \t\n\x0B\f\r]+') AS p, regexp_extract_all(x, '[^ \t\n\x0B\f\r]+') AS m FROM lines
+), words AS (
+  SELECT doc_id, line, o, length(m[i]) AS n,
+         list_sum(list_transform(p[1:i], lambda y: length(y))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda y: length(y))), 0) AS col
+  FROM cut, unnest(range(1, len(m) + 1)) AS t(i)
+)
+SELECT doc_id, line::INT AS line, min(6.0 * col)::DOUBLE - 0.8 AS x0, min(12.0 * line)::DOUBLE - 0.4 AS y0, max(6.0 * (col + n))::DOUBLE + 0.8 AS x1,
+       max(12.0 * line + 10)::DOUBLE + 0.4 AS y1, count(DISTINCT o + col) AS words
+FROM spans JOIN words USING (doc_id) WHERE o + col < e + 40 AND s - 40 < o + col + n GROUP BY doc_id, line""",
+    "chunks_without_emails": f"""
+WITH {_CHUNKS}, {_EMAIL_SPANS}
+SELECT doc_id, count(*) AS chunks, sum(char_end - char_start)::BIGINT AS chars
+FROM chunks AS c WHERE NOT EXISTS (SELECT 1 FROM spans AS s WHERE s.doc_id = c.doc_id AND s.s < c.char_end AND c.char_start < s.e) GROUP BY doc_id""",
     "gap_missing": f"WITH {_GAPS} SELECT doc_id, field, severity FROM fields WHERE status = 'GAP'",
     "clean_stats": f"""
 WITH d AS (SELECT lang, {_DIRTY} AS text FROM documents), c AS (SELECT lang, length(text) AS n, length({_clean('text')}) AS m FROM d)
