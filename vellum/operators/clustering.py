@@ -2,21 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, RegexTokenizer, StopWordsRemover, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vellum.functions import vectors
 from vellum.functions.text import strip
+from vellum.operators import topics
 from vellum.operators.language import STOP_WORDS
 
 MIN_CHARS = 20
-#: Similarity from which two documents alone are one topic.
-SAME_TOPIC = 0.42
 WORD = r"[^\W\d_][\w'-]+"
 
 
@@ -49,56 +44,13 @@ def top_terms(weights: DataFrame, by: str, k: int = 5) -> DataFrame:
     return summed.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def features(docs: DataFrame, text_col: str = "text", max_words: int = 16_000, max_chars: int = 10_000, char_weight: float = 0.35) -> DataFrame:
-    """``docs`` with features: word 1- and 2-grams and character 3-grams, TF-IDF, L2-normalised."""
-    rows = docs.withColumn("_t", F.lower(F.coalesce(F.col(text_col), F.lit(""))))
-    rows = RegexTokenizer(inputCol="_t", outputCol="_w0", gaps=False, pattern="(?U)" + WORD).transform(rows)
-    rows = StopWordsRemover(inputCol="_w0", outputCol="_w").transform(rows)
-    rows = NGram(n=2, inputCol="_w", outputCol="_w2").transform(rows)
-    rows = rows.withColumn("_words", F.concat("_w", "_w2"))
-    rows = RegexTokenizer(inputCol="_t", outputCol="_c0", gaps=False, pattern=r"(?U)\w").transform(rows)
-    rows = NGram(n=3, inputCol="_c0", outputCol="_chars").transform(rows)
-    for name, cap in (("words", max_words), ("chars", max_chars)):
-        rows = CountVectorizer(inputCol=f"_{name}", outputCol=f"_{name}_tf", vocabSize=cap).fit(rows).transform(rows)
-        rows = IDF(inputCol=f"_{name}_tf", outputCol=f"_{name}_idf").fit(rows).transform(rows)
-        rows = Normalizer(inputCol=f"_{name}_idf", outputCol=f"_{name}_n").transform(rows)
-    rows = VectorAssembler(inputCols=["_words_n", "_chars_n"], outputCol="_both").transform(rows)
-    rows = Normalizer(inputCol="_both", outputCol="features").transform(rows)
-    return rows.select(*docs.columns, "features")
-
-
 def cluster_topics(docs: DataFrame, key: str = "doc_id", text_col: str = "text", k: int | None = None, max_k: int = 8, seed: int = 42, min_silhouette: float = 0.035) -> DataFrame:
-    """key, cluster, similarity (to the centroid, 4 decimals) for each usable document.
+    """key, cluster, similarity (to the centroid, 4 decimals) for each usable document; see module topics.
 
     Without ``k``, the number from 2 to ``max_k`` with the best cosine silhouette is taken, and 1 if that is under ``min_silhouette``.
     """
     usable, _ = eligible(docs.select(key, text_col), text_col)
-    rows = features(usable, text_col).select(key, "features")
-    rows = rows.checkpoint() if docs.sparkSession.conf.get("spark.checkpoint.dir", None) else rows  # read by each round
-    n = rows.count()
-    if n == 2 and k is None:  # two texts are one topic if they are alike enough
-        a, b = (r.features for r in rows.select("features").collect())
-        k = 1 if a.dot(b) / max(a.norm(2) * b.norm(2), 1e-12) >= SAME_TOPIC else 2
-    if n < 2:
-        k = 1
-    if k is None:
-        scored = []
-        for i in range(2, min(max_k, n - 1) + 1):
-            out = KMeans(k=i, seed=seed, distanceMeasure="cosine").fit(rows).transform(rows)
-            if out.select("prediction").distinct().count() > 1:
-                scored.append((ClusteringEvaluator(distanceMeasure="cosine").evaluate(out), -i))
-        best = max(scored, default=(0.0, -1))
-        k = -best[1] if best[0] >= min_silhouette else 1
-    if k == 1:
-        labelled = rows.withColumn("cluster", F.lit(0))
-    else:
-        labelled = KMeans(k=k, seed=seed, distanceMeasure="cosine").fit(rows).transform(rows).withColumnRenamed("prediction", "cluster")
-    from pyspark.ml.stat import Summarizer
-
-    centres = labelled.groupBy("cluster").agg(Summarizer.mean(F.col("features")).alias("centre"))
-    joined = labelled.join(F.broadcast(centres), "cluster")  # max_k rows at most
-    score = vectors.cosine(vector_to_array("features"), vector_to_array("centre"))
-    return joined.select(key, "cluster", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 4).alias("similarity"))
+    return topics.topics(usable, key, text_col, k, max_k, seed, min_silhouette)
 
 
 def cluster_labels(docs: DataFrame, assigned: DataFrame, key: str = "doc_id", text_col: str = "text", k: int = 5) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vellum.functions import vectors
-from vellum.operators import clustering, corpus, retrieval
+from vellum.operators import clustering, corpus, retrieval, topics
 from vellum.operators.text_splitter import split_text
 from vellum.sources.tables import load
 from vellum.streaming.events import sessions, windowed_counts
@@ -150,6 +150,10 @@ def topic_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.cluster_summary(clustering.cluster_topics(load(spark, sf_dir, "documents"), k=4))
 
 
+def topic_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topics.vocabulary(load(spark, sf_dir, "documents"), "doc_id").select("kind", "term", "n", "at")
+
+
 def cluster_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     assigned = clustering.cluster_topics(docs, k=4).select("doc_id", "cluster")
@@ -243,7 +247,7 @@ def chunk_source_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 _NAMES = (
     "router_route router_counts branch_merge upload_validation batch_validation corpus_stats corpus_dedup_first corpus_union library_upsert_latest "
     "library_list_recent library_reconcile vector_topk_per_query vector_norms knn_label_vote positional_chunk_join qa_retrieve qa_prompt "
-    "prompt_templates critic_embedding_claims critic_score tfidf_top_terms topic_clusters cluster_keywords centroid_similarity cluster_representatives feedback_validate "
+    "prompt_templates critic_embedding_claims critic_score tfidf_top_terms topic_clusters topic_vocabulary cluster_keywords centroid_similarity cluster_representatives feedback_validate "
     "feedback_signal for_each_counts table_shape workflow_chunks workflow_run_report extension_order_revenue extension_rollup extension_top_orders "
     "extension_event_windows extension_event_sessions chunk_source_counts"
 )

@@ -80,6 +80,22 @@ w AS (SELECT lang, term, round(sum((1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM
 SELECT lang, term, round(weight, 4) AS weight, row_number() OVER (PARTITION BY lang ORDER BY weight DESC, term)::INT AS rank FROM w
 QUALIFY row_number() OVER (PARTITION BY lang ORDER BY weight DESC, term) <= 5""",
     "centroid_similarity": f"WITH {_CENTRES} SELECT label, vec_id, similarity FROM near",
+    "topic_vocabulary": r"""
+WITH runs AS (
+  SELECT doc_id, list_filter(list_transform(regexp_extract_all(strip_accents(lower(text)), '[\pL\pM\pN\p{Pc}''-]+'),
+    lambda r: regexp_extract(r, '(?:^|[''-])(\pL[\pL\pM\pN\p{Pc}''-]*[\pL\pM\pN\p{Pc}])', 1)), lambda r: r <> '') AS w FROM documents
+), words AS (
+  SELECT unnest(w) AS term FROM runs UNION ALL SELECT w[i] || ' ' || w[i + 1] FROM runs, unnest(range(1, len(w))) AS t(i)
+), chars AS (
+  SELECT ' ' || p || ' ' AS p, count(*) AS tf FROM (SELECT unnest(regexp_split_to_array(lower(text), '[ \t\n\x0B\f\r]+')) AS p FROM documents) WHERE p <> '' GROUP BY p
+), grams AS (
+  SELECT substr(p, i, n) AS term, tf FROM chars, unnest([3, 4, 5]) AS s(n), unnest(range(1, greatest(length(p) - n + 2, 1))) AS t(i)
+), counts AS (
+  SELECT 'w' AS kind, term, count(*) AS n FROM words GROUP BY term UNION ALL SELECT 'c', term, sum(tf)::BIGINT FROM grams GROUP BY term
+), ranked AS (
+  SELECT *, (row_number() OVER (PARTITION BY kind ORDER BY n DESC, term) - 1)::INT AS r FROM counts
+)
+SELECT kind, term, n, (r + CASE kind WHEN 'c' THEN 16000 ELSE 0 END)::INT AS "at" FROM ranked WHERE r < CASE kind WHEN 'w' THEN 16000 ELSE 10000 END""",
     "cluster_representatives": f"""
 WITH {_CENTRES} SELECT label AS cluster, count(*) AS documents, round(avg(similarity), 4) AS avg_similarity,
   (list(vec_id ORDER BY similarity DESC, vec_id))[1] AS representative FROM near GROUP BY label""",
