@@ -13,7 +13,8 @@ import sys
 from pyspark.sql import SparkSession
 spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
 from vellum.llm import rans, simhash
-from vellum.llm.common import Scratch, shared_root
+from vellum.llm.common import Scratch
+from vellum.session import shared_root
 from vellum.llm.tokens import tokenizer_path
 root = shared_root(spark)
 assert root.startswith("file:///") and root == shared_root(spark) == shared_root(spark.newSession()), root

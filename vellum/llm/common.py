@@ -7,8 +7,6 @@ another one wrote, and a lost executor costs only the tasks that it was running.
 from __future__ import annotations
 
 import gc
-import re
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -16,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from vellum.session import shared_root
+
 #: Characters that end a word for the operators that split on ASCII white space.
 WORD_BREAKS = "\x20\x09\x0a\x0b\x0c\x0d"
 
@@ -24,22 +24,6 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``, as an address with its file system, so that Spark and Arrow mean the same one.
-
-    Where that is unset and everything runs on one machine, a temporary folder, the same one for the whole application.
-    """
-    context = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the cluster shares")
-        root = context._vellum_folder = getattr(context, "_vellum_folder", None) or f"file://{tempfile.mkdtemp(prefix='vellum-')}"
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
-    return re.sub(r"^(\w[\w+.-]*):/(?!/)", r"\1:///", whole).rstrip("/")
-
-
 class Scratch:
     """A folder of this run's own in the shared folder."""
 
