@@ -1,9 +1,11 @@
-"""Language detection: function words, scored by segment and averaged over the segments where a language appears."""
+"""Language detection by function words: scored by segment and averaged over the segments where a language appears.
+
+Module language_model has the detector that is trained on labelled documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vellum.functions.spans import let
@@ -49,19 +51,43 @@ def scores(text: Column) -> Column:
     return let(let(F.lower(text), by_language), totalled)
 
 
+def _ranked(docs: DataFrame, key: str, text: Column, mode: str, judge, worth, min_probability: float, max_languages: int) -> DataFrame:
+    """One scan, all within the row: ``judge(text)`` is an array of (lang, p), in which only languages that show appear.
+
+    Probabilities are averaged over the segments where a language shows; where none shows, the whole text is judged.
+    """
+
+    def averaged(found: Column) -> Column:
+        flat = F.flatten(found)
+        langs = F.array_distinct(F.transform(flat, lambda x: x.lang))
+
+        def mean(lang: Column) -> Column:
+            own = F.filter(flat, lambda x: x.lang == lang)
+            return F.struct(lang.alias("lang"), F.round(F.aggregate(own, F.lit(0.0), lambda acc, x: acc + x.p) / F.size(own), 4).alias("probability"))
+
+        means = F.filter(F.transform(langs, mean), lambda m: m.probability >= min_probability)
+        order = lambda a, b: F.when(a.probability > b.probability, -1).when(a.probability < b.probability, 1).when(a.lang < b.lang, -1).otherwise(1)
+        return F.slice(F.array_sort(means, order), 1, max_languages)
+
+    def best(each: Column) -> Column:
+        shown = F.exists(each, lambda found: F.size(found) > 0)
+        return let(F.when(shown, each).otherwise(F.array(judge(text))), averaged)
+
+    each = F.transform(F.filter(segments(text, mode), worth), judge)
+    unknown = F.array(F.struct(F.lit("unknown").alias("lang"), F.lit(0.0).alias("probability")))
+    rows = docs.select(key, let(each, best).alias("_best"))
+    rows = rows.select(key, F.posexplode(F.when(F.size("_best") > 0, F.col("_best")).otherwise(unknown)).alias("i", "x"))
+    return rows.select(key, "x.lang", "x.probability", (F.col("i") + 1).alias("rank"))
+
+
 def detect_languages(
     docs: DataFrame, mode: str = "document", text_col: str = "text", key: str = "doc_id", min_probability: float = 0.1, max_languages: int = 5
 ) -> DataFrame:
-    """key, lang, probability, rank. Segments with under three ASCII letters don't count; where no segment shows a language, the whole
-    text is judged, whatever its letters; a document without any language is "unknown" with probability 0. Ties go by language code."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    worth = F.filter(segments(text, mode), lambda s: F.length(F.regexp_replace(s, "[^a-zA-Z]", "")) >= 3)
-    each = docs.select(key, text.alias("_text"), F.transform(worth, scores).alias("_each"))
-    shown = F.exists("_each", lambda found: F.exists(found, lambda x: x.hits > 0))
-    all_ = F.when(shown, F.col("_each")).otherwise(F.array(scores(F.col("_text"))))
-    rows = each.select(key, F.explode(F.flatten(all_)).alias("x"))
-    means = rows.where("x.hits > 0").groupBy(key, F.col("x.lang").alias("lang")).agg(F.round(F.avg(F.col("x.hits") / F.col("x.total")), 4).alias("probability"))
-    ranked = means.where(F.col("probability") >= min_probability)
-    ranked = ranked.withColumn("rank", F.row_number().over(W.partitionBy(key).orderBy(F.desc("probability"), "lang"))).where(F.col("rank") <= max_languages)
-    missing = docs.select(key).distinct().join(ranked.select(key), key, "left_anti")
-    return ranked.unionByName(missing.select(key, F.lit("unknown").alias("lang"), F.lit(0.0).alias("probability"), F.lit(1).alias("rank")))
+    """key, lang, probability, rank by function words. Segments with under three ASCII letters don't count; where no segment shows a language, the
+    whole text is judged, whatever its letters; a document without any language is "unknown" with probability 0. Ties go by language code."""
+
+    def judge(text: Column) -> Column:
+        return F.transform(F.filter(scores(text), lambda x: x.hits > 0), lambda x: F.struct(x.lang.alias("lang"), (x.hits / x.total).alias("p")))
+
+    worth = lambda s: F.length(F.regexp_replace(s, "[^a-zA-Z]", "")) >= 3
+    return _ranked(docs, key, F.coalesce(F.col(text_col), F.lit("")), mode, judge, worth, min_probability, max_languages)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions import text as tx
 from vellum.functions.jsontext import parse_reply
-from vellum.operators import comparison, corpus, date_normalizer, language, masker, providers, ranges, regex_extractor, text_cleaner, text_corrector
+from vellum.operators import comparison, corpus, date_normalizer, language, language_model, masker, providers, ranges, regex_extractor, text_cleaner, text_corrector
 from vellum.operators.regex_extractor import Field, Pattern
 from vellum.operators.text_splitter import split_text
 from vellum.sources.tables import load
@@ -200,6 +200,20 @@ def language_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.groupBy("lang", "found").agg(F.count(F.lit(1)).alias("n"))
 
 
+def language_model_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents by a model trained on four fifths of them."""
+    docs = _docs(spark, sf_dir)
+    return language_model.train(docs.where("doc_id % 5 <> 0")).detect(docs)
+
+
+def language_model_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraph by paragraph: how often each language came first for the documents that didn't train the model."""
+    docs = _docs(spark, sf_dir)
+    rows = docs.where("doc_id % 5 = 0").withColumn("id", F.struct("doc_id", "lang"))
+    best = language_model.train(docs.where("doc_id % 5 <> 0")).detect(rows, mode="paragraph", key="id").where("rank = 1")
+    return best.groupBy(F.col("id.lang").alias("lang"), F.col("lang").alias("found")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def claim_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = load(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(tx.claims(F.col("text"))).alias("c"))
     return rows.groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("claims"), F.sum(F.char_length("c")).alias("chars"))
@@ -271,7 +285,7 @@ def element_type_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 _NAMES = (
     "splitter_chunks splitter_stats index_chunks_trimmed clean_text clean_upper strip_special_stats digit_fold dates_numeric_normalized "
     "date_format_variants dates_by_month_name pii_emails pii_ipv4 pii_email_offsets pii_spans_by_type pii_cards pii_phones mask_text clean_stats gap_missing spell_merge mask_emails regex_extract_fields "
-    "regex_extract_stats gap_score gap_report gap_invoices language_rank language_segments claim_split line_overlap doc_compare spell_corrections "
+    "regex_extract_stats gap_score gap_report gap_invoices language_rank language_segments language_model_rank language_model_segments claim_split line_overlap doc_compare spell_corrections "
     "span_box_union chunks_without_emails edit_distance llm_json_recovery answer_parse translate_identity sentiment_defaults semantic_extract summarize_first ocr_line_aggregate element_type_summary"
 )
 QUERIES = {n: globals()[n] for n in _NAMES.split()}

@@ -88,6 +88,38 @@ ranked AS (
 )"""
 
 
+_MODEL = r"""
+folded AS (
+  SELECT doc_id, lang, ' ' || trim(regexp_replace(lower(text), '[^\pL]+', ' ', 'g')) || ' ' AS s FROM documents WHERE regexp_matches(text, '\pL')
+), codes AS (
+  SELECT doc_id, lang, list_transform(string_split(s, ''), lambda x: unicode(x)::BIGINT) AS c FROM folded
+), grams AS (
+  SELECT doc_id, lang, unnest(list_concat(
+    list_transform(c, lambda x: x % 8191),
+    list_transform(range(1, len(c)), lambda i: (c[i] * 257 + c[i + 1]) % 8191 + 8191),
+    list_transform(range(1, len(c) - 1), lambda i: ((c[i] * 257 + c[i + 1]) * 257 + c[i + 2]) % 8191 + 16382))) AS g FROM codes
+), counts AS (
+  SELECT lang, g, count(*) AS n FROM grams WHERE doc_id % 5 <> 0 AND lang IS NOT NULL GROUP BY ALL
+), totals AS (
+  SELECT lang, g // 8191 AS o, sum(n) AS t FROM counts GROUP BY ALL
+), model AS (
+  SELECT lang, g, coalesce(n, 0) AS n, round(1000 * ln((coalesce(n, 0) + 0.5) / (t + 4095.5)))::BIGINT AS w
+  FROM (SELECT lang, t, o * 8191 + b AS g FROM totals, range(8191) AS r(b)) LEFT JOIN counts USING (lang, g)
+), fit AS (
+  SELECT lang, sum(n * w) / sum(n) AS m, sqrt(greatest(0, sum(n * w * w) / sum(n) - (sum(n * w) / sum(n)) * (sum(n * w) / sum(n)))) AS d FROM model GROUP BY lang
+), bags AS (
+  SELECT doc_id, g, count(*) AS k FROM grams GROUP BY ALL
+), scored AS (
+  SELECT doc_id, model.lang, sum(k * w) AS score, sum(k) AS n FROM bags JOIN model USING (g) GROUP BY ALL
+), best AS (
+  SELECT s.*, max(score) OVER (PARTITION BY doc_id) AS top, (m - 300) * n - 6 * d * sqrt(n) AS least FROM scored AS s JOIN fit USING (lang)
+), odds AS (
+  SELECT doc_id, lang, exp((score - top) / 3000.0) AS p, bool_or(score = top AND score >= least) OVER (PARTITION BY doc_id) AS known FROM best
+), ranked AS (
+  SELECT doc_id, lang, round(p, 4) AS probability, row_number() OVER (PARTITION BY doc_id ORDER BY round(p, 4) DESC, lang)::INT AS rank
+  FROM (SELECT doc_id, lang, p / sum(p) OVER (PARTITION BY doc_id) AS p FROM odds WHERE known) WHERE round(p, 4) >= 0.1
+)"""
+
 ORACLES = {
     "splitter_chunks": f"WITH {_CHUNKS} SELECT doc_id, index::INT AS index, char_start::INT AS char_start, char_end::INT AS char_end, md5(text) AS text_md5 FROM chunks",
     "splitter_stats": f"""
@@ -175,6 +207,10 @@ SELECT n_nationkey, CASE WHEN contains(n, ' ') THEN 'from ' || n[1:3] || ' ' ||
 WITH s AS (SELECT 2 + (o_orderstatus <> 'F')::BIGINT AS matched FROM orders)
 SELECT round(matched * 100 / 6, 1) AS percentage, matched, 4 - matched AS missing_critical, 2::BIGINT AS missing_warning, count(*) AS n FROM s GROUP BY matched""",
     "language_rank": f"WITH {_languages('document')} SELECT doc_id, lang, probability, rank FROM detected",
+    "language_model_rank": f"""
+WITH {_MODEL}
+SELECT doc_id, lang, probability, rank FROM ranked WHERE rank <= 5
+UNION ALL SELECT doc_id, 'unknown', 0.0, 1 FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM ranked)""",
     "language_segments": f"WITH {_languages('paragraph')} SELECT d.lang, x.lang AS found, count(*) AS n FROM detected x JOIN documents d USING (doc_id) WHERE rank = 1 GROUP BY ALL",
     "claim_split": rf"""
 WITH c AS (SELECT conv_id, turn, {_strip('c')} AS c FROM (
