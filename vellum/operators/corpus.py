@@ -34,15 +34,20 @@ def mime_type(path: Column) -> Column:
     return out
 
 
-def validate_uploads(files: DataFrame, path: str = "path", size: str = "size_bytes", allowed: list[str] | None = None, max_mb: float = 50) -> DataFrame:
-    """``files`` with extension, mime_type, valid and error; a bad row never fails the others. Narrow."""
+def upload_error(path: str, size: str, allowed: list[str] | None = None, max_mb: float = 50) -> Column:
+    """Why a file isn't taken; null if it is."""
     ext = extension(F.col(path))
-    error = (
+    return (
         F.when(~ext.isin(*(allowed or UPLOAD_EXTENSIONS)), F.concat(F.lit("extension not allowed: "), ext))
         .when(F.col(size) == 0, "empty file")
         .when(F.col(size) > int(max_mb * 1024 * 1024), "file too large")
     )
-    return files.withColumns({"extension": ext, "mime_type": mime_type(F.col(path)), "error": error}).withColumn("valid", F.col("error").isNull())
+
+
+def validate_uploads(files: DataFrame, path: str = "path", size: str = "size_bytes", allowed: list[str] | None = None, max_mb: float = 50) -> DataFrame:
+    """``files`` with extension, mime_type, valid and error; a bad row never fails the others. Narrow."""
+    error = upload_error(path, size, allowed, max_mb)
+    return files.withColumns({"extension": extension(F.col(path)), "mime_type": mime_type(F.col(path)), "error": error}).withColumn("valid", F.col("error").isNull())
 
 
 def validate_batch(files: DataFrame, batch: str, **options) -> DataFrame:

@@ -13,6 +13,7 @@ from vellum.sources.tables import load
 from vellum.streaming.events import sessions, windowed_counts
 from vellum.workflow import graph as wf
 from vellum.workflow.nodes import REGISTRY
+from vellum.workflow.rows import run_observed
 
 ROUTES = [("web", [".html", ".com"]), ("numbered", [".org"])]
 
@@ -178,9 +179,40 @@ def feedback_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feedback_validate(spark, sf_dir).groupBy("signal").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("valid")).alias("rejected"))
 
 
+#: Uploads of at most 10,485 bytes; plans in JSON; dates of the calendar; texts to split.
+_EACH = {
+    "nodes": [
+        {"id": "upload", "type": "document-upload", "config": {"max_file_size_mb": 0.01}},
+        {"id": "plan", "type": "router-agent"},
+        {"id": "dates", "type": "date-normalizer", "config": {"strict": True}},
+        {"id": "split", "type": "text-splitter"},
+    ],
+    "edges": [
+        {"source": "upload", "source_port": "document", "target": "plan", "target_port": "plan"},
+        {"source": "plan", "source_port": "steps", "target": "dates", "target_port": "text"},
+        {"source": "dates", "source_port": "text", "target": "split", "target_port": "text"},
+    ],
+}
+
+
+def _files(spark, sf_dir):
+    """Documents as files with a plan: some of the wrong kind, too large, with JSON that breaks off or a day that isn't there."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text", "source", "n_chars")
+    id_ = F.col("doc_id")
+    path = F.concat(F.lit("in/"), id_.cast("string"), F.when(F.col("source") == "src3", ".exe").otherwise(".txt"))
+    reply = F.concat(F.lit('{"steps": [{"agent": "reader", "instruction": "'), id_.cast("string"), F.when(id_ % 7 == 0, '"').otherwise('"}]}'))
+    due = F.when(id_ % 11 == 0, "Due 31/02/2020. ").otherwise("Due 29/02/2020. ")
+    return docs.select("doc_id", path.alias("path"), F.col("n_chars").alias("size_bytes"), reply.alias("reply"), F.concat(due, "text").alias("text"))
+
+
 def for_each_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = load(spark, sf_dir, "documents").select("doc_id", F.when(F.col("n_chars") < 500, "failure").otherwise("success").alias("status"))
-    return wf.outcome_counts(rows)
+    results = REGISTRY["for-each"].run({"documents": _files(spark, sf_dir)}, {"subgraph": _EACH, "key": "doc_id"})["results"]
+    return wf.outcome_counts(results)
+
+
+def for_each_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    results = REGISTRY["for-each"].run({"documents": _files(spark, sf_dir)}, {"subgraph": _EACH, "key": "doc_id"})["results"]
+    return results.where("status = 'failure'").groupBy("node", "error").agg(F.count(F.lit(1)).alias("n"))
 
 
 def table_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -204,10 +236,10 @@ def workflow_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def workflow_run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = wf.Graph.from_dict({"nodes": [{"id": "in", "type": "corpus-input"}, {"id": "clean", "type": "text-cleaner"}, {"id": "mask", "type": "masker"}], "edges": [
-        {"source": "in", "source_port": "documents", "target": "clean", "target_port": "text"}, {"source": "clean", "source_port": "text", "target": "mask", "target_port": "text"}]})
-    runs = wf.compose(g, REGISTRY, {"in": {"documents": load(spark, sf_dir, "documents")}})
-    return spark.createDataFrame([(r.node, r.level, r.status) for r in runs.values()], "node string, level int, status string")
+    """What each node of a run has observed."""
+    seen = run_observed(wf.Graph.from_dict(_EACH), REGISTRY, _files(spark, sf_dir))
+    told = [tuple(r[k] for k in ("node", "level", "status", "rows_in", "rows_out", "failed")) for r in seen]
+    return spark.createDataFrame(told, "node string, level int, status string, rows_in long, rows_out long, failed long")
 
 
 def extension_order_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -248,7 +280,7 @@ _NAMES = (
     "router_route router_counts branch_merge upload_validation batch_validation corpus_stats corpus_dedup_first corpus_union library_upsert_latest "
     "library_list_recent library_reconcile vector_topk_per_query vector_norms knn_label_vote positional_chunk_join qa_retrieve qa_prompt "
     "prompt_templates critic_embedding_claims critic_score tfidf_top_terms topic_clusters topic_vocabulary cluster_keywords centroid_similarity cluster_representatives feedback_validate "
-    "feedback_signal for_each_counts table_shape workflow_chunks workflow_run_report extension_order_revenue extension_rollup extension_top_orders "
+    "feedback_signal for_each_counts for_each_failures table_shape workflow_chunks workflow_run_report extension_order_revenue extension_rollup extension_top_orders "
     "extension_event_windows extension_event_sessions chunk_source_counts"
 )
 QUERIES = {n: globals()[n] for n in _NAMES.split()}

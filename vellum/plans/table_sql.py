@@ -33,6 +33,16 @@ def _prompt(template: str) -> str:
     return "'" + text.replace("{chunks}", "' || chunks || '").replace("{question}", "Why?").replace("{context}", "ctx") + "'"
 
 
+#: The text begins with a date of 16 characters, which the normaliser shortens by none: 29/02/2020 and 2020-02-29 are as long.
+_EACH = """
+judged AS (
+  SELECT doc_id, length(text) + 16 AS size,
+         CASE WHEN source = 'src3' THEN 'upload' WHEN n_chars = 0 THEN 'upload' WHEN n_chars > 10485 THEN 'upload' WHEN doc_id % 7 = 0 THEN 'plan' WHEN doc_id % 11 = 0 THEN 'dates' END AS node,
+         CASE WHEN source = 'src3' THEN 'extension not allowed: .exe' WHEN n_chars = 0 THEN 'empty file' WHEN n_chars > 10485 THEN 'file too large'
+              WHEN doc_id % 7 = 0 THEN 'reply is no JSON' WHEN doc_id % 11 = 0 THEN 'no such date: 31/02/2020' END AS error
+  FROM documents
+)"""
+
 ORACLES = {
     "router_route": f"WITH {_ROUTED} SELECT page_id, route, 1.0::DOUBLE AS confidence FROM routed",
     "router_counts": f"WITH {_ROUTED} SELECT route, count(*) AS n FROM routed GROUP BY route",
@@ -101,7 +111,8 @@ WITH {_CENTRES} SELECT label AS cluster, count(*) AS documents, round(avg(simila
   (list(vec_id ORDER BY similarity DESC, vec_id))[1] AS representative FROM near GROUP BY label""",
     "feedback_validate": f"WITH {_FEEDBACK} SELECT doc_id, valid, signal, error FROM told",
     "feedback_signal": f"WITH {_FEEDBACK} SELECT signal, count(*) AS n, count(*) FILTER (WHERE NOT valid) AS rejected FROM told GROUP BY signal",
-    "for_each_counts": "SELECT count(*) AS total, count(*) FILTER (WHERE n_chars >= 500) AS succeeded, count(*) FILTER (WHERE n_chars < 500) AS failed FROM documents",
+    "for_each_counts": f"WITH {_EACH} SELECT count(*) AS total, count(*) FILTER (WHERE node IS NULL) AS succeeded, count(node) AS failed FROM judged",
+    "for_each_failures": f"WITH {_EACH} SELECT node, error, count(*) AS n FROM judged WHERE node IS NOT NULL GROUP BY ALL",
     "table_shape": "SELECT conv_id, count(*) FILTER (WHERE role <> 'assistant')::INT AS n_rows, count(*) FILTER (WHERE role = 'assistant')::INT AS n_columns FROM conversations GROUP BY conv_id",
     "extension_order_revenue": """
 SELECT n_name, sum(round(l_extendedprice * (1 - l_discount) * 100)::BIGINT)::BIGINT AS revenue_cents, count(DISTINCT o_orderkey) AS orders
@@ -119,5 +130,14 @@ SELECT user_id, count(*) AS sessions, max(n) AS longest FROM n GROUP BY user_id"
     "chunk_source_counts": """
 SELECT source, sum(greatest(1, ceil(length(text) / 1000.0)))::BIGINT AS chunks, max(greatest(1, ceil(length(text) / 1000.0)) - 1)::INT AS last_index
 FROM documents WHERE regexp_matches(text, '\\S') GROUP BY source""",
-    "workflow_run_report": "SELECT * FROM (VALUES ('in', 0, 'success'), ('clean', 1, 'success'), ('mask', 2, 'success')) AS t(node, level, status)",
+    "workflow_run_report": f"""
+WITH {_EACH}, n AS (
+  SELECT count(*) AS a, count(*) FILTER (WHERE node = 'upload') AS u, count(*) FILTER (WHERE node = 'plan') AS p, count(*) FILTER (WHERE node = 'dates') AS d,
+         sum(CASE WHEN node IS NOT NULL THEN 0 WHEN size <= 512 THEN 1 ELSE 1 + ceil((size - 512) / 412.0) END)::BIGINT AS chunks
+  FROM judged
+)
+SELECT 'upload' AS node, 0 AS level, 'success' AS status, a AS rows_in, a - u AS rows_out, u AS failed FROM n
+UNION ALL SELECT 'plan', 1, 'success', a - u, a - u - p, p FROM n
+UNION ALL SELECT 'dates', 2, 'success', a - u - p, a - u - p - d, d FROM n
+UNION ALL SELECT 'split', 3, 'success', a - u - p - d, chunks, 0 FROM n""",
 }

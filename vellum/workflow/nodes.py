@@ -15,7 +15,8 @@ from vellum.operators import clustering, comparison, corpus, date_normalizer, im
 from vellum.operators.text_splitter import split_text
 from vellum.sources import files
 from vellum.workflow.graph import ConfigField as C
-from vellum.workflow.graph import NodeType, Port
+from vellum.workflow.graph import Graph, NodeType, Port
+from vellum.workflow.rows import outcomes, rejected, run_rows
 
 Inputs, Config = dict[str, DataFrame], dict[str, Any]
 
@@ -135,7 +136,7 @@ def _cleaner(i: Inputs, c: Config):
 node("text-corrector", "normalization", "text:text", "text:text all:json", C("dictionary", "json", required=True), C("max_edit_distance", "number", default=1))(
     lambda i, c: _text("corrected_text")(text_corrector.correct_text(i["text"], c["dictionary"], max_distance=int(c["max_edit_distance"])))
 )
-node("date-normalizer", "normalization", "text:text", "text:text all:json", C("format", "select", default="YYYY-MM-DD", options=tuple(date_normalizer.FORMATS)), C("hijri", "boolean", default=True))(
+node("date-normalizer", "normalization", "text:text", "text:text all:json", C("format", "select", default="YYYY-MM-DD", options=tuple(date_normalizer.FORMATS)), C("hijri", "boolean", default=True), C("strict", "boolean", default=False))(
     lambda i, c: _text("normalized_text")(date_normalizer.normalize_dates(i["text"], fmt=c["format"], hijri=bool(c["hijri"])))
 )
 node("masker", "preprocessing", "text:text", "text:text all:json", C("kinds", "tags", default=list(masker.KINDS)), C("mask", default="█"))(
@@ -208,7 +209,18 @@ node("critic-agent", "validation", "claims:embedding evidence:embedding", "verdi
 node("router", "orchestration", "document:any", "route:json", C("rules", "json", default=[]), C("default_route", default=corpus.DEFAULT_ROUTE), C("path", default="path"))(
     lambda i, c: {"route": corpus.route(i["document"], c["path"], [(n, list(e)) for n, e in c["rules"]], c["default_route"])}
 )
-node("for-each", "orchestration", "documents:any", "results:json")(lambda i, c: {"results": i["documents"]})
+
+
+@node("for-each", "orchestration", "documents:any", "results:json rejected:json", C("subgraph", "json"), C("key", default="doc_id"), C("port"))
+def _for_each(i: Inputs, c: Config):
+    """Each document's outcome in a subgraph, and the rows that its nodes rejected; without a subgraph, the documents as they are."""
+    docs = i["documents"]
+    if not c.get("subgraph"):
+        return {"results": docs}
+    runs = run_rows(Graph.from_dict(c["subgraph"]), REGISTRY, docs, c["key"], c.get("port"))
+    return {"results": outcomes(runs, docs, c["key"]), "rejected": rejected(runs, docs, c["key"])}
+
+
 node("router-agent", "agents", "plan:json", "steps:json")(lambda i, c: {"steps": providers.plan_steps(i["plan"])})
 node("table-agent", "agents", "table:table", "answer:text", C("aggregation", "select", default="count", options=("count", "sum", "avg", "min", "max")), C("column", default="value"))(
     lambda i, c: {"answer": providers.ask_table(i["table"], c["aggregation"], c["column"])}
