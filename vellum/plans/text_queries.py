@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions import text as tx
 from vellum.functions.jsontext import parse_reply
-from vellum.operators import comparison, corpus, date_normalizer, language, language_model, masker, providers, ranges, regex_extractor, text_cleaner, text_corrector
+from vellum.operators import comparison, corpus, date_normalizer, extraction, language, language_model, masker, providers, ranges, regex_extractor, text_cleaner, text_corrector
 from vellum.operators.regex_extractor import Field, Pattern
 from vellum.operators.text_splitter import split_text
 from vellum.sources.tables import load
@@ -249,6 +249,23 @@ def llm_json_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("conv_id", "turn", F.coalesce("r.role", F.lit("none")).alias("found_role"), F.coalesce("r.turn", F.lit(-1)).alias("found_turn"))
 
 
+def typed_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of replies that hold every type, rightly and wrongly, and break off at times."""
+    rows = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.char_length("text").alias("n"), F.substring("text", 1, 40).alias("said"))
+    kind = (F.col("conv_id") + F.col("turn")) % 5
+    n = F.col("n").cast("string")
+    size = F.when(kind == 0, n).when(kind == 1, F.concat(F.lit('"'), n, F.lit('.5"'))).when(kind == 2, '"some"').when(kind == 3, "null").otherwise("[1]")
+    words = F.when(kind == 1, '"one two"').when(kind == 2, "[]").when(kind == 3, '{"a": 1}').otherwise(F.concat(F.lit("["), n, F.lit(', "x"]')))
+    body = F.concat(F.lit('{"role": "'), "role", F.lit('", "size": '), size, F.lit(', "words": '), words, F.lit(', "said": '), F.to_json(F.array("said")), F.when(F.col("n") % 7 == 6, "").otherwise("}"))
+    fields = [extraction.ReplyField("role"), extraction.ReplyField("size", "number"), extraction.ReplyField("words", "array"), extraction.ReplyField("said")]
+    found = extraction.validate_replies(rows.withColumn("reply", body), fields)
+    x = F.col("extracted")
+    return found.select(
+        "conv_id", "turn", x["role"]["value"].alias("role"), x["size"]["number"].alias("size"), x["size"]["confidence"].alias("size_confidence"),
+        x["words"]["confidence"].alias("words_confidence"), F.md5(x["said"]["value"]).alias("said_md5"), "matched", "match_rate",
+    )
+
+
 def answer_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = load(spark, sf_dir, "conversations")
     reply = F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit('{"answer":"'), F.col("role"), F.lit('"}'))).otherwise(F.col("role"))
@@ -286,6 +303,6 @@ _NAMES = (
     "splitter_chunks splitter_stats index_chunks_trimmed clean_text clean_upper strip_special_stats digit_fold dates_numeric_normalized "
     "date_format_variants dates_by_month_name pii_emails pii_ipv4 pii_email_offsets pii_spans_by_type pii_cards pii_phones mask_text clean_stats gap_missing spell_merge mask_emails regex_extract_fields "
     "regex_extract_stats gap_score gap_report gap_invoices language_rank language_segments language_model_rank language_model_segments claim_split line_overlap doc_compare spell_corrections "
-    "span_box_union chunks_without_emails edit_distance llm_json_recovery answer_parse translate_identity sentiment_defaults semantic_extract summarize_first ocr_line_aggregate element_type_summary"
+    "span_box_union chunks_without_emails edit_distance llm_json_recovery typed_extract answer_parse translate_identity sentiment_defaults semantic_extract summarize_first ocr_line_aggregate element_type_summary"
 )
 QUERIES = {n: globals()[n] for n in _NAMES.split()}

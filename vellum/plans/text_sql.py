@@ -230,6 +230,26 @@ SELECT word, upper(b.term[1]) || b.term[2:] AS corrected, b.d::INT AS distance F
     "edit_distance": "SELECT p_partkey, levenshtein(p_name, p_type) AS distance FROM part",
     "llm_json_recovery": """
 SELECT conv_id, turn, CASE WHEN turn % 3 = 2 THEN 'none' ELSE role END AS found_role, CASE WHEN turn % 3 = 2 THEN -1 ELSE turn END AS found_turn FROM conversations""",
+    "typed_extract": r"""
+WITH k AS (
+  SELECT conv_id, turn, role, length(text) AS n, substr(text, 1, 40) AS said, (conv_id + turn) % 5 AS kind FROM conversations
+), replies AS (
+  SELECT conv_id, turn, '{"role": "' || role || '", "size": ' || CASE kind WHEN 0 THEN n::VARCHAR WHEN 1 THEN '"' || n || '.5"' WHEN 2 THEN '"some"' WHEN 3 THEN 'null' ELSE '[1]' END
+         || ', "words": ' || CASE kind WHEN 1 THEN '"one two"' WHEN 2 THEN '[]' WHEN 3 THEN '{"a": 1}' ELSE '[' || n || ', "x"]' END
+         || ', "said": ' || to_json([said])::VARCHAR || CASE WHEN n % 7 = 6 THEN '' ELSE '}' END AS reply FROM k
+), docs AS (
+  SELECT conv_id, turn, CASE WHEN json_valid(reply) THEN reply::JSON END AS j FROM replies
+), got AS (
+  SELECT conv_id, turn, j ->> '$.role' AS role, json_type(j, '$.size') AS size_type, j ->> '$.size' AS size, json_type(j, '$.words') AS words_type,
+         (j -> '$.said')::VARCHAR AS said FROM docs
+), judged AS (
+  SELECT *, coalesce(size_type, 'NULL') <> 'NULL' AS has_size, TRY_CAST(size AS DOUBLE) AS number, (role IS NOT NULL)::INT + (coalesce(size_type, 'NULL') <> 'NULL')::INT
+         + (coalesce(words_type, 'NULL') <> 'NULL')::INT + (said IS NOT NULL)::INT AS matched FROM got
+)
+SELECT conv_id, turn, role, CASE WHEN size_type <> 'ARRAY' THEN number END AS size,
+       CASE WHEN NOT has_size THEN 0.0 WHEN size_type = 'ARRAY' OR number IS NULL THEN 0.3 ELSE 0.9 END::DOUBLE AS size_confidence,
+       CASE WHEN words_type IS NULL THEN 0.0 WHEN words_type = 'ARRAY' THEN 0.9 ELSE 0.2 END::DOUBLE AS words_confidence,
+       md5(said) AS said_md5, matched, round(matched / 4, 4) AS match_rate FROM judged""",
     "answer_parse": "SELECT conv_id, turn, role AS answer, CASE WHEN conv_id % 2 = 0 THEN 'medium' ELSE 'low' END AS confidence FROM conversations",
     "translate_identity": "SELECT doc_id, md5(text) AS text_md5 FROM documents",
     "sentiment_defaults": "SELECT doc_id, 'neutral' AS polarity, 0.0::DOUBLE AS score, 0.0::DOUBLE AS confidence, '' AS summary FROM documents",
