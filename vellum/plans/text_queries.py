@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions import text as tx
 from vellum.functions.jsontext import parse_reply
-from vellum.operators import comparison, corpus, date_normalizer, extraction, language, language_model, masker, providers, ranges, regex_extractor, text_cleaner, text_corrector
+from vellum.operators import comparison, corpus, date_normalizer, extraction, language, language_model, masker, providers, ranges, regex_extractor, relative_dates, text_cleaner, text_corrector
 from vellum.operators.regex_extractor import Field, Pattern
 from vellum.operators.text_splitter import split_text
 from vellum.sources.tables import load
@@ -79,6 +79,26 @@ def dates_by_month_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("o_orderkey", F.get("dates", F.lit(0))["iso_date"].alias("iso_date"))
 
 
+def dates_relative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates told from the day of the order, in three languages, one of them with a time and one with a date of its own."""
+    orders = load(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").alias("placed"), (F.col("o_custkey") % 90 + 1).cast("string").alias("n"))
+    kind, n = F.col("o_orderkey") % 8, F.col("n")
+    text = (
+        F.when(kind == 0, F.concat(F.lit("Due in "), n, F.lit(" days, call tomorrow.")))
+        .when(kind == 1, F.concat(F.lit("Payé il y a "), n, F.lit(" semaines, livré demain à 10h")))
+        .when(kind == 2, F.concat(F.lit("بعد "), n, F.lit(" أيام")))
+        .when(kind == 3, F.concat(F.lit("Sent "), n, F.lit(" months ago")))
+        .when(kind == 4, F.concat(F.lit("next monday, or on 29/02/2024 not "), n))
+        .when(kind == 5, F.lit("le mois prochain, mardi dernier"))
+        .when(kind == 6, F.concat(n, F.lit(" years from now at 5:30 pm")))
+        .otherwise(F.lit("last year and today"))
+    )
+    rows = relative_dates.find_all_dates(orders.withColumn("text", text), "placed")
+    d = F.col("dates")
+    each = lambda f: F.array_join(F.transform(d, f), ",")
+    return rows.select("o_orderkey", each(lambda x: x.iso_date).alias("iso_dates"), each(lambda x: x.detected_language).alias("languages"), F.size(F.filter(d, lambda x: x.is_relative)).cast("long").alias("n_relative"), "normalized_text")
+
+
 def _spans(spark, sf_dir, kind):
     rows = masker.sensitive_spans(_docs(spark, sf_dir), kinds=(kind,))
     return rows.select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.start", "s.end", "s.value")
@@ -301,7 +321,7 @@ def element_type_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _NAMES = (
     "splitter_chunks splitter_stats index_chunks_trimmed clean_text clean_upper strip_special_stats digit_fold dates_numeric_normalized "
-    "date_format_variants dates_by_month_name pii_emails pii_ipv4 pii_email_offsets pii_spans_by_type pii_cards pii_phones mask_text clean_stats gap_missing spell_merge mask_emails regex_extract_fields "
+    "date_format_variants dates_by_month_name dates_relative pii_emails pii_ipv4 pii_email_offsets pii_spans_by_type pii_cards pii_phones mask_text clean_stats gap_missing spell_merge mask_emails regex_extract_fields "
     "regex_extract_stats gap_score gap_report gap_invoices language_rank language_segments language_model_rank language_model_segments claim_split line_overlap doc_compare spell_corrections "
     "span_box_union chunks_without_emails edit_distance llm_json_recovery typed_extract answer_parse translate_identity sentiment_defaults semantic_extract summarize_first ocr_line_aggregate element_type_summary"
 )

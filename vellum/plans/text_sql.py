@@ -147,6 +147,23 @@ SELECT lang, sum(n)::BIGINT AS removed, count(*) FILTER (WHERE n > 0) AS changed
 SELECT event_id, strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M:%S') AS iso, strftime(date_trunc('minute', ts), '%d/%m/%Y %H:%M:%S') AS dmy,
        strftime(date_trunc('minute', ts), '%m/%d/%Y %H:%M:%S') AS mdy FROM events""",
     "dates_by_month_name": f"SELECT o_orderkey, {_DATE} AS iso_date FROM orders",
+    "dates_relative": """
+WITH o AS (
+  SELECT o_orderkey, o_orderkey % 8 AS kind, o_orderdate::DATE AS d, (o_custkey % 90 + 1)::INT AS n FROM orders
+), t AS (
+  SELECT *, (d + to_days(n))::DATE AS days, (d - to_days(7 * n))::DATE AS weeks, (d - to_months(n))::DATE AS months, (d + to_months(1))::DATE AS month, (d + to_years(n))::DATE AS years,
+         (d - to_years(1))::DATE AS year, (d + to_days(1))::DATE AS morrow, (d + to_days((8 - isodow(d) + 0)::INT))::DATE AS monday, (d - to_days(CASE WHEN isodow(d) > 2 THEN isodow(d) - 2 ELSE isodow(d) + 5 END::INT))::DATE AS tuesday
+  FROM o
+)
+SELECT o_orderkey,
+       CASE kind WHEN 0 THEN days || ',' || morrow WHEN 1 THEN weeks || ',' || morrow WHEN 2 THEN days::VARCHAR WHEN 3 THEN months::VARCHAR WHEN 4 THEN monday || ',2024-02-29'
+                 WHEN 5 THEN month || ',' || tuesday WHEN 6 THEN years::VARCHAR ELSE year || ',' || d END AS iso_dates,
+       CASE kind WHEN 0 THEN 'en,en' WHEN 1 THEN 'fr,fr' WHEN 2 THEN 'ar' WHEN 3 THEN 'en' WHEN 4 THEN 'en,fr' WHEN 5 THEN 'fr,fr' WHEN 6 THEN 'en' ELSE 'en,en' END AS languages,
+       CASE WHEN kind IN (2, 3, 4, 6) THEN 1 ELSE 2 END::BIGINT AS n_relative,
+       CASE kind WHEN 0 THEN 'Due ' || days || ', call ' || morrow || '.' WHEN 1 THEN 'Payé ' || weeks || ', livré ' || morrow || ' 10:00:00' WHEN 2 THEN days::VARCHAR
+                 WHEN 3 THEN 'Sent ' || months WHEN 4 THEN monday || ', or on 2024-02-29 not ' || n WHEN 5 THEN month || ', ' || tuesday
+                 WHEN 6 THEN years || ' 17:30:00' ELSE year || ' and ' || d END AS normalized_text
+FROM t""",
     "pii_emails": f"""
 SELECT v AS value, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{_EMAIL}')) AS v FROM documents) GROUP BY v""",
     "pii_ipv4": f"""

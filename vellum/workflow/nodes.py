@@ -11,7 +11,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.operators import clustering, comparison, corpus, date_normalizer, images, language, masker, providers, regex_extractor, retrieval, text_cleaner, text_corrector
+from vellum.operators import clustering, comparison, corpus, date_normalizer, images, language, masker, providers, regex_extractor, relative_dates, retrieval, text_cleaner, text_corrector
 from vellum.operators.text_splitter import split_text
 from vellum.sources import files
 from vellum.workflow.graph import ConfigField as C
@@ -136,8 +136,12 @@ def _cleaner(i: Inputs, c: Config):
 node("text-corrector", "normalization", "text:text", "text:text all:json", C("dictionary", "json", required=True), C("max_edit_distance", "number", default=1))(
     lambda i, c: _text("corrected_text")(text_corrector.correct_text(i["text"], c["dictionary"], max_distance=int(c["max_edit_distance"])))
 )
-node("date-normalizer", "normalization", "text:text", "text:text all:json", C("format", "select", default="YYYY-MM-DD", options=tuple(date_normalizer.FORMATS)), C("hijri", "boolean", default=True), C("strict", "boolean", default=False))(
-    lambda i, c: _text("normalized_text")(date_normalizer.normalize_dates(i["text"], fmt=c["format"], hijri=bool(c["hijri"])))
+node("date-normalizer", "normalization", "text:text", "text:text all:json", C("format", "select", default="YYYY-MM-DD", options=tuple(date_normalizer.FORMATS)), C("hijri", "boolean", default=True), C("strict", "boolean", default=False), C("reference"))(
+    lambda i, c: _text("normalized_text")(
+        relative_dates.find_all_dates(i["text"], c["reference"], fmt=c["format"], hijri=bool(c["hijri"]))
+        if c.get("reference")
+        else date_normalizer.normalize_dates(i["text"], fmt=c["format"], hijri=bool(c["hijri"]))
+    )
 )
 node("masker", "preprocessing", "text:text", "text:text all:json", C("kinds", "tags", default=list(masker.KINDS)), C("mask", default="█"))(
     lambda i, c: _text("masked_text")(masker.mask_text(i["text"], kinds=tuple(c["kinds"]), mask=c["mask"]))
