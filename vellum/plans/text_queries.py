@@ -10,6 +10,7 @@ from vellum.functions.jsontext import parse_reply
 from vellum.operators import comparison, corpus, date_normalizer, extraction, language, language_model, masker, providers, ranges, regex_extractor, relative_dates, text_cleaner, text_corrector
 from vellum.operators.regex_extractor import Field, Pattern
 from vellum.operators.text_splitter import split_text
+from vellum.session import written
 from vellum.sources.tables import load
 
 
@@ -142,13 +143,14 @@ def mask_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def span_box_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rectangles to redact: e-mail addresses with 40 characters on both sides, against the boxes of the words of their texts."""
     found = masker.sensitive_spans(_docs(spark, sf_dir), kinds=("EMAIL",)).where(F.size("spans") > 0)
+    found = written(found.select("doc_id", "text", "spans"), "found")  # read for spans and for words, several times each
     spans = found.select("doc_id", F.explode("spans").alias("s")).select("doc_id", (F.col("s.start") - 40).alias("start"), (F.col("s.end") + 40).alias("end"))
     return ranges.span_rectangles(spans, ranges.word_boxes(found, "doc_id"), "doc_id", ["doc_id"])
 
 
 def chunks_without_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks that no e-mail address touches."""
-    spans = _spans(spark, sf_dir, "EMAIL").select("doc_id", F.col("start").alias("r_start"), F.col("end").alias("r_end"))
+    spans = written(_spans(spark, sf_dir, "EMAIL").select("doc_id", F.col("start").alias("r_start"), F.col("end").alias("r_end")), "spans")
     rows = ranges.not_overlapping(_chunk_rows(spark, sf_dir), spans, ["doc_id"], ["doc_id", "index"], left_range=("char_start", "char_end"))
     return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.col("char_end") - F.col("char_start")).alias("chars"))
 
