@@ -102,4 +102,4 @@ def replace_spans(text: Column, spans: Column, with_) -> Column:
         rest = F.substr(whole, before(F.size(at)) + 1)
         return F.array_join(F.concat(marked, F.array(rest)), "")
 
-    return let(F.struct(text.alias("text"), spans.alias("spans")), joined)
+    return F.when(text.isNotNull(), let(F.struct(text.alias("text"), spans.alias("spans")), joined))
