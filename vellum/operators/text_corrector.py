@@ -1,14 +1,27 @@
-"""Spelling: words near a dictionary word are corrected; fragments of a known word are joined."""
+"""Spelling over relations: words near a dictionary word are corrected; two fragments of a known word are joined.
+
+The dictionary is a relation of any size. Words go by their places: the words of all texts meet the corrections of the distinct
+words by an equi-join, and what is found goes back to its text as a sorted list of (place, word). Adjacent fragments meet the dictionary
+by what they make together. Texts are rebuilt from slices between those places, in linear time. Only keys, places and words are
+dealt out for this, and only of what is corrected; texts are told apart by MD5, so equal texts are worked out alike.
+
+Edge cases. A null text stays null, an empty one stays empty, both with 0 changes. Rows that are equal in every column stay as many.
+An empty dictionary changes nothing. Terms are compared in lower case; of a term that is given more than once the greatest frequency counts. Extra columns
+are kept, whatever their names.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Mapping
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vellum.functions.spans import let
+from vellum.session import written
+
 LETTERS = r"[A-Za-zÀ-ÿ]+"
+TOKENS = r"[^ \t\n\x0B\f\r]+"
 
 
 def keep_case(word: Column, corrected: Column) -> Column:
@@ -47,50 +60,79 @@ def _deletions(k: Column) -> Column:
     return F.when(n > 0, cut).otherwise(F.array().cast("array<string>"))
 
 
-def correct_text(docs: DataFrame, dictionary: dict[str, int], text_col: str = "text", max_distance: int = 1) -> DataFrame:
-    """``docs`` with corrected_text and n_changes, by a dictionary that the caller holds (so small).
+def _after(places: Column, i: Column) -> Column:
+    """Where the ``i``-th segment begins: after the place before it."""
+    return F.when(i == 0, 0).otherwise(F.get(places, i - 1) + 1)
+
+
+def _rebuilt(text: Column, fixes: Column) -> Column:
+    """``text`` with the words at the places of ``fixes`` (sorted: pos, corrected) replaced."""
+    # Gaps before words, and the gap at the end, which has no word after it.
+    parts = F.struct(F.split(text, LETTERS).alias("gaps"), F.regexp_extract_all(text, F.lit(LETTERS), 0).alias("words"), fixes.pos.alias("places"), fixes.corrected.alias("to"))
+
+    def build(x: Column) -> Column:
+        units = F.struct(F.zip_with(x.gaps, x.words, lambda g, w: F.concat(g, F.coalesce(w, F.lit("")))).alias("units"), x.gaps.alias("gaps"), x.places.alias("places"), x.to.alias("to"))
+        return let(units, joined)
+
+    def joined(u: Column) -> Column:
+        segments = F.transform(
+            u.places, lambda p, i: F.concat(F.array_join(F.slice(u.units, _after(u.places, i) + 1, p - _after(u.places, i)), ""), F.get(u.gaps, p), F.get(u.to, i))
+        )
+        return F.concat(F.array_join(segments, ""), F.array_join(F.slice(u.units, F.element_at(u.places, -1) + 2, F.size(u.units)), ""))
+
+    return let(parts, build)
+
+
+def _joined(text: Column, places: Column) -> Column:
+    """The tokens of ``text`` with one space between them, and none after the tokens at ``places`` (sorted)."""
+
+    def build(x: Column) -> Column:
+        segments = F.transform(x.places, lambda p, i: F.array_join(F.slice(x.tokens, _after(x.places, i) + 1, p + 1 - _after(x.places, i)), " "))
+        return F.concat(F.array_join(segments, ""), F.array_join(F.slice(x.tokens, F.element_at(x.places, -1) + 2, F.size(x.tokens)), " "))
+
+    return let(F.struct(F.regexp_extract_all(text, F.lit(TOKENS), 0).alias("tokens"), places.alias("places")), build)
+
+
+def _merges(texts: DataFrame, known: DataFrame) -> DataFrame:
+    """(_k, _at): the places of tokens that are joined with the next: greedily from the left, no token twice."""
+    two = let(F.regexp_extract_all("_text", F.lit(TOKENS), 0), lambda t: F.zip_with(t, F.slice(t, 2, F.size(t)), lambda a, b: F.struct(a.alias("a"), b.alias("b"))))
+    pairs = texts.select("_k", F.posexplode(two).alias("pos", "p"))
+    pairs = pairs.where("p.b IS NOT NULL").select("_k", "pos", F.lower("p.a").alias("a"), F.lower("p.b").alias("b"))
+    whole = pairs.withColumn("t", F.concat("a", "b")).join(known.select(F.col("_t").alias("t")), "t", "left_semi")
+    first, second = known.select(F.col("_t").alias("a"), F.lit(True).alias("_a")), known.select(F.col("_t").alias("b"), F.lit(True).alias("_b"))
+    open_ = whole.join(first, "a", "left").join(second, "b", "left").where("_a IS NULL OR _b IS NULL").select("_k", "pos").distinct()
+    # Of adjacent pairs, which share a token, every other one is taken.
+    run = open_.withColumn("_g", F.col("pos") - F.row_number().over(Window.partitionBy("_k").orderBy("pos")))
+    taken = run.withColumn("_n", F.row_number().over(Window.partitionBy("_k", "_g").orderBy("pos"))).where("_n % 2 = 1")
+    return taken.groupBy("_k").agg(F.array_sort(F.collect_list("pos")).alias("_at"))
+
+
+def correct_text(
+    docs: DataFrame, dictionary: DataFrame | Mapping[str, int], text_col: str = "text", max_distance: int = 1, term: str = "term", frequency: str = "frequency"
+) -> DataFrame:
+    """``docs`` with corrected_text, n_corrections, n_merges and their sum n_changes. ``dictionary``: a relation, or a small mapping.
 
-    Words are corrected one by one; then, left to right, adjacent words are joined where one at least is unknown and the whole
-    is known. White space is kept unless something was joined. Arrow batches: the merge is sequential.
+    Words (letters) are corrected one by one, as ``corrections`` says; then, left to right, two adjacent tokens (by white space) are
+    joined where one at least is unknown and both together are known. White space is kept unless something was joined: then
+    it becomes single spaces.
     """
-    import re
-
-    letters = "abcdefghijklmnopqrstuvwxyzàâäéèêëîïôöùûüçñ"
-    known = {w.lower(): n for w, n in dictionary.items()}
-
-    def best(word: str) -> str:
-        low = word.lower()
-        if low in known or (word.isupper() and len(word) <= 4) or max_distance < 1:
-            return word
-        splits = [(low[:i], low[i:]) for i in range(len(low) + 1)]
-        near = {a + b[1:] for a, b in splits if b} | {a + c + b for a, b in splits for c in letters} | {a + c + b[1:] for a, b in splits if b for c in letters}
-        found = sorted((w for w in near if w in known), key=lambda w: (-known[w], w))
-        if not found:
-            return word
-        return found[0].upper() if word.isupper() else found[0].capitalize() if word[:1].isupper() else found[0]
-
-    def fix(text: str) -> tuple[str, int]:
-        changes = 0
-
-        def one(m):
-            nonlocal changes
-            new = best(m[0])
-            changes += new != m[0]
-            return new
-
-        text = re.sub(LETTERS, one, text)
-        words, out, merged = text.split(), [], False
-        for w in words:
-            if out and (out[-1].lower() not in known or w.lower() not in known) and (out[-1] + w).lower() in known:
-                out[-1] += w
-                merged, changes = True, changes + 1
-            else:
-                out.append(w)
-        return (" ".join(out) if merged else text), changes
-
-    @F.pandas_udf("corrected_text string, n_changes int")
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in parts:
-            yield pd.DataFrame([fix(t or "") for t in texts], columns=["corrected_text", "n_changes"])
-
-    return docs.withColumn("_c", run(text_col)).select(*docs.columns, "_c.*")
+    if isinstance(dictionary, Mapping):
+        dictionary = docs.sparkSession.createDataFrame([(str(k), int(n)) for k, n in dictionary.items()], f"`{term}` string, `{frequency}` long")
+    terms = dictionary.groupBy(F.lower(F.col(f"`{term}`")).alias("_t")).agg(F.max(F.col(f"`{frequency}`")).alias("_f"))
+    rows = docs.select(F.struct("*").alias("_row"), F.col(f"`{text_col}`").alias("_text")).withColumn("_k", F.md5("_text"))
+    if max_distance > 0:
+        words = rows.select("_k", F.posexplode(F.regexp_extract_all("_text", F.lit(LETTERS), 0)).alias("pos", "word"))
+        better = written(corrections(words, terms, "word", "_t", "_f", max_distance).where("word <> corrected").select("word", "corrected"), "spelling")
+        fixes = words.join(better, "word").groupBy("_k").agg(F.array_sort(F.collect_set(F.struct("pos", "corrected"))).alias("_fixes"))
+        told = rows.join(fixes, "_k", "left")
+        text = F.when(F.col("_fixes").isNull(), F.col("_text")).otherwise(_rebuilt(F.col("_text"), F.col("_fixes")))
+        done = told.select("_row", text.alias("_text"), F.greatest(F.size("_fixes"), F.lit(0)).alias("n_corrections"))
+        rows = written(done.withColumn("_k", F.md5("_text")), "spelling")
+    else:
+        rows = rows.withColumn("n_corrections", F.lit(0))
+    last = rows.join(_merges(rows, terms), "_k", "left")
+    text = F.when(F.col("_at").isNull(), F.col("_text")).otherwise(_joined(F.col("_text"), F.col("_at")))
+    merges = F.greatest(F.size("_at"), F.lit(0))
+    made = {"corrected_text": text, "n_corrections": F.col("n_corrections"), "n_merges": merges, "n_changes": F.col("n_corrections") + merges}
+    kept = [F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c not in made]
+    return last.select(*kept, *[v.alias(k) for k, v in made.items()])

@@ -219,6 +219,42 @@ SELECT lang, count(*) AS docs, sum(n)::BIGINT AS original, sum(m)::BIGINT AS cle
 WITH t AS (SELECT n_nationkey, lower(n_name) AS n FROM nation)
 SELECT n_nationkey, CASE WHEN contains(n, ' ') THEN 'from ' || n[1:3] || ' ' || n[4:] || ' to x' ELSE 'from ' || n || ' to x' END AS corrected_text,
        CASE WHEN contains(n, ' ') THEN 0 ELSE 1 END AS n_changes FROM t""",
+    "spell_documents": r"""
+WITH planted AS (
+  SELECT doc_id, regexp_replace(regexp_replace(text, ' ([a-z]{4})([a-z])([a-z]{4}) ', ' \1\2\2\3 ', 'g'), ' ([a-z]{4})([a-z]{6}) ', ' \1 \2 ', 'g') AS text FROM documents
+), dict AS MATERIALIZED (
+  SELECT lower(w) AS term, count(*) AS f FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS w FROM documents) GROUP BY 1 HAVING count(*) >= 5
+), words AS MATERIALIZED (
+  SELECT doc_id, i, m[i] AS w, p[i] AS gap FROM (
+    SELECT doc_id, regexp_extract_all(text, '[A-Za-zÀ-ÿ]+') AS m, regexp_split_to_array(text, '[A-Za-zÀ-ÿ]+') AS p FROM planted), unnest(range(1, len(p) + 1)) AS t(i)
+), wrong AS MATERIALIZED (
+  SELECT DISTINCT w, lower(w) AS l FROM words WHERE w IS NOT NULL AND NOT (w = upper(w) AND length(w) <= 4) AND lower(w) NOT IN (SELECT term FROM dict)
+), keys AS (
+  SELECT term, f, i, CASE WHEN i = 0 THEN term ELSE term[:i - 1] || term[i + 1:] END AS k FROM dict, unnest(range(0, length(term) + 1)) AS t(i)
+), asked AS (
+  SELECT w, i, CASE WHEN i = 0 THEN l ELSE l[:i - 1] || l[i + 1:] END AS k FROM wrong, unnest(range(0, length(l) + 1)) AS t(i)
+), near AS (
+  SELECT DISTINCT w, term, f FROM asked a JOIN keys b USING (k) WHERE a.i = 0 OR b.i = 0 OR a.i = b.i
+), best AS (
+  SELECT w, CASE WHEN w = upper(w) AND length(w) > 1 THEN upper(t) WHEN w[1] = upper(w[1]) THEN upper(t[1]) || t[2:] ELSE t END AS c
+  FROM (SELECT w, first(term ORDER BY f DESC, term) AS t FROM near GROUP BY w)
+), fixed AS MATERIALIZED (
+  SELECT doc_id, string_agg(gap || coalesce(c, w, ''), '' ORDER BY i) AS text, count(c) FILTER (WHERE c <> w) AS n_corrections
+  FROM words LEFT JOIN best USING (w) GROUP BY doc_id
+), tokens AS MATERIALIZED (
+  SELECT doc_id, i, m[i] AS a, m[i + 1] AS b FROM (SELECT doc_id, regexp_extract_all(text, '[^ \t\n\x0B\f\r]+') AS m FROM fixed), unnest(range(1, len(m) + 1)) AS t(i)
+), pairs AS (
+  SELECT doc_id, i FROM tokens WHERE lower(a) || lower(b) IN (SELECT term FROM dict) AND NOT (lower(a) IN (SELECT term FROM dict) AND lower(b) IN (SELECT term FROM dict))
+), runs AS (
+  SELECT doc_id, i, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS g FROM pairs
+), taken AS (
+  SELECT doc_id, i FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id, g ORDER BY i) % 2 = 1
+), merged AS (
+  SELECT doc_id, string_agg(a || CASE WHEN x.i IS NOT NULL OR b IS NULL THEN '' ELSE ' ' END, '' ORDER BY t.i) AS text, count(x.i) AS n
+  FROM tokens t LEFT JOIN taken x USING (doc_id, i) GROUP BY doc_id
+)
+SELECT doc_id, n_corrections::INT AS n_corrections, coalesce(n, 0)::INT AS n_merges, md5(CASE WHEN n > 0 THEN merged.text ELSE fixed.text END) AS corrected_md5
+FROM fixed LEFT JOIN merged USING (doc_id)""",
     "gap_report": f"WITH {_GAPS} SELECT field, severity, status, method, count(*) AS n FROM fields GROUP BY ALL",
     "gap_invoices": """
 WITH s AS (SELECT 2 + (o_orderstatus <> 'F')::BIGINT AS matched FROM orders)
