@@ -91,6 +91,10 @@ def selected(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     return places, grams[places]
 
 
+def _table(run: str) -> str:
+    return f"vellum_{run.replace('-', '_')}"
+
+
 class FingerprintIndex:
     """A log of sorted runs (fp, key) in ``folder``; opened again if a manifest lies there."""
 
@@ -119,12 +123,13 @@ class FingerprintIndex:
             raise RuntimeError(f"{self.folder}: another writer was faster")
         kept = {r["name"] for r in runs}
         for gone in (r["name"] for r in self.runs if r["name"] not in kept):
+            self.spark.sql(f"DROP TABLE IF EXISTS {_table(gone)}")
             files.delete(self._path(gone), True)
         self.version, self.runs = self.version + 1, runs
 
     def _open(self, name: str) -> DataFrame:
         """A run as a table that is known to be bucketed, so that joins and counts by fp need no shuffle of it."""
-        table = f"vellum_{name.replace('-', '_')}"
+        table = _table(name)
         self.spark.sql(
             f"CREATE TABLE IF NOT EXISTS {table} (fp BIGINT, key BIGINT) USING parquet "
             f"CLUSTERED BY (fp) SORTED BY (fp) INTO {self.buckets} BUCKETS LOCATION '{self.folder}/{name}'"
@@ -134,7 +139,7 @@ class FingerprintIndex:
     def _write(self, rows: DataFrame) -> str:
         name = f"run-{uuid.uuid4().hex[:16]}"
         dealt = rows.select("fp", "key").repartition(self.buckets, "fp")
-        dealt.write.bucketBy(self.buckets, "fp").sortBy("fp").format("parquet").option("path", f"{self.folder}/{name}").saveAsTable(f"vellum_{name.replace('-', '_')}")
+        dealt.write.bucketBy(self.buckets, "fp").sortBy("fp").format("parquet").option("path", f"{self.folder}/{name}").saveAsTable(_table(name))
         return name
 
     def add(self, fingerprints: DataFrame) -> DataFrame:
@@ -262,9 +267,12 @@ def find_repeats(
     """For each row of ``docs``: id, n_words, n_removed, kept_text (kept words joined by one space).
 
     ``index``: of earlier batches, to which ``docs`` is added; ``history`` are their documents, of which those with hits are read.
+    An index that holds runs needs its history, since hits are verified on texts: without it this raises, before anything is written.
     """
     if window < GRAM:
         raise ValueError(f"a window must have {GRAM} words at least")
+    if index is not None and index.runs and history is None:
+        raise ValueError("the index holds earlier batches: their documents are needed as history")
     scratch = Scratch(docs.sparkSession, "substrings")
     index = index or FingerprintIndex(docs.sparkSession, scratch.path("index"))
 

@@ -11,8 +11,8 @@ Payloads. Of captures with equal payloads the one with the greatest page id is a
 without payload that refer to it. Payloads under ``min_payload`` bytes are always responses. The greatest id is found by a summed-up count of
 SHA-1 digests and SHA-256 digests; joins by digest deal out both sides anew, so that a hot payload can be split.
 
-Edge cases. A null html is an empty payload, a null URL has key "-". Rows without a page id are no captures of their own: they are
-archived with id -1 and lose to any other. Rows with equal page id and payload are written each, of the same type
+Edge cases. A null html is an empty payload, a null URL has key "-". Rows without a page id are archived
+with the id "none"; they come before all ids, negative ones too, and lose to any other. Rows with equal page id and payload are written each, of the same type
 of record. An empty table gives an archive without parts. A very long payload is one record. Extra columns are left out.
 """
 
@@ -53,16 +53,21 @@ def capture_key(url: str | None) -> str:
     return name + (f":{port}" if port not in (None, "80", "443") else "") + ")" + (path or "/")
 
 
+def _place(key: str, page: int | None) -> tuple:
+    """The order of captures, as Spark sorts (key, page): a missing page id comes first."""
+    return key, page is not None, page or 0
+
+
 def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(kind: str, page: int, url: str | None, payload: bytes, size: int, digest: str, refers_to: int | None) -> bytes:
+def record(kind: str, page: int | None, url: str | None, payload: bytes, size: int, digest: str, refers_to: int | None) -> bytes:
     """One WARC/1.1 record."""
     head = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <urn:vellum:page:{page}>",
+        f"WARC-Record-ID: <urn:vellum:page:{'none' if page is None else page}>",
         "WARC-Date: 2000-01-01T00:00:00Z",
         # A null URL is "-"; a URL of that name is written with its character escaped.
         f"WARC-Target-URI: {'-' if url is None else '\\u002d' if url == '-' else json.dumps(url)[1:-1]}",
@@ -90,10 +95,10 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def _classified(pages: DataFrame, scratch: Scratch, id_col: str, url_col: str, html_col: str, min_payload: int) -> DataFrame:
-    """(page, url, html, row, keep, target): target is the response's page id for revisits."""
+    """(page, url, html, target): target is the response's page id where a payload is there twice and one of its rows has an id."""
     data = F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8")
     rows = pages.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("page"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html")
+        F.col(id_col).cast("long").alias("page"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html")
     ).withColumn("_d", F.when(F.octet_length(data) >= min_payload, F.sha2(data, 256)))
     digests = rows.where("_d IS NOT NULL").withColumn("_h", F.xxhash64("_d"))
     twice = digests.groupBy("_h", "_d").agg(F.count(F.lit(1)).alias("_n"), F.max("page").alias("target")).where("_n > 1")
@@ -140,7 +145,8 @@ def write_archive(
                 held.write_blocks(out)
             with write_whole(folder, f"{part}.dir") as out:
                 out.write(json.dumps(held.directory).encode())
-            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (part, *held.first, held.lines)], names=["part", "key", "page", "lines"])
+            first = [pa.array([x], t) for x, t in zip((part, *held.first, held.lines), (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)]
+            yield pa.RecordBatch.from_arrays(first, names=["part", "key", "page", "lines"])
             no += 1
 
     made = ranged.select("page", "url", "html", "target", "key").mapInArrow(step, "part string, key string, page long, lines long")
@@ -162,7 +168,7 @@ class _Part:
         self.blocks: list[bytes] = []
         self.directory: list[list] = []
 
-    def add(self, key: str, page: int, size: int, digest: str) -> None:
+    def add(self, key: str, page: int | None, size: int, digest: str) -> None:
         if self.first is None:
             self.first = (key, page)
         self.open.append(json.dumps([key, page, self.at, size, digest]))
@@ -191,7 +197,7 @@ class CaptureIndex:
     def __init__(self, files: Ranges, part: str):
         self.files, self.part = files, part
         self.directory = json.loads(files.read(f"{part}.dir", 0, files.size(f"{part}.dir")))
-        self.firsts = [tuple(d[:2]) for d in self.directory]
+        self.firsts = [_place(*d[:2]) for d in self.directory]
         self.block, self.lines = -1, []
 
     def _load(self, block: int) -> None:
@@ -202,13 +208,14 @@ class CaptureIndex:
                 raise ValueError(f"{self.part}: an index block is damaged")
             self.block, self.lines = block, [json.loads(x) for x in zlib.decompress(data).decode().split("\n")]
 
-    def find(self, key: str, page: int) -> list[list]:
+    def find(self, key: str, page: int | None) -> list[list]:
         """The lines of a capture: more than one only if rows with the same URL and page id were archived."""
-        out, at = [], max(0, bisect.bisect_left(self.firsts, (key, page)) - 1)
-        while at < len(self.firsts) and self.firsts[at] <= (key, page):
+        wanted = _place(key, page)
+        out, at = [], max(0, bisect.bisect_left(self.firsts, wanted) - 1)
+        while at < len(self.firsts) and self.firsts[at] <= wanted:
             self._load(at)
-            lo = bisect.bisect_left(self.lines, (key, page), key=lambda x: (x[0], x[1]))
-            hi = bisect.bisect_right(self.lines, (key, page), key=lambda x: (x[0], x[1]))
+            lo = bisect.bisect_left(self.lines, wanted, key=lambda x: _place(*x[:2]))
+            hi = bisect.bisect_right(self.lines, wanted, key=lambda x: _place(*x[:2]))
             out += self.lines[lo:hi]
             at += 1
         return out
@@ -233,7 +240,7 @@ def read_captures(captures: DataFrame, folder: str, id_col: str = "page_id", url
     # The list of parts is as long as the archive had tasks.
     parts = [(r.key, r.page, r.part, r.lines) for r in manifest.orderBy("key", "page", "part").collect()]
     shared = spark.sparkContext.broadcast(parts)
-    wanted = captures.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("page"), F.col(url_col).alias("url")).distinct()
+    wanted = captures.select(F.col(id_col).cast("long").alias("page"), F.col(url_col).alias("url")).distinct()
     keyed = wanted.select(_index_key(F.col("url")).alias("key"), "page")
     ranged = keyed.distinct().repartitionByRange(partitions(spark), "key", "page").sortWithinPartitions("key", "page")
     names = ["page_id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to"]
@@ -241,13 +248,14 @@ def read_captures(captures: DataFrame, folder: str, id_col: str = "page_id", url
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, list_ = Ranges(folder), shared.value
-        firsts = [(k, p) for k, p, _, _ in list_]
+        firsts = [_place(k, p) for k, p, _, _ in list_]
         open_: dict[str, CaptureIndex] = {}
         out, size = [], 0
         for batch in batches:
             for key, page in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                at = max(0, bisect.bisect_left(firsts, (key, page)) - 1)
-                while at < len(firsts) and firsts[at] <= (key, page):
+                wanted = _place(key, page)
+                at = max(0, bisect.bisect_left(firsts, wanted) - 1)
+                while at < len(firsts) and firsts[at] <= wanted:
                     part = list_[at][2]
                     if part not in open_:
                         open_ = {part: CaptureIndex(files, part)}
@@ -257,7 +265,7 @@ def read_captures(captures: DataFrame, folder: str, id_col: str = "page_id", url
                         uri = fields["WARC-Target-URI"]
                         out.append(
                             (
-                                page if page != -1 else None,
+                                page,
                                 None if uri == "-" else json.loads(f'"{uri}"'),
                                 payload if kind == "response" else None,
                                 int(fields["X-Payload-Bytes"]),
