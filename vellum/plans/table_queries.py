@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vellum.functions import vectors
-from vellum.operators import clustering, corpus, retrieval, topics
+from vellum.operators import clustering, corpus, critic, retrieval, topics
 from vellum.operators.text_splitter import split_text
 from vellum.sources.tables import load
 from vellum.streaming.events import sessions, windowed_counts
@@ -141,6 +141,42 @@ def critic_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.review_score(_claims(spark, sf_dir), "label")
 
 
+def _strict(prompt: Column) -> Column:
+    """A provider by rule: claims from 0.5 on are supported, those under 0.2 are high issues and get a mark, the others medium ones."""
+    line = r"(?m)^\[\d+\] CLAIM \(similarity ([0-9.E-]+)\): (.*)$"
+    told = F.arrays_zip(F.regexp_extract_all(prompt, F.lit(line), 1).cast("array<double>").alias("s"), F.regexp_extract_all(prompt, F.lit(line), 2).alias("claim"))
+    issue = lambda c: F.struct(F.when(c["s"] < 0.2, "high").otherwise("medium").alias("severity"), c["claim"].alias("claim"))
+    mended = lambda c: F.struct(c["claim"].alias("original"), F.concat(F.lit("(unverified) "), c["claim"]).alias("corrected"))
+    reply = F.struct(
+        F.size(F.filter(told, lambda c: c["s"] >= 0.5)).alias("supported_count"),
+        F.transform(F.filter(told, lambda c: c["s"] < 0.5), issue).alias("issues"),
+        F.transform(F.filter(told, lambda c: c["s"] < 0.2), mended).alias("corrections"),
+    )
+    return F.when(prompt.isNotNull(), F.concat(F.lit("```json\n"), F.to_json(reply), F.lit("\n```")))
+
+
+def critic_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation's assistant turns against its other turns; similarity: the share of a claim's words that a turn has."""
+    turns = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    listed = F.array_sort(F.collect_list(F.struct("turn", "text")))
+    answers = turns.where("role = 'assistant'").groupBy("conv_id").agg(F.array_join(listed.text, "\n").alias("text"))
+    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), 0))
+    claims = retrieval.claim_rows(answers, "conv_id").withColumn("w", words("claim"))
+    said = turns.where("role <> 'assistant'").select("conv_id", "turn", F.explode(words("text")).alias("word"))
+    shared = claims.select("conv_id", "claim_index", F.explode("w").alias("word")).join(said, ["conv_id", "word"]).groupBy("conv_id", "claim_index", "turn").count()
+    best = shared.groupBy("conv_id", "claim_index").agg(F.max(F.struct("count", (-F.col("turn")).alias("t"))).alias("b"))
+    texts = turns.select("conv_id", F.col("turn").alias("_turn"), F.col("text").alias("evidence"))
+    found = claims.join(best, ["conv_id", "claim_index"], "left").withColumn("_turn", -F.col("b.t")).join(texts, ["conv_id", "_turn"], "left")
+    given = found.select("conv_id", "claim_index", "claim", F.coalesce(F.col("b.count") / F.size("w"), F.lit(0.0)).alias("max_similarity"), "evidence")
+    out = critic.review_hybrid(answers, given, "conv_id", provider=_strict)
+    return out.select(
+        "conv_id", "total_claims", "passed_claims", "confidence_score", "is_supported", "source_alignment", "consistency",
+        F.array_join(F.transform("issues", lambda x: F.concat(x.severity, F.lit(":"), x.claim)), "|").alias("issues"),
+        F.size("corrections").cast("long").alias("n_corrections"),
+        F.md5("corrected_response").alias("corrected_md5"),
+    )
+
+
 def tfidf_top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     weights = clustering.tfidf(docs, "doc_id").join(docs.select("doc_id", "lang"), "doc_id")
@@ -279,7 +315,7 @@ def chunk_source_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 _NAMES = (
     "router_route router_counts branch_merge upload_validation batch_validation corpus_stats corpus_dedup_first corpus_union library_upsert_latest "
     "library_list_recent library_reconcile vector_topk_per_query vector_norms knn_label_vote positional_chunk_join qa_retrieve qa_prompt "
-    "prompt_templates critic_embedding_claims critic_score tfidf_top_terms topic_clusters topic_vocabulary cluster_keywords centroid_similarity cluster_representatives feedback_validate "
+    "prompt_templates critic_embedding_claims critic_score critic_hybrid tfidf_top_terms topic_clusters topic_vocabulary cluster_keywords centroid_similarity cluster_representatives feedback_validate "
     "feedback_signal for_each_counts for_each_failures table_shape workflow_chunks workflow_run_report extension_order_revenue extension_rollup extension_top_orders "
     "extension_event_windows extension_event_sessions chunk_source_counts"
 )

@@ -81,6 +81,37 @@ SELECT conv_id, md5({_prompt('qa_concise')}) AS qa_concise, md5({_prompt('summar
 WITH {_CLAIMS}, s AS (SELECT label, count(*) AS total_claims, count(*) FILTER (WHERE passed) AS passed_claims, coalesce(bool_or(severity = 'high'), false) AS high FROM reviewed GROUP BY label),
 c AS (SELECT *, passed_claims / total_claims AS a, CASE WHEN high THEN greatest(0, passed_claims / total_claims - 0.3) ELSE passed_claims / total_claims END AS k FROM s)
 SELECT label, total_claims, passed_claims, round(k, 4) AS confidence_score, round(a, 4) AS source_alignment, k >= 0.7 AND NOT high AS is_supported FROM c""",
+    "critic_hybrid": r"""
+WITH turns AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
+answers AS (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn, text) AS text FROM turns WHERE role = 'assistant' GROUP BY conv_id),
+pieces AS (
+  SELECT conv_id, regexp_replace(x[i], '^\s+|\s+$', '', 'g') AS claim, i FROM (
+    SELECT conv_id, string_split(regexp_replace(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), '\n+', chr(1), 'g'), chr(1)) AS x FROM answers), unnest(range(1, len(x) + 1)) AS t(i)
+), claims AS (
+  SELECT conv_id, claim, row_number() OVER (PARTITION BY conv_id ORDER BY i) AS n, list_distinct(regexp_extract_all(lower(claim), '[a-z0-9]+')) AS w FROM pieces WHERE length(claim) > 5
+), sims AS (
+  SELECT c.conv_id, n, claim, coalesce(max(len(list_intersect(w, regexp_extract_all(lower(t.text), '[a-z0-9]+'))) / nullif(len(w), 0)), 0) AS s
+  FROM claims c LEFT JOIN turns t ON c.conv_id = t.conv_id AND t.role <> 'assistant' GROUP BY ALL
+), judged AS (
+  SELECT *, s >= 0.75 AS passed, round(s, 4) AS r FROM sims
+), marks AS (
+  SELECT *, CASE WHEN passed OR r >= 0.5 THEN NULL WHEN r < 0.2 THEN 'high' ELSE 'medium' END AS severity FROM judged
+), summed AS (
+  SELECT conv_id, count(*) AS total_claims, count(*) FILTER (WHERE passed) AS passed_claims, count(*) FILTER (WHERE severity IS NULL) / count(*) AS a, avg(r) AS alignment,
+         coalesce(avg(r) FILTER (WHERE NOT passed), 0) AS flagged, bool_or(coalesce(severity = 'high', false)) AS high,
+         coalesce(list(severity || ':' || claim ORDER BY severity, n) FILTER (WHERE severity IS NOT NULL), []) AS issues,
+         coalesce(list(claim ORDER BY n) FILTER (WHERE severity = 'high'), []) AS wrong
+  FROM marks GROUP BY conv_id
+), full_ AS (
+  SELECT conv_id, text, coalesce(total_claims, 0) AS total_claims, coalesce(passed_claims, 0) AS passed_claims, coalesce(a, 0) AS a, coalesce(high, false) AS high,
+         coalesce(alignment, 0) AS alignment, coalesce(flagged, 0) AS flagged, coalesce(issues, []) AS issues, coalesce(wrong, []) AS wrong,
+         CASE WHEN high THEN greatest(0, a - 0.3) ELSE coalesce(a, 0) END AS k
+  FROM answers LEFT JOIN summed USING (conv_id)
+)
+SELECT conv_id, total_claims, passed_claims, round(k, 4) AS confidence_score, k >= 0.7 AND NOT high AND a >= 0.75 AS is_supported, round(alignment, 4) AS source_alignment,
+       round(1 - flagged, 4) AS consistency, array_to_string(issues[:5], '|') AS issues, len(wrong) AS n_corrections,
+       md5(list_reduce([text] || wrong, lambda t, c: CASE WHEN instr(t, c) > 0 THEN substr(t, 1, instr(t, c) - 1) || '(unverified) ' || c || substr(t, instr(t, c) + length(c)) ELSE t END)) AS corrected_md5
+FROM full_""",
     "tfidf_top_terms": r"""
 WITH t AS (
   SELECT doc_id, lang, term, count(*) AS tf FROM (
