@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 import pytest
 
 from vellum.llm import jaccard
@@ -60,3 +61,34 @@ def test_rows_without_ids_and_empty_table(spark):
     docs = spark.createDataFrame([(None, "a b"), (None, "A b"), (None, "c"), (4, "c")], "doc_id long, text string")
     assert sorted(str(r.doc_id) for r in jaccard.drop_near_duplicates(docs).collect()) == ["4", "None"]
     assert jaccard.drop_near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_sketches_lose_no_link(spark):
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 5, 40, 700, 5000):
+        whole = np.unique(rng.integers(-(2**63), 2**63 - 1, n + n // 3))
+        for cut in (0, 1, n // 10, n // 5, n // 3):
+            x, y = whole[: len(whole) - cut], whole[cut:]
+            apart = len(np.setxor1d(x, y))
+            assert jaccard._apart(jaccard._sketch(x), jaccard._sketch(y)) <= apart
+    far = [np.unique(rng.integers(-(2**63), 2**63 - 1, 400)) for _ in range(2)]
+    assert 9 * jaccard._apart(*map(jaccard._sketch, far)) > sum(map(len, far))
+
+
+def test_sets_are_made_for_near_pairs_only(spark, monkeypatch):
+    # Forty texts share a passage that puts them into the same buckets; two of them are near-duplicates.
+    rng = random.Random(4)
+    footer = " ".join(f"f{i}" for i in range(60))
+    texts = [" ".join(rng.choice("abcdefghij") + str(rng.randrange(500)) for _ in range(80)) + " " + footer for _ in range(40)]
+    texts.append(texts[7] + " more")
+    made, real = [], jaccard._Verifier.done
+
+    def done(self):
+        made.append(self._made().select("s").distinct().count())
+        real(self)
+
+    monkeypatch.setattr(jaccard._Verifier, "done", done)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = jaccard.drop_near_duplicates(docs).collect()
+    assert sorted(r.doc_id for r in kept) == list(range(40))
+    assert made == [2]

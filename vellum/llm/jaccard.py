@@ -3,6 +3,10 @@
 Two texts are linked if their sets of shingles (``simhash``'s, as 64-bit hashes) have a similarity of 4/5 or more; a class is a
 connected component. Two sources of candidates; each candidate is verified by intersecting the two sets.
 
+Before that, candidates meet by sketches: the parities of a set's hashes in two to four bits a shingle. Two sketches differ in no more
+bits than the sets do in shingles, so what is too far apart by them needs no sets, and no link is lost. Only sets of the rest
+are read from texts and dealt out: these are some of the near-duplicates' own, not of all texts that share a passage.
+
 * Golay keys of SimHash fingerprints, as in operator 6. They miss most edited copies, but join large groups early.
 * Prefix keys, which miss none: with all shingles in one order, sets of similarity 4/5 have a shingle in common among the
   first n // 5 + 1 of their n. The order is by frequency in a sample, then by hash, so that common passages come last. A
@@ -52,8 +56,30 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays)))
 
 
+def _sketch(h: np.ndarray) -> bytes:
+    """Parities of the hashes by their lowest bits: a power of two of bits, two for each hash at least."""
+    bits = max(64, 1 << (2 * len(h) - 1).bit_length()) if len(h) else 64
+    return np.packbits(np.bincount(h & (bits - 1), minlength=bits).astype(np.uint8) & 1).tobytes()
+
+
+def _apart(x: bytes, y: bytes) -> int:
+    """In how many bits two sketches differ once the longer one is folded: at most as many as there are hashes in one set alone."""
+    u, v = sorted((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), key=len)
+    while len(v) > len(u):
+        v = v[: len(v) // 2] ^ v[len(v) // 2 :]
+    return int(np.bitwise_count(u ^ v).sum())
+
+
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, n, m, sketch of a, of b) -> (a, b) of those that may have a similarity of 4/5."""
+    for batch in batches:
+        total = np.asarray(batch.column(2)) + np.asarray(batch.column(3))
+        far = [_apart(x, y) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)]
+        yield batch.select([0, 1]).filter(pa.array(9 * np.array(far, dtype=np.int64) <= total))
+
+
 def _prefixes(shingle: int, ranked: np.ndarray, counts: np.ndarray):
-    """(id, row key, text) -> (id, row key, set key, fingerprint, size, prefix in its order)."""
+    """(id, row key, text) -> (id, row key, set key, fingerprint, size, sketch, prefix in its order)."""
 
     def prefix(h: np.ndarray) -> np.ndarray:
         if len(ranked) and len(h):
@@ -66,8 +92,8 @@ def _prefixes(shingle: int, ranked: np.ndarray, counts: np.ndarray):
             for at in range(0, len(whole), 1000):
                 batch = whole.slice(at, 1000)
                 s, fp, sets = zip(*[_set(x.as_py(), shingle) for x in batch.column(2)], strict=True)
-                columns = [batch.column(0), batch.column(1), _signed(s), _signed(fp), pa.array([len(h) for h in sets], pa.int32())]
-                yield pa.RecordBatch.from_arrays([*columns, _lists([prefix(h) for h in sets])], names=["id", "row_key", "s", "fp", "n", "prefix"])
+                columns = [batch.column(0), batch.column(1), _signed(s), _signed(fp), pa.array([len(h) for h in sets], pa.int32()), pa.array([_sketch(h) for h in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays([*columns, _lists([prefix(h) for h in sets])], names=["id", "row_key", "s", "fp", "n", "sketch", "prefix"])
 
     return run
 
@@ -98,14 +124,49 @@ def _room(n: Column, i: Column, m: Column, j: Column) -> Column:
     return (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & (9 * F.least(n - i, m - j) >= 4 * (n + m))
 
 
-def _verified(scratch: Scratch, sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    pairs = scratch.write(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "pairs")
-    left = redealt(sets.withColumnRenamed("hashes", "x"), "s", "_x")
-    right = redealt(sets.withColumnRenamed("hashes", "y"), "s", "_y")
-    both = pairs.join(left, F.col("a") == F.col("_x")).join(right, F.col("b") == F.col("_y"))
-    shared = F.size(F.array_intersect("x", "y"))
-    # Rows that are equal may have brought a set twice.
-    return both.where(9 * shared >= 4 * (F.size("x") + F.size("y"))).select("a", "b").distinct()
+class _Verifier:
+    """Links among pairs of sets. Sets are made from texts when a pair first needs them, and kept for later rounds."""
+
+    def __init__(self, scratch: Scratch, texts: DataFrame, rows: DataFrame, shingle: int):
+        self.scratch, self.texts, self.shingle, self.sets = scratch, texts, shingle, []
+        one = rows.groupBy("s").agg(F.min("row_key").alias("one"), F.min("n").alias("n"), F.min("sketch").alias("sketch"))
+        self.shapes = scratch.write(one, "shapes")
+
+    def _made(self) -> DataFrame:
+        out = self.sets[0]
+        for more in self.sets[1:]:
+            out = out.union(more)
+        return out
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        scratch = self.scratch
+        pairs = scratch.write(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "pairs")
+        left = redealt(self.shapes.select("s", "n", F.col("sketch").alias("x")), "s", "_x")
+        right = redealt(self.shapes.select("s", F.col("n").alias("m"), F.col("sketch").alias("y")), "s", "_y")
+        both = pairs.join(left, F.col("a") == F.col("_x")).join(right, F.col("b") == F.col("_y"))
+        both = both.where(5 * F.least("n", "m") >= 4 * F.greatest("n", "m")).select("a", "b", "n", "m", "x", "y")
+        near = scratch.write(both.mapInArrow(_near, "a long, b long"), "near")
+        scratch.drop(pairs)
+        needed = near.select(F.col("a").alias("_s")).union(near.select("b")).distinct()
+        if self.sets:
+            needed = needed.join(redealt(self._made().select("s"), "s", "_m"), F.col("_s") == F.col("_m"), "left_anti")
+        one = self.shapes.select("s", "one").join(redealt(needed, "_s", "_n"), F.col("s") == F.col("_n"), "left_semi")
+        one = scratch.write(one.select("one"), "one")
+        scratch.tidy()
+        # Texts are smaller than hashes on their way; few keys go to the texts instead.
+        found = self.texts.join(redealt(one, "one", "_k"), F.col("row_key") == F.col("_k"), "left_semi")
+        self.sets.append(scratch.write(found.select("text").mapInArrow(_hashed(self.shingle), "s long, hashes array<long>"), "sets"))
+        scratch.tidy()
+        left = redealt(self._made().withColumnRenamed("hashes", "x"), "s", "_x")
+        right = redealt(self._made().withColumnRenamed("hashes", "y"), "s", "_y")
+        both = near.join(left, F.col("a") == F.col("_x")).join(right, F.col("b") == F.col("_y"))
+        shared = F.size(F.array_intersect("x", "y"))
+        # Rows that are equal may have brought a set twice.
+        return both.where(9 * shared >= 4 * (F.size("x") + F.size("y"))).select("a", "b").distinct()
+
+    def done(self) -> None:
+        for table in [*self.sets, self.shapes]:
+            self.scratch.drop(table)
 
 
 def _classes(scratch: Scratch, texts: DataFrame, rows: DataFrame, shingle: int) -> DataFrame:
@@ -126,12 +187,7 @@ def _classes(scratch: Scratch, texts: DataFrame, rows: DataFrame, shingle: int)
     equal = equal.where("s <> _least").select(F.col("s").alias("a"), F.col("_least").alias("b"))
     pairs = scratch.write(golay.select(F.col("p").alias("a"), F.col("q").alias("b")).union(equal), "golay")
     scratch.tidy()
-    # One text of each set that may be compared is read and hashed again: texts are smaller than hashes on their way.
-    needed = buckets.select("s").union(pairs.select("a")).union(pairs.select("b")).distinct()
-    one = rows.groupBy("s").agg(F.min("row_key").alias("_one")).join(redealt(needed, "s", "_s"), F.col("s") == F.col("_s"), "left_semi")
-    found = texts.join(redealt(one.select("_one"), "_one", "_k"), F.col("row_key") == F.col("_k"), "left_semi")
-    sets = found.select("text").mapInArrow(_hashed(shingle), "s long, hashes array<long>")
-    sets = scratch.write(sets, "sets")
+    verifier = _Verifier(scratch, texts, rows, shingle)
     scratch.tidy()
 
     left = buckets.withColumn("root", F.col("s"))
@@ -148,11 +204,13 @@ def _classes(scratch: Scratch, texts: DataFrame, rows: DataFrame, shingle: int)
             hub = F.min_by(F.struct("s", "n", "i", "root"), F.xxhash64("s", F.lit(k))).over(w)
             met = left.withColumn("h", hub).where("root <> h.root")
             met = met.where(_room(F.col("n"), F.col("i"), F.col("h.n"), F.col("h.i"))).select(F.col("s").alias("a"), F.col("h.s").alias("b"))
-        found = _verified(scratch, sets, met.union(pairs) if not k else met)
+        found = verifier.links(met.union(pairs) if not k else met)
         links = scratch.write(found if links is None else found.union(links), "links")
         scratch.tidy()
         roots = scratch.write(components(scratch, links), "roots")
         if all_pairs:
+            verifier.done()
+            scratch.drop(buckets)
             return roots
         last = (todo, buckets.count() if not k else last[1])
         named = buckets.join(redealt(roots.withColumnRenamed("root", "_root"), "node", "_n"), F.col("s") == F.col("_n"), "left")
@@ -166,9 +224,10 @@ def _classes(scratch: Scratch, texts: DataFrame, rows: DataFrame, shingle: int)
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
     """``docs`` with one row of each class: the one with the least id, the first of equal rows. All columns stay as they are."""
     scratch = Scratch(docs.sparkSession, "jaccard")
+    scratch.tidy()
     key, key2 = row_keys(id_col, text_col)
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), key.alias("row_key"), F.col(f"`{text_col}`").alias("text"))
-    rows = texts.mapInArrow(_prefixes(shingle, *_ranked(texts, shingle)), "id long, row_key long, s long, fp long, n int, prefix array<long>")
+    rows = texts.mapInArrow(_prefixes(shingle, *_ranked(texts, shingle)), "id long, row_key long, s long, fp long, n int, sketch binary, prefix array<long>")
     rows = scratch.write(rows, "rows")
     roots = redealt(_classes(scratch, texts, rows, shingle), "node", "_n")
     found = rows.select("id", "row_key", "s").join(roots, F.col("s") == F.col("_n"), "left")
