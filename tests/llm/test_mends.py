@@ -50,3 +50,21 @@ def test_index_needs_history(spark):
     tables = {t.name for t in spark.catalog.listTables() if t.name.startswith("vellum_run_")}
     assert substrings._table(index.runs[0]["name"]) in tables
     assert sum(spark.sql(f"DESCRIBE EXTENDED {t}").where("col_name = 'Location'").first().data_type.split(":")[-1].strip("/").startswith(index.folder.split(":")[-1].strip("/")) for t in tables) == 1
+
+
+def test_quality_counts_every_trusted_row(spark):
+    import inspect
+
+    from vellum.llm import quality
+
+    # No bound on trusted rows is left, and quantiles over cells equal percentile().
+    assert not hasattr(quality, "TRUSTED_ROWS") and "trusted_rows" not in inspect.signature(quality.fit).parameters
+    docs = spark.range(25_000).selectExpr("id AS doc_id", "'w x' AS text")
+    counts = quality._counts(docs, quality._ids(docs, "doc_id"), "doc_id", "text", 64)
+    assert sum(t for t, _ in counts.values()) == sum(r for _, r in counts.values()) == 75_000
+    for n in (1, 2, 7, 300):
+        scores = spark.range(n).selectExpr("IF(id % 7 = 6, NULL, CAST((id * 7919) % 5003 - 2000 AS DOUBLE) / 3) AS _score")
+        want = scores.selectExpr("count(_score)", "percentile(_score, 0.01)", "percentile(_score, 0.5)").first()
+        got, found = quality._quantiles(scores, (0.01, 0.5))
+        assert got == want[0] and all(abs(a - b) < 1e-9 for a, b in zip(found, want[1:], strict=True))
+    assert quality._quantiles(spark.createDataFrame([(None,)], "_score double"), (0.5,)) == (0, [])
