@@ -123,3 +123,9 @@ def test_batches_cover_all_rows_once_an_epoch(spark, monkeypatch):
     monkeypatch.setattr(topics, "_sums", lambda *a: met.append(real(*a)) or met[-1])
     topics.fit(rows, "doc_id", [2], 900, 42)
     assert [sum(m[1].sum() for m in met[e * 6 : e * 6 + 6]) for e in range(2)] == [120, 120]
+
+
+def test_vocabulary_shuffles_terms_not_documents(spark):
+    docs = spark.createDataFrame([(0, "a bb cc bb"), (1, "bb cc")], "doc_id long, text string")
+    plan = topics.vocabulary(docs, "doc_id")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(doc_id" not in plan and "hashpartitioning(kind" not in plan

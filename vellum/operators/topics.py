@@ -86,10 +86,19 @@ def _terms(counted: DataFrame) -> DataFrame:
 
 def vocabulary(docs: DataFrame, key: str, text_col: str = "text", max_words: int = 16_000, max_chars: int = 10_000) -> DataFrame:
     """(kind, term, n, at): the terms of each kind with the highest counts, numbered from 0; characters come after words."""
-    counts = _terms(_counted(docs, key, text_col)).groupBy("kind", "term").agg(F.sum("tf").alias("n"))
-    rank = F.row_number().over(W.partitionBy("kind").orderBy(F.desc("n"), "term"))
-    best = counts.withColumn("at", rank - 1).where(F.col("at") < F.when(F.col("kind") == "w", max_words).otherwise(max_chars))
-    return best.withColumn("at", F.when(F.col("kind") == "w", F.col("at")).otherwise(F.col("at") + max_words))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    words = docs.select(F.explode(word_terms(text)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    # Characters come from the distinct words of the whole table, so each word is taken apart once.
+    parts = docs.select(F.explode(_char_words(text)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    chars = parts.select(F.explode(char_terms(F.col("word"))).alias("term"), "n").groupBy("term").agg(F.sum("n").alias("n"))
+
+    def best(counts: DataFrame, kind: str, most: int, first: int) -> DataFrame:
+        """The ``most`` highest counts: the best of each task meet, and only they are numbered in one."""
+        top = counts.orderBy(F.desc("n"), "term").limit(most)
+        rank = F.row_number().over(W.orderBy(F.desc("n"), "term"))
+        return top.select(F.lit(kind).alias("kind"), "term", "n", (rank + (first - 1)).alias("at"))
+
+    return best(words, "w", max_words, 0).unionByName(best(chars, "c", max_chars, max_words))
 
 
 def features(docs: DataFrame, key: str, text_col: str = "text", max_words: int = 16_000, max_chars: int = 10_000, char_weight: float = 0.35) -> DataFrame:
