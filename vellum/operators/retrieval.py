@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from vellum.functions import vectors
 from vellum.functions.text import claims as split_claims
 from vellum.functions.text import is_blank, strip
+from vellum.operators import products
 from vellum.operators.text_splitter import split_text
 
 #: Queries that are sent out at a time; more are dealt with in blocks.
@@ -42,21 +43,37 @@ def top_k(
 ) -> DataFrame:
     """query_key, key, score (4 decimals), rank: the ``k`` most similar rows of the store for each query.
 
-    Every row meets every query, in blocks of at most QUERY_BLOCK queries, which is what lets a block be broadcast. The best
-    of each partition are kept before the shuffle by query. Ties in the rounded score go by ``key``.
+    Every row meets every query, in blocks of products (module products); of a batch only what may be among the best goes on.
+    Vectors that aren't plain meet the others one by one. Ties in the rounded score go by ``key``.
     """
-    n = queries.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
+    size = queries.agg(F.mode(F.greatest(F.size(query_vector), F.lit(0)))).first()[0] or 0
+    odd, even = _split(store, vector, size), _split(queries, query_vector, size)
+    found = products.nearest(odd[0], even[0], size, k, key, vector, query_key, query_vector, True, 1e-4)
+    for rows, asked in ((odd[1], queries), (odd[0], even[1])):
+        if rows is not None and asked is not None:
+            found = found.unionByName(_one_by_one(rows, asked, vector, key, query_key, query_vector))
     order = W.partitionBy(query_key).orderBy(F.desc("score"), key)
-    out = None
+    scored = found.select(query_key, key, F.round("raw", 4).alias("score"))
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _split(rows: DataFrame, vector: str, size: int) -> tuple[DataFrame, DataFrame | None]:
+    """Rows with plain vectors of ``size`` components; the others, None if there are none."""
+    good = products.plain(vector, size) if size else F.lit(False)
+    rest = rows.where(~good)
+    return rows.where(good), None if rest.isEmpty() else rest
+
+
+def _one_by_one(store: DataFrame, queries: DataFrame, vector: str, key: str, query_key: str, query_vector: str) -> DataFrame:
+    n = queries.count()
+    blocks, out = max(1, -(-n // QUERY_BLOCK)), None
+    score = vectors.cosine(F.col(vector), F.col(query_vector), F.col("_n"), F.col("_m"))
     for b in range(blocks):
         part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64(query_key), F.lit(blocks)) == b)
-        score = F.round(vectors.cosine(F.col(vector), F.col(query_vector), F.col("_n"), F.col("_m")), 4)
         rows = store.select(key, vector, vectors.norm(F.col(vector)).alias("_n"))
         asked = part.select(query_key, query_vector, vectors.norm(F.col(query_vector)).alias("_m"))
-        scored = rows.crossJoin(F.broadcast(asked)).select(query_key, key, score.alias("score"))
-        best = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-        out = best if out is None else out.unionByName(best)
+        met = rows.crossJoin(F.broadcast(asked)).select(query_key, key, score.alias("raw"))
+        out = met if out is None else out.unionByName(met)
     return out
 
 
@@ -116,9 +133,18 @@ def review_claims(claims: DataFrame, evidence: DataFrame, group: str, claim_key:
 
     ``claims``: group, claim_key, claim_vector. ``evidence``: group, evidence_key, evidence_vector. The first of equal ones wins.
     """
-    pairs = claims.join(evidence, group, "left")
+    size = claims.agg(F.mode(F.greatest(F.size("claim_vector"), F.lit(0)))).first()[0] or 0
+    told, held = _split(claims, "claim_vector", size), _split(evidence, "evidence_vector", size)
+    found = products.nearest(held[0], told[0], size, 1, evidence_key, "evidence_vector", claim_key, "claim_vector", False, 0.0, group)
     sim = F.coalesce(vectors.dot(F.col("claim_vector"), F.col("evidence_vector")), F.lit(0.0))
-    best = pairs.groupBy(group, claim_key).agg(F.max(F.struct(sim.alias("s"), (-F.col(evidence_key)).alias("e"))).alias("b"))
+    for some, rest in ((claims, held[1]), (told[1], held[0])):
+        if some is not None and rest is not None:
+            found = found.unionByName(some.join(rest, group).select(group, claim_key, evidence_key, sim.alias("raw")))
+    # Each claim is there once without evidence, which is less than any similarity.
+    none = found.schema
+    alone = claims.select(group, claim_key, F.lit(None).cast(none[evidence_key].dataType).alias(evidence_key), F.lit(None).cast("double").alias("raw"))
+    best = found.unionByName(alone).groupBy(group, claim_key).agg(F.max(F.struct(F.col("raw").alias("s"), (-F.col(evidence_key)).alias("e"))).alias("b"))
+    best = best.withColumn("b", F.struct(F.coalesce("b.s", F.lit(0.0)).alias("s"), F.col("b.e").alias("e")))
     s = F.col("b.s")
     severity = F.when(s >= threshold, None).when(s < 0.2, "high").when(s < threshold * 0.7, "medium").otherwise("low")
     return best.select(group, claim_key, F.round(s, 4).alias("max_similarity"), (-F.col("b.e")).alias("best_evidence"), (s >= threshold).alias("passed"), severity.alias("severity"))
