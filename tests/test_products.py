@@ -48,3 +48,16 @@ def test_claims_equal_all_pairs_and_no_pair_is_shuffled(spark):
         assert sorted(map(str, (tuple(r) for r in got))) == sorted(map(str, (tuple(r) for r in want)))
         if not odd:
             assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hashed_embedding_equals_word_by_word(spark):
+    rows = spark.createDataFrame([(x,) for x in ("Red apples, red pears", "", None, " - ", "été à l'eau 3 3 3")], "t string").repartition(2)
+    words = F.filter(F.split(F.lower("t"), r"(?U)\W+", -1), lambda w: w != "")
+    place = lambda i: F.aggregate(
+        words, F.lit(0.0), lambda acc, w: acc + F.when(F.pmod(F.xxhash64(w), F.lit(64)) == i, F.when(F.xxhash64(w) >= 0, 1.0).otherwise(-1.0)).otherwise(0.0)
+    )
+    raw = F.when(F.col("t").isNotNull(), F.transform(F.sequence(F.lit(0), F.lit(63)), place))
+    want = rows.select("t", raw.alias("r")).withColumn("n", vectors.norm(F.col("r"))).select("t", F.transform("r", lambda x: F.when(F.col("n") > 0, x / F.col("n")).otherwise(0.0)))
+    out = rows.select("t", vectors.hashed_embedding(F.col("t")))
+    assert sorted(str(tuple(r)) for r in out.collect()) == sorted(str(tuple(r)) for r in want.collect())
+    assert "ArrowEvalPython" in out._jdf.queryExecution().executedPlan().toString()

@@ -1,7 +1,9 @@
-"""Vector arithmetic on arrays, in double precision."""
+"""Vector arithmetic on arrays, in double precision; built-in functions but for the counts of hashed_embedding()."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,16 +23,19 @@ def cosine(a: Column, b: Column, norm_a: Column | None = None, norm_b: Column |
     return F.when(both > 0, dot(a, b) / both).otherwise(F.lit(0.0))
 
 
-def hashed_embedding(text: Column, dimension: int = 64) -> Column:
-    """Signed feature hashing of lower-case words, L2-normalised: the default embedder, needing no model."""
-    words = F.filter(F.split(F.lower(text), r"(?U)\W+", -1), lambda w: w != "")
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
-    zero = F.array_repeat(F.lit(0.0), dimension)
+def _folded(dimension: int):
+    def fold(hashes: pa.Array) -> pa.Array:
+        n, flat = len(hashes), np.asarray(hashes.flatten(), dtype=np.int64)
+        row = np.repeat(np.arange(n), np.asarray(hashes.value_lengths().fill_null(0)))
+        raw = np.bincount(row * dimension + flat % dimension, weights=np.where(flat >= 0, 1.0, -1.0), minlength=n * dimension).astype(np.float64).reshape(n, dimension)
+        size = np.sqrt((raw * raw).sum(axis=1))[:, None]
+        values = np.divide(raw, size, out=np.zeros_like(raw), where=size > 0).ravel()
+        return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * dimension), pa.array(values), mask=hashes.is_null())
+
+    return F.arrow_udf(fold, "array<double>")
 
-    def add(acc: Column, h: Column) -> Column:
-        at = F.pmod(h, F.lit(dimension)).cast("int")
-        sign = F.when(h >= 0, F.lit(1.0)).otherwise(F.lit(-1.0))
-        return F.transform(acc, lambda x, i: F.when(i == at, x + sign).otherwise(x))
 
-    raw = F.aggregate(hashes, zero, add)
-    return F.transform(F.array(raw), lambda v: F.transform(v, lambda x: F.when(norm(v) > 0, x / norm(v)).otherwise(F.lit(0.0))))[0]
+def hashed_embedding(text: Column, dimension: int = 64) -> Column:
+    """Signed feature hashing of lower-case words, L2-normalised: the default embedder, needing no model. Counts are made a batch at a time."""
+    words = F.filter(F.split(F.lower(text), r"(?U)\W+", -1), lambda w: w != "")
+    return _folded(dimension)(F.transform(words, lambda w: F.xxhash64(w)))
