@@ -68,3 +68,30 @@ def test_quality_counts_every_trusted_row(spark):
         got, found = quality._quantiles(scores, (0.01, 0.5))
         assert got == want[0] and all(abs(a - b) < 1e-9 for a, b in zip(found, want[1:], strict=True))
     assert quality._quantiles(spark.createDataFrame([(None,)], "_score double"), (0.5,)) == (0, [])
+
+
+def test_quality_deals_out_no_texts_for_trusted_ids(spark, capsys):
+    from vellum.llm import quality
+
+    near = [-(1 << 63), -32769, -32768, -1, 0, 1, 7, 8, 32767, 32768, (1 << 63) - 1]
+    docs = spark.createDataFrame([(i, "a b") for i in [*near, *(i + 3 for i in near[:-1]), None]], "doc_id long, text string")
+    trusted = quality._ids(spark.createDataFrame([(i,) for i in [*near, 5000, None]], "doc_id long"), "doc_id")
+    marks = quality._marks(trusted, docs.schema["doc_id"].dataType)
+    assert marks.columns == ["_range", "_bits"] and marks.count() == 6
+    # None of 8, 10, ... that lie between is told to be trusted, whatever their range has else.
+    told = {r.doc_id: r._trusted for r in quality._flagged(docs, marks, "doc_id").collect()}
+    assert told == {i: i in near for i in told} and len(told) == len({r.doc_id for r in docs.collect()})
+    # Ids that are far apart, or no numbers, are joined as they are, with the same result.
+    far = spark.range(quality.MAX_RANGES + 1).select((F.col("id") * quality.RANGE).alias("_t"))
+    assert quality._marks(far, docs.schema["doc_id"].dataType) is far
+    assert quality._marks(trusted, spark.createDataFrame([("a",)], "doc_id string").schema["doc_id"].dataType) is trusted
+    assert {r.doc_id: r._trusted for r in quality._flagged(docs, trusted, "doc_id").collect()} == told
+    # With no broadcast by size, as where the ids are many, texts still stay where they are.
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        quality.judge(docs, trusted.withColumnRenamed("_t", "doc_id")).explain()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    plan = capsys.readouterr().out
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan

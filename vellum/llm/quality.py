@@ -9,8 +9,9 @@ A trusted row is scored out of sample: its own n-grams are taken off the trusted
 as a row without a label would be. The threshold comes from these scores of the same fit, as ``limit_of`` says, since all
 scores depend on how much text is trusted: the less, the more n-grams of good prose are unseen.
 
-Both sides count every row of theirs: all documents, and all trusted ones. Spark broadcasts the trusted ids where they are few (its
-own threshold) and deals out both sides by id where they aren't. The model is ``BUCKETS`` numbers and goes into the plan as a
+Both sides count every row of theirs: all documents, and all trusted ones. Trusted ids go out as bitmaps of ``RANGE`` neighbouring ids
+each, so texts aren't dealt out; only where ids aren't whole numbers, or lie in more than ``MAX_RANGES`` such ranges, does Spark join by
+id, and deal out both sides unless it finds the ids few enough to broadcast. The model is ``BUCKETS`` numbers and goes into the plan as a
 constant. The threshold's quantiles are exact, from counts of narrow cells of the score and the values in two to four of them.
 
 Base rules come before the model: a document fails with fewer than ``min_words`` words, or if over half of its words stand
@@ -29,6 +30,7 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, IntegralType
 
 from vellum.llm.common import WORD_BREAKS, Scratch, let
 
@@ -38,6 +40,8 @@ MIN_TRUSTED = 10
 #: The threshold lies below the 1 % quantile of the trusted scores by this part of that quantile's distance from the median.
 MARGIN = 1 / 3
 SCALE = 1_000_000
+#: Ids of one bitmap (4 KB), and bitmaps that are broadcast at most (16 MB).
+RANGE, MAX_RANGES = 1 << 15, 1 << 12
 #: Width of the cells (millionths of score) in which trusted rows are counted for quantiles.
 CELL = 1_000
 _BREAKS = r"[\x20\x09-\x0D]+"
@@ -107,11 +111,36 @@ def _ids(trusted: DataFrame, id_col: str) -> DataFrame:
     return trusted.select(F.col(id_col).alias("_t")).where("_t IS NOT NULL").distinct()
 
 
-def _counts(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, buckets: int) -> dict[int, tuple[int, int]]:
-    """Counts on the trusted side and in the corpus, by bucket."""
+def _range(of: str) -> Column:
+    return F.shiftright(F.col(of).cast("long"), RANGE.bit_length() - 1)
+
+
+def _marks(ids: DataFrame, id_type: DataType) -> DataFrame:
+    """The ids (_t), or, where they lie close together, a row for each range of theirs: _range and _bits."""
+    if not all(isinstance(t, IntegralType) for t in (id_type, ids.schema["_t"].dataType)):
+        return ids
+    if ids.select(_range("_t")).distinct().count() > MAX_RANGES:
+        return ids
+    place = F.col("_t").cast("long").bitwiseAND(F.lit(RANGE - 1).cast("long"))
+    return ids.groupBy(_range("_t").alias("_range")).agg(F.bitmap_construct_agg(place).alias("_bits"))
+
+
+def _flagged(docs: DataFrame, marks: DataFrame, id_col: str) -> DataFrame:
+    """``docs`` with _trusted. ``marks``: the trusted ids (_t), or their bitmaps by _marks()."""
+    if "_bits" not in marks.columns:
+        return docs.join(marks, F.col(id_col) == F.col("_t"), "left").withColumn("_trusted", F.col("_t").isNotNull()).drop("_t")
+    place = F.col(id_col).cast("long").bitwiseAND(F.lit(RANGE - 1).cast("long")).cast("int")
+    byte = F.conv(F.hex(F.substring("_bits", F.shiftright(place, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.call_function("getbit", byte, place.bitwiseAND(7))
+    found = docs.join(F.broadcast(marks), _range(id_col) == F.col("_range"), "left")
+    return found.withColumn("_trusted", F.coalesce(bit == 1, F.lit(False))).drop("_range", "_bits")
+
+
+def _counts(docs: DataFrame, marks: DataFrame, id_col: str, text_col: str, buckets: int) -> dict[int, tuple[int, int]]:
+    """Counts on the trusted side and in the corpus, by bucket. ``marks``: as for _flagged()."""
     bucketed = let(_hashes(_words(text_col)), lambda h: _buckets(h, buckets))
-    rows = docs.select(id_col, text_col).join(ids, F.col(id_col) == F.col("_t"), "left")
-    grams = rows.select(F.col("_t").isNotNull().alias("t"), F.explode(bucketed).alias("b"))
+    rows = _flagged(docs.select(id_col, text_col), marks, id_col)
+    grams = rows.select(F.col("_trusted").alias("t"), F.explode(bucketed).alias("b"))
     counts = grams.groupBy("b").agg(F.count(F.lit(1)).alias("raw"), F.count_if("t").alias("target"))
     # The table has ``buckets`` rows at most.
     return {r.b: (r.target, r.raw) for r in counts.collect()}
@@ -153,13 +182,12 @@ def _own(counts: dict[int, tuple[int, int]], buckets: int) -> Column:
     return F.when(n == 0, 0).otherwise(let(F.sort_array("_b"), runs) - lost(n, F.lit(float(target + buckets))))
 
 
-def _scored(docs: DataFrame, ids: DataFrame, counts: dict[int, tuple[int, int]], min_words: int, id_col: str, text_col: str, buckets: int) -> DataFrame:
-    """``docs`` with the base columns, _b, _base_failed, _total (of trusted rows: without their own counts) and _t, null unless trusted."""
+def _scored(docs: DataFrame, marks: DataFrame, counts: dict[int, tuple[int, int]], min_words: int, id_col: str, text_col: str, buckets: int) -> DataFrame:
+    """``docs`` with the base columns, _b, _base_failed, _total (of trusted rows: without their own counts) and _trusted."""
     model = F.from_json(F.lit(json.dumps(log_ratios(counts, buckets))), "array<bigint>")
-    rows = docs.join(ids, F.col(id_col) == F.col("_t"), "left")
-    rows = base_columns(rows, text_col).withColumn("_b", let(F.col("_h"), lambda h: _buckets(h, buckets)))
+    rows = base_columns(_flagged(docs, marks, id_col), text_col).withColumn("_b", let(F.col("_h"), lambda h: _buckets(h, buckets)))
     total = F.aggregate("_b", F.lit(0).cast("long"), lambda acc, b: acc + F.get(model, b))
-    own = F.when(F.col("_t").isNotNull(), _own(counts, buckets)).otherwise(F.lit(0).cast("long"))
+    own = F.when(F.col("_trusted"), _own(counts, buckets)).otherwise(F.lit(0).cast("long"))
     failed = (F.col("_n_words") < min_words) | (100 * F.col("_n_repeat_words") > 50 * F.col("_n_words"))
     return rows.withColumn("_total", total - own).withColumn("_base_failed", failed)
 
@@ -214,9 +242,10 @@ def judge(
     names = {c: f"c{i}" for i, c in enumerate(dict.fromkeys([*carried, id_col, text_col]))}
     plain = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
     ids = scratch.write(_ids(trusted, id_col), "trusted")
-    counts = _counts(plain, ids, names[id_col], names[text_col], buckets)
-    rows = _scored(plain, ids, counts, min_words, names[id_col], names[text_col], buckets)
-    rows = rows.withColumn("_n", F.size("_b").cast("long")).withColumn("_trusted", F.col("_t").isNotNull())
+    marks = scratch.write(_marks(ids, docs.schema[id_col].dataType), "marks")
+    counts = _counts(plain, marks, names[id_col], names[text_col], buckets)
+    rows = _scored(plain, marks, counts, min_words, names[id_col], names[text_col], buckets)
+    rows = rows.withColumn("_n", F.size("_b").cast("long"))
     rows = rows.select(*[names[c] for c in carried], *BASE, "_base_failed", "_total", "_n", "_trusted")
     if keep is not None:
         rows = scratch.write(rows, "scores")
