@@ -94,3 +94,15 @@ def test_matches_of_a_long_text(spark):
     assert [(r.start, r.end, r.value) for r in got] == [(m.start(), m.end(), m[0]) for m in re.finditer(r"\d+", text)]
     marked = df.select(spans.replace_spans(F.col("t"), spans.matches(F.col("t"), "ab"), lambda s: F.lit("_"))).first()[0]
     assert marked == text.replace("ab", "_")
+
+
+def test_words_of_a_small_file_are_not_broadcast(spark, capsys, tmp_path):
+    # The file is small, so Spark takes its words for few; they are many times that.
+    folder = str(tmp_path / "texts")
+    spark.range(200).selectExpr("id AS doc_id", "repeat('word ', 5000) AS text", "CAST(id AS int) AS start", "CAST(id + 3 AS int) AS end").write.parquet(folder)
+    docs = spark.read.parquet(folder)
+    out = ranges.span_rectangles(docs.select("doc_id", "start", "end"), ranges.word_boxes(docs, "doc_id"), "doc_id", ["doc_id"])
+    out.explain()
+    plan = capsys.readouterr().out
+    assert "BroadcastExchange" not in plan and plan.count("SortMergeJoin") == 3
+    assert out.count() == 200

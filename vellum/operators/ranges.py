@@ -4,7 +4,8 @@ Intervals are half-open, [start, end), in whole numbers. An interval has a level
 are as wide as it is, so it lies in two bins of its level at most. Two intervals meet at the higher one of their levels:
 each goes to its bins there, the lower one as a guest. So an interval takes part in two rows for each level that the other side
 has, however long it is, and a pair is told apart from others by keys, level and bin alone: equi-joins, which the adaptive
-planner splits at hot bins, and no nested loop. A pair that shares two bins is reported in the first one.
+planner splits at hot bins, and no nested loop. A pair that shares two bins is reported in the first one. Both sides are dealt out:
+how many bins an interval has isn't known from the size of what it is read from, nor how many words a text, so neither is broadcast by that.
 
 Intervals with a null end, or that end before or where they start, overlap nothing. Rows with null keys have no partner. Columns of either
 side that the other one has too, keys aside, aren't allowed, as in any join of Spark's that keeps names.
@@ -59,7 +60,7 @@ def overlap_join(
     def meet(left_own: bool, right_own: bool) -> DataFrame:
         x = _binned(a, *left_range, bits, levels[1], left_own).withColumnRenamed("_first", "_left_first")
         y = _binned(b, *right_range, bits, levels[0], right_own).withColumnRenamed("_first", "_right_first")
-        met = x.join(y, keys)
+        met = x.hint("merge").join(y, keys)
         overlap = (F.col(left_range[0]) < F.col(right_range[1])) & (F.col(right_range[0]) < F.col(left_range[1]))
         return met.where(overlap & (F.col("_bin") == F.greatest("_left_first", "_right_first"))).drop("_at", "_bin", "_left_first", "_right_first")
 
