@@ -129,3 +129,33 @@ def test_vocabulary_shuffles_terms_not_documents(spark):
     docs = spark.createDataFrame([(0, "a bb cc bb"), (1, "bb cc")], "doc_id long, text string")
     plan = topics.vocabulary(docs, "doc_id")._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(doc_id" not in plan and "hashpartitioning(kind" not in plan
+
+
+def test_terms_are_counted_where_documents_lie(spark, capsys):
+    texts = [(1, "Été bleu bleu"), (2, "ete BLEU x-ray"), (1, "bleu  ete"), (3, None), (4, "?!"), (5, "bleu " * 300 + "ete")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    known = topics.vocabulary(docs, "doc_id", max_words=8, max_chars=12)
+    rows = topics.term_counts(docs, known, "doc_id", "text", 20)
+    rows.explain()
+    assert capsys.readouterr().out.count("Exchange") == 1  # that of repartition()
+    terms = {r["at"]: (r.kind, r.term) for r in known.collect()}
+
+    def want(text):
+        out = {}
+        text = text or ""
+        words = [w for w in re.findall(r"[^\W\d_][\w'-]+\b", text.lower().replace("é", "e"))]
+        parts = [f" {w} "[i : i + n] for w in text.lower().split() for n in (3, 4, 5) for i in range(len(w) + 3 - n)]
+        for t in [*(("w", x) for x in [*words, *map(" ".join, zip(words, words[1:], strict=False))]), *(("c", x) for x in parts)]:
+            if t in terms.values():
+                out[t] = out.get(t, 0) + 1
+        return out
+
+    got = sorted((r.doc_id, sorted((terms[a], n) for a, n in zip(r["at"], r.tf, strict=True))) for r in rows.collect())
+    assert got == sorted((i, sorted(want(t).items())) for i, t in texts)
+    assert all(list(r["at"]) == sorted(r["at"]) for r in rows.collect())
+    # Rows of one key are one document.
+    found = {r.doc_id: r for r in topics.features(docs, "doc_id", max_words=8, max_chars=12).collect()}
+    assert sorted(found) == [1, 2, 5]
+    both = spark.createDataFrame([(1, "Été bleu bleu"), (2, "bleu  ete")], "doc_id long, text string")
+    parts = topics.term_counts(both, known, "doc_id", "text", 20).collect()
+    assert set(found[1]["at"]) == {a for r in parts for a in r["at"]}

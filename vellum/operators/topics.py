@@ -3,8 +3,8 @@
 Features: words (a letter, then letters, digits, ' or -, ending in a letter or digit; accents folded) and pairs of
 neighbouring words; runs of three to five characters inside words padded with a blank on both sides. Of each kind the terms with
 the highest counts make up the vocabulary, equal counts by term. A term weighs (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1); each kind
-is L2-normalised, characters count ``char_weight`` times, and the whole is normalised again. Words are counted by document first and
-characters taken from distinct words, so what is shuffled is distinct terms, then distinct vocabulary terms of a document.
+is L2-normalised, characters count ``char_weight`` times, and the whole is normalised again. The vocabulary goes out to
+the tasks, which count its terms document by document, so no terms of documents are shuffled; each distinct word of a while is taken apart once.
 
 Clustering: centroids start from K-Means (k-means++, ten seeds) on at most ``SAMPLE`` documents, the first by hash. Then all documents
 take part: hashed into batches, each batch moves its centroids by the mean of what they have met so far, for some epochs. Sums
@@ -15,12 +15,14 @@ for vectors of length 1 follows from the clusters' sums.
 
 from __future__ import annotations
 
+import json
 import sys
 import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -50,9 +52,13 @@ def fold_accents(text: Column) -> Column:
     return F.translate(text, *_accents())
 
 
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(fold_accents(F.lower(text)), F.lit(WORD), F.lit(0))
+
+
 def word_terms(text: Column) -> Column:
     """Words and pairs of neighbouring words, repeats included."""
-    words = F.regexp_extract_all(fold_accents(F.lower(text)), F.lit(WORD), F.lit(0))
+    words = _words(text)
     pairs = lambda w: F.concat(w, F.zip_with(F.slice(w, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b)))
     return F.get(F.transform(F.array(words), pairs), F.lit(0))
 
@@ -68,22 +74,6 @@ def _char_words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[ \t\n\x0B\f\r]+", -1), lambda w: w != "")
 
 
-def _counted(docs: DataFrame, key: str, text_col: str) -> DataFrame:
-    """(key, kind, term, tf): word terms, and distinct blank-separated words from which characters are taken (kind c)."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    both = F.concat(
-        F.transform(word_terms(text), lambda x: F.struct(F.lit("w").alias("kind"), x.alias("term"))),
-        F.transform(_char_words(text), lambda x: F.struct(F.lit("c").alias("kind"), x.alias("term"))),
-    )
-    return docs.select(key, F.explode(both).alias("t")).groupBy(key, "t.kind", "t.term").agg(F.count(F.lit(1)).alias("tf"))
-
-
-def _terms(counted: DataFrame) -> DataFrame:
-    """Rows of _counted(), the words of kind c as their runs of characters; a term may come several times a document."""
-    term = F.when(F.col("kind") == "w", F.array("term")).otherwise(char_terms(F.col("term")))
-    return counted.withColumn("term", F.explode(term))
-
-
 def vocabulary(docs: DataFrame, key: str, text_col: str = "text", max_words: int = 16_000, max_chars: int = 10_000) -> DataFrame:
     """(kind, term, n, at): the terms of each kind with the highest counts, numbered from 0; characters come after words."""
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -101,30 +91,102 @@ def vocabulary(docs: DataFrame, key: str, text_col: str = "text", max_words: int
     return best(words, "w", max_words, 0).unionByName(best(chars, "c", max_chars, max_words))
 
 
+def _count_terms(known: pa.Table, key: str, width: int, most: int = 100_000, remembered: int = 200_000):
+    """Rows (key, _w: words, _c: words for characters) -> (key, at, tf): the terms of ``known`` in each, in order of ``at``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of_words = known.filter(pc.equal(known["kind"], "w"))
+        terms, places = of_words["term"].combine_chunks(), of_words["at"].to_numpy()
+        chars = {t: i for k, t, i in zip(*(known[c].to_pylist() for c in ("kind", "term", "at")), strict=True) if k == "c"}
+        seen: dict[str, np.ndarray] = {}
+
+        def char_places(word: str) -> np.ndarray:
+            if word not in seen:
+                w = f" {word} "
+                found = [chars.get(w[i : i + n]) for n in (3, 4, 5) for i in range(len(w) - n + 1)]
+                seen[word] = np.array([i for i in found if i is not None], dtype=np.int64)
+            return seen[word]
+
+        def codes(lists: pa.Array, own: pa.Array) -> np.ndarray:
+            """row * width + at of each term that is known, repeats included."""
+            words, row = lists.flatten(), np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+            out = []
+            for values, at in ((words, row), (pc.binary_join_element_wise(words[:-1], words[1:], " "), np.where(row[:-1] == row[1:], row[:-1], -1))) if len(words) else ():
+                i = pc.fill_null(pc.index_in(values, value_set=terms), -1).to_numpy()
+                there = (i >= 0) & (at >= 0)
+                out.append(at[there] * width + places[i[there]])
+            told, row = own.flatten().dictionary_encode(), np.repeat(np.arange(len(own)), own.value_lengths().to_numpy())
+            if len(told):
+                each = [char_places(w) for w in told.dictionary.to_pylist()]
+                length = np.array([len(x) for x in each])
+                flat, begin, which = np.concatenate(each), np.cumsum(length) - length, told.indices.to_numpy()
+                n = length[which]
+                at = np.repeat(begin[which] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                out.append(np.repeat(row, n) * width + flat[at])
+            return np.concatenate(out) if out else np.zeros(0, dtype=np.int64)
+
+        for batch in batches:
+            words, own = batch.column("_w"), batch.column("_c")
+            ends = np.cumsum(own.value_lengths().to_numpy() + words.value_lengths().to_numpy())
+            lo = 0
+            while lo < batch.num_rows:
+                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most)))
+                if len(seen) > remembered:
+                    seen.clear()
+                code, tf = np.unique(codes(words.slice(lo, hi - lo), own.slice(lo, hi - lo)), return_counts=True)
+                begins = pa.array(np.searchsorted(code // width, np.arange(hi - lo + 1)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(begins, pa.array(x)) for x in ((code % width).astype(np.int32), tf.astype(np.int64))]
+                yield pa.RecordBatch.from_arrays([batch.column(key).slice(lo, hi - lo), *lists], names=[key, "at", "tf"])
+                lo = hi
+
+    return run
+
+
+def term_counts(docs: DataFrame, known: DataFrame, key: str, text_col: str, width: int) -> DataFrame:
+    """(key, at array<int>, tf array<long>) of each row of ``docs``; ``known``: at most ``width`` terms, as from vocabulary(). Narrow."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    listed = docs.select(key, _words(text).alias("_w"), _char_words(text).alias("_c"))
+    kind = docs.schema[key].dataType.simpleString()
+    return listed.mapInArrow(_count_terms(known.select("kind", "term", "at").toArrow(), key, width), f"`{key}` {kind}, at array<int>, tf array<long>")
+
+
 def features(docs: DataFrame, key: str, text_col: str = "text", max_words: int = 16_000, max_chars: int = 10_000, char_weight: float = 0.35) -> DataFrame:
     """(key, at array<int>, weight array<double>) for each document that has a term of the vocabulary, in order of ``at``."""
-    words = written(vocabulary(docs, key, text_col, max_words, max_chars), "vocabulary")
-    known = F.broadcast(words.select("kind", "term", "at"))  # max_words + max_chars rows at most
-    rows = _terms(_counted(docs, key, text_col)).join(known, ["kind", "term"]).groupBy(key, "at").agg(F.sum("tf").alias("tf"))
-    rows = written(rows, "counts")
-    df = F.broadcast(rows.groupBy("at").agg(F.count(F.lit(1)).alias("df")))
+    known, width = written(vocabulary(docs, key, text_col, max_words, max_chars), "vocabulary"), max_words + max_chars
+    rows = written(term_counts(docs, known, key, text_col, width).where(F.size("at") > 0), "counts")
+    if rows.groupBy(key).count().where("count > 1").limit(1).count():  # rows of one key are one document
+        each = rows.select(key, F.explode(F.arrays_zip("at", "tf")).alias("t")).groupBy(key, "t.at").agg(F.sum("t.tf").alias("tf"))
+        whole = each.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", "tf"))).alias("t"))
+        rows = written(whole.select(key, F.col("t.at").alias("at"), F.col("t.tf").alias("tf")), "counts")
     n = docs.count()
-    weighed = rows.join(df, "at").withColumn("x", (1 + F.ln("tf")) * (F.ln((1 + n) / (1 + F.col("df"))) + 1))
-    listed = weighed.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", "x"))).alias("t"))
+    found = rows.select(F.explode("at").alias("at")).groupBy("at").agg(F.count(F.lit(1)).alias("df"))
+    rare = {r["at"]: r.x for r in found.select("at", (F.ln((1 + n) / (1 + F.col("df"))) + 1).alias("x")).collect()}  # width rows at most
+    kind = docs.schema[key].dataType.simpleString()
+    weigh = _weigh(np.array([rare.get(i, 0.0) for i in range(width)]), key, max_words, char_weight)
+    return rows.mapInArrow(weigh, f"`{key}` {kind}, at array<int>, weight array<double>")
 
-    def length(t: Column, kind) -> Column:
-        return F.sqrt(F.aggregate(F.filter(t, kind), F.lit(0.0), lambda acc, v: acc + v.x * v.x))
 
-    of_words, of_chars = length(F.col("t"), lambda v: v["at"] < max_words), length(F.col("t"), lambda v: v["at"] >= max_words)
-    split = listed.withColumn("w", of_words).withColumn("c", of_chars)
-    scaled = split.withColumn("t", F.transform("t", lambda v: F.struct(v["at"].alias("at"), F.when(v["at"] < max_words, v.x / F.col("w")).otherwise(char_weight * v.x / F.col("c")).alias("x"))))
-    whole = F.sqrt(F.when(F.col("w") > 0, 1.0).otherwise(0.0) + F.when(F.col("c") > 0, char_weight * char_weight).otherwise(0.0))
-    return scaled.withColumn("l", whole).select(key, F.transform("t", lambda v: v["at"]).alias("at"), F.transform("t", lambda v: v.x / F.col("l")).alias("weight"))
+def _weigh(rare: np.ndarray, key: str, max_words: int, char_weight: float):
+    """Rows (key, at, tf) -> (key, at, weight); ``rare``: the inverse document frequency of each term."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, places, tf, begins in _pieces(batch, "tf"):
+                x, is_word = (1 + np.log(tf)) * rare[places], places < max_words
+                words, chars = (np.sqrt(np.add.reduceat(np.where(k, x * x, 0.0), begins)) for k in (is_word, ~is_word))
+                whole = np.sqrt((words > 0) + char_weight * char_weight * (chars > 0))
+                ends = np.append(begins, len(places))
+                row = np.repeat(np.arange(hi - lo), np.diff(ends))
+                weight = x * np.where(is_word, 1 / np.where(words > 0, words, 1)[row], char_weight / np.where(chars > 0, chars, 1)[row]) / whole[row]
+                lists = [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(v)) for v in (places, weight)]
+                yield pa.RecordBatch.from_arrays([batch.column(key).slice(lo, hi - lo), *lists], names=[key, "at", "weight"])
+
+    return run
 
 
-def _pieces(batch: pa.RecordBatch, most: int = 100_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+def _pieces(batch: pa.RecordBatch, of: str = "weight", most: int = 100_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """(first row, last, places, weights, begins) of rows that together have about ``most`` terms."""
-    at, weight = batch.column("at"), batch.column("weight")
+    at, weight = batch.column("at"), batch.column(of)
     ends = np.cumsum(np.asarray(at.value_lengths()))
     lo = 0
     while lo < batch.num_rows:
