@@ -95,3 +95,12 @@ def test_quality_deals_out_no_texts_for_trusted_ids(spark, capsys):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
     plan = capsys.readouterr().out
     assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+
+
+def test_quality_keeps_its_model_out_of_the_plan(spark):
+    """As a constant it was written out, for each use, in every text that Spark makes of the plan: over a megabyte, in the driver's heap."""
+    from vellum.llm import quality
+
+    docs = spark.createDataFrame([(i, " ".join(f"w{i % 7}x{j}" for j in range(60))) for i in range(40)], "doc_id long, text string")
+    out = quality.judge(docs, docs.where("doc_id < 30").select("doc_id"))
+    assert out.count() == 40 and len(out.where("_kept")._jdf.queryExecution().toString()) < 200_000

@@ -11,8 +11,8 @@ scores depend on how much text is trusted: the less, the more n-grams of good pr
 
 Both sides count every row of theirs: all documents, and all trusted ones. Trusted ids go out as bitmaps of ``RANGE`` neighbouring ids
 each, so texts aren't dealt out; only where ids aren't whole numbers, or lie in more than ``MAX_RANGES`` such ranges, does Spark join by
-id, and deal out both sides unless it finds the ids few enough to broadcast. The model is ``BUCKETS`` numbers and goes into the plan as a
-constant. The threshold's quantiles are exact, from counts of narrow cells of the score and the values in two to four of them.
+id, and deal out both sides unless it finds the ids few enough to broadcast. The model is two arrays of ``BUCKETS`` numbers, written as one row and taken up by
+scalar subqueries: as a constant it would be written out, for each use, in every text that Spark makes of the plan, which fills the driver's heap. The threshold's quantiles are exact, from counts of narrow cells of the score and the values in two to four of them.
 
 Base rules come before the model: a document fails with fewer than ``min_words`` words, or if over half of its words stand
 in windows of three words that its text has more than once. Words are runs of characters other than ASCII white space.
@@ -164,11 +164,17 @@ def log_ratios(counts: dict[int, tuple[int, int]], buckets: int) -> list[int]:
     return out
 
 
-def _own(counts: dict[int, tuple[int, int]], buckets: int) -> Column:
-    """What a trusted row's own n-grams (_b) add to its total: the total less this is that of a fit without the row."""
-    target, raw = (sum(c[k] for c in counts.values()) for k in (0, 1))
+def _model(scratch: Scratch, counts: dict[int, tuple[int, int]], buckets: int) -> DataFrame:
+    """A written row: _ratios, the log ratios by bucket, and _sums, the trusted side's counts with their prior."""
+    raw = sum(c[1] for c in counts.values())
     found = (counts.get(b, (0, 0)) for b in range(buckets))
-    sums = F.from_json(F.lit(json.dumps([t + buckets * (r + 1) / (raw + buckets) for t, r in found])), "array<double>")
+    sums = [t + buckets * (r + 1) / (raw + buckets) for t, r in found]
+    made = F.from_json(F.lit(json.dumps({"_ratios": log_ratios(counts, buckets), "_sums": sums})), "_ratios array<bigint>, _sums array<double>")
+    return scratch.write(scratch.spark.range(1).select(made.alias("m")).select("m.*"), "model")
+
+
+def _own(sums: Column, of: int) -> Column:
+    """What a trusted row's own n-grams (_b) add to its total: the total less this is that of a fit without the row. ``of``: the sum of all ``sums``."""
 
     def lost(run: Column, of: Column) -> Column:
         return run * F.round(-SCALE * F.log1p(-run / of)).cast("long")
@@ -179,17 +185,18 @@ def _own(counts: dict[int, tuple[int, int]], buckets: int) -> Column:
         return F.aggregate(each, F.lit(0).cast("long"), lambda acc, x: acc + x)
 
     n = F.size("_b")
-    return F.when(n == 0, 0).otherwise(let(F.sort_array("_b"), runs) - lost(n, F.lit(float(target + buckets))))
+    return F.when(n == 0, 0).otherwise(let(F.sort_array("_b"), runs) - lost(n, F.lit(float(of))))
 
 
-def _scored(docs: DataFrame, marks: DataFrame, counts: dict[int, tuple[int, int]], min_words: int, id_col: str, text_col: str, buckets: int) -> DataFrame:
-    """``docs`` with the base columns, _b, _base_failed, _total (of trusted rows: without their own counts) and _trusted."""
-    model = F.from_json(F.lit(json.dumps(log_ratios(counts, buckets))), "array<bigint>")
+def _scored(docs: DataFrame, marks: DataFrame, model: DataFrame, target: int, min_words: int, id_col: str, text_col: str, buckets: int) -> DataFrame:
+    """``docs`` with the base columns, _b, _base_failed, _total (of trusted rows: without their own counts) and _trusted. ``target``: n-grams of the trusted side."""
     rows = base_columns(_flagged(docs, marks, id_col), text_col).withColumn("_b", let(F.col("_h"), lambda h: _buckets(h, buckets)))
-    total = F.aggregate("_b", F.lit(0).cast("long"), lambda acc, b: acc + F.get(model, b))
-    own = F.when(F.col("_trusted"), _own(counts, buckets)).otherwise(F.lit(0).cast("long"))
+    # The optimizer puts the subqueries where they are used, so that no row carries them.
+    rows = rows.withColumns({c: model.select(c).scalar() for c in model.columns})
+    total = F.aggregate("_b", F.lit(0).cast("long"), lambda acc, b: acc + F.get("_ratios", b))
+    own = F.when(F.col("_trusted"), _own(F.col("_sums"), target + buckets)).otherwise(F.lit(0).cast("long"))
     failed = (F.col("_n_words") < min_words) | (100 * F.col("_n_repeat_words") > 50 * F.col("_n_words"))
-    return rows.withColumn("_total", total - own).withColumn("_base_failed", failed)
+    return rows.select(*[c for c in rows.columns if c not in model.columns], (total - own).alias("_total"), failed.alias("_base_failed"))
 
 
 def _quantiles(scores: DataFrame, shares: tuple[float, ...]) -> tuple[int, list[float]]:
@@ -244,7 +251,8 @@ def judge(
     ids = scratch.write(_ids(trusted, id_col), "trusted")
     marks = scratch.write(_marks(ids, docs.schema[id_col].dataType), "marks")
     counts = _counts(plain, marks, names[id_col], names[text_col], buckets)
-    rows = _scored(plain, marks, counts, min_words, names[id_col], names[text_col], buckets)
+    target = sum(t for t, _ in counts.values())
+    rows = _scored(plain, marks, _model(scratch, counts, buckets), target, min_words, names[id_col], names[text_col], buckets)
     rows = rows.withColumn("_n", F.size("_b").cast("long"))
     rows = rows.select(*[names[c] for c in carried], *BASE, "_base_failed", "_total", "_n", "_trusted")
     if keep is not None:
