@@ -104,3 +104,31 @@ def test_quality_keeps_its_model_out_of_the_plan(spark):
     docs = spark.createDataFrame([(i, " ".join(f"w{i % 7}x{j}" for j in range(60))) for i in range(40)], "doc_id long, text string")
     out = quality.judge(docs, docs.where("doc_id < 30").select("doc_id"))
     assert out.count() == 40 and len(out.where("_kept")._jdf.queryExecution().toString()) < 200_000
+
+
+def test_uneven_white_space_is_told_as_python_tells_it():
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    from vellum.llm.tokens import _UNEVEN
+
+    white = [c for c in map(chr, range(0x110000)) if c.isspace()]
+    others = [c for c in map(chr, [0, 0x1B, 0x84, 0x86, 0x180E, 0x200B, 0x200D, 0x2060, 0xFEFF, 0x1F600]) if not c.isspace()]
+    texts = ["a", "", *white, *(t.format(c) for c in white + others for t in ("a{}b", "a{}", "{}b", "a {}b", "a{}\nb", "a{0}b{0}c"))]
+    runs = [t.split() for t in texts]
+    uneven = [len(t) != sum(map(len, r)) + max(0, len(r) - 1) for t, r in zip(texts, runs, strict=True)]
+    assert pc.match_substring_regex(pa.array(texts, pa.large_string()), _UNEVEN).to_pylist() == uneven
+
+
+def test_blocks_of_all_lengths_come_back():
+    import numpy as np
+
+    from vellum.llm.rans import BLOCK, LANES, Table, decode_blocks, encode_blocks, scale
+
+    rng = np.random.default_rng(5)
+    blocks = [(rng.pareto(0.6, n) * 3 % 900).astype("<u2") for n in (BLOCK, 3 * LANES, 3 * LANES + 1, 1, 5 * LANES - 1, BLOCK)]
+    table = Table(scale(np.bincount(np.concatenate(blocks), minlength=1000)))
+    assert len(table.rest) == len(table.slots)
+    for group in (blocks, [blocks[0], blocks[5]], [blocks[1], blocks[4]], [blocks[2]], [blocks[3]]):
+        back = decode_blocks(encode_blocks(group, table), [len(b) for b in group], table)
+        assert all((a == b).all() and len(a) == len(b) for a, b in zip(back, group, strict=True))

@@ -63,12 +63,13 @@ def scale(counts: np.ndarray) -> np.ndarray:
 
 
 class Table:
-    """The shared table: frequency, first slot, and the id of each slot."""
+    """The shared table: frequency, first slot, and of each slot its id and its place among those of the id."""
 
     def __init__(self, frequencies: np.ndarray):
         self.freq = frequencies.astype(np.uint64)
         self.start = (np.cumsum(self.freq) - self.freq).astype(np.uint64)
         self.slots = np.repeat(np.arange(len(self.freq), dtype=np.uint32), self.freq.astype(np.int64))
+        self.rest = (np.arange(len(self.slots), dtype=np.uint64) - self.start[self.slots]).astype(np.uint32)
 
 
 def encode_blocks(blocks: list[np.ndarray], table: Table) -> list[bytes]:
@@ -83,9 +84,17 @@ def encode_blocks(blocks: list[np.ndarray], table: Table) -> list[bytes]:
     state = np.full((len(blocks), LANES), _LOW)
     words = np.zeros((steps, len(blocks), LANES), dtype=np.uint32)
     given = np.zeros(words.shape, dtype=bool)
+    whole = min(map(len, blocks)) // LANES  # so many steps have an id for each lane
     for t in range(steps - 1, -1, -1):
-        live = real[:, t]
         f, s = table.freq[ids[:, t]], table.start[ids[:, t]]
+        if t < whole:
+            out = state >= f << np.uint64(63 - BITS)
+            words[t], given[t] = state, out
+            x = np.where(out, state >> np.uint64(32), state)
+            q = x // f
+            state = x + q * (np.uint64(1 << BITS) - f) + s
+            continue
+        live = real[:, t]
         out = live & (state >= f << np.uint64(63 - BITS))
         words[t], given[t] = state.astype(np.uint32), out
         x = np.where(out, state >> np.uint64(32), state)
@@ -102,11 +111,21 @@ def decode_blocks(payloads: list[bytes], counts: list[int], table: Table) -> lis
     streams = [np.frombuffer(p, dtype="<u4", offset=head) for p in payloads]
     stream = np.concatenate([*streams, np.zeros(1, dtype="<u4")]).astype(np.uint64)
     at = np.cumsum([0, *map(len, streams)])[:-1]
-    left = np.array(counts)
+    left, whole = np.array(counts), min(counts) // LANES  # so many steps have an id for each lane
     out = np.zeros((steps, len(payloads), LANES), dtype=np.uint32)
     lanes = np.arange(LANES)
     mask = np.uint64((1 << BITS) - 1)
-    for t in range(steps):
+    rest = table.rest
+    for t in range(whole):
+        slot = (state & mask).astype(np.int64)
+        ids = out[t] = table.slots[slot]
+        state = table.freq[ids] * (state >> np.uint64(BITS)) + rest[slot]
+        low = state < _LOW
+        taken = low.sum(axis=1)
+        place = np.arange(taken.sum()) + np.repeat(at - (np.cumsum(taken) - taken), taken)
+        state[low] = state[low] << np.uint64(32) | stream[place]
+        at = at + taken
+    for t in range(whole, steps):
         live = t * LANES + lanes[None, :] < left[:, None]
         slot = state & mask
         ids = table.slots[slot.astype(np.int64)]

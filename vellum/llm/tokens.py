@@ -13,9 +13,14 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 _BREAK = ("\n",)
+#: Texts with white space that isn't a single character between others, in RE2's terms.
+_WHITE = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_UNEVEN = rf"\A{_WHITE}|{_WHITE}\z|{_WHITE}{_WHITE}"
 #: Letters that no normaliser joins to anything, and ASCII marks but the apostrophe: marks after letters are cut off by every pattern.
 _PLAIN = re.compile(r"[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+")
 _MARKS = "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum() and c != "'")
@@ -85,7 +90,10 @@ class CachedEncoder:
         """The ids of new pieces. Marks after letters are a token's text of their own, so letters and marks are learnt apart."""
         known, old, ends, need, letters = self.known, self.old, [], set(), []
         for p in pieces:
-            alone = isinstance(p, tuple)
+            alone = p.__class__ is tuple
+            if not alone and p.isascii() and p.isalpha():
+                letters.append(p)
+                continue
             text = p[0] if alone else p
             word = text.rstrip(_MARKS)
             if not word.isalpha() or not (word.isascii() or _PLAIN.fullmatch(word)):
@@ -144,10 +152,12 @@ class CachedEncoder:
             raw, starts, stops = ids.tobytes(), [0, *(4 * (cut + 1)).tolist()], [*(4 * cut).tolist(), 4 * len(ids)]
             known.update((p, raw[x:y]) for p, x, y in zip(part, starts, stops, strict=True))
 
-    def pieces(self, text: str) -> list[str | tuple]:
-        """What the text is cut into. With spaces, a piece that has none is a tuple: the first of the text or of a line."""
-        runs = text.split()
-        if not runs or len(text) != sum(map(len, runs)) + len(runs) - 1:  # some white space isn't a single character between others
+    def pieces(self, text: str, uneven: bool) -> list[str | tuple]:
+        """What the text is cut into. With spaces, a piece that has none is a tuple: the first of the text or of a line.
+
+        ``uneven``: some white space isn't a single character between others.
+        """
+        if uneven:
             words = _SAFE.split(text)
             return [(words[0],), *words[1:]] if self.spaced else words
         if not self.spaced:
@@ -177,11 +187,11 @@ class CachedEncoder:
         known, old = self.known, self.old
         found: list[list[bytes | None]] = []
         gaps: list[tuple[int, int, str | tuple]] = []
-        for text in texts:
+        for text, uneven in zip(texts, pc.match_substring_regex(pa.array(texts, pa.large_string()), _UNEVEN).to_pylist(), strict=True):
             if not text or any(m in text for m in self.marks):
                 found.append([self._plain(text).tobytes() if text else b""])
                 continue
-            pieces = self.pieces(text)
+            pieces = self.pieces(text, uneven)
             parts = list(map(known.get, pieces))
             if None in parts:
                 gaps += [(len(found), i, pieces[i]) for i, x in enumerate(parts) if x is None]
