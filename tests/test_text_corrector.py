@@ -3,6 +3,7 @@
 import random
 import re
 
+from vellum.operators import text_corrector
 from vellum.operators.text_corrector import LETTERS, correct_text
 
 KNOWN = {"the": 90, "document": 30, "is": 50, "small": 20, "smell": 20, "ab": 3, "abab": 2, "été": 7, "washington": 4, "stone": 5, "tone": 5}
@@ -83,3 +84,20 @@ def test_no_dictionary(spark):
     docs = spark.createDataFrame([(1, "smal docu ment"), (1, "smal docu ment"), (2, None)], "id int, text string")
     out = correct_text(docs, spark.createDataFrame([], "term string, frequency int")).collect()
     assert sorted((r.id, r.corrected_text, r.n_changes) for r in out) == [(1, "smal docu ment", 0), (1, "smal docu ment", 0), (2, None, 0)]
+
+
+def test_bitmaps_leave_out_words_before_they_are_dealt_out(spark):
+    known = spark.createDataFrame([(f"term{i}",) for i in range(200)], "_t string")
+    rows = spark.createDataFrame([(i, f"term{i}") for i in range(100, 3000)], "id int, t string")
+    found = {r.id for r in text_corrector._likely(rows, "t", known, "_t").collect()}
+    assert set(range(100, 200)) <= found and len(found) < 200
+    assert text_corrector._likely(rows, "t", known.limit(0), "_t").count() == 0
+    texts = spark.createDataFrame([(b"k", "a b term 1 c d")], "_k binary, _text string")
+    plan = text_corrector._merges(texts, known)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_ones" in plan and "LeftSemi" not in plan  # a semi join would go below the bitmap
+    assert [r._at for r in text_corrector._merges(texts, known).collect()] == [[2]]
+
+
+def test_full_bitmaps_change_nothing(spark, monkeypatch):
+    monkeypatch.setattr(text_corrector, "BITS", 64)
+    check(spark, ["the docu ment\tis smal", "Teh SMALLL  docs.", "wash\n\nington", None, "xstone docu ment ment"])

@@ -3,7 +3,8 @@
 The dictionary is a relation of any size. Words go by their places: the words of all texts meet the corrections of the distinct
 words by an equi-join, and what is found goes back to its text as a sorted list of (place, word). Adjacent fragments meet the dictionary
 by what they make together. Texts are rebuilt from slices between those places, in linear time. Only keys, places and words are
-dealt out for this, and only of what is corrected; texts are told apart by MD5, so equal texts are worked out alike.
+dealt out for this. Before each of these joins a bitmap of the other side's hashes, 2^26 bits at most, goes to the words and leaves out most that
+meet nothing; the joins decide, so a fuller bitmap only leaves out less. Texts are told apart by MD5, so equal texts are worked out alike.
 
 Edge cases. A null text stays null, an empty one stays empty, both with 0 changes. Rows that are equal in every column stay as many.
 An empty dictionary changes nothing. Terms are compared in lower case; of a term that is given more than once the greatest frequency counts. Extra columns
@@ -22,6 +23,8 @@ from vellum.session import written
 
 LETTERS = r"[A-Za-zÀ-ÿ]+"
 TOKENS = r"[^ \t\n\x0B\f\r]+"
+#: Bits of the bitmaps of hashes, which are broadcast as rows of 64 bits: 2^20 rows at most.
+BITS = 1 << 26
 
 
 def keep_case(word: Column, corrected: Column) -> Column:
@@ -31,6 +34,21 @@ def keep_case(word: Column, corrected: Column) -> Column:
     return F.when(upper, F.upper(corrected)).when(first == F.upper(first), F.concat(F.upper(F.substring(corrected, 1, 1)), F.substr(corrected, F.lit(2)))).otherwise(corrected)
 
 
+def _likely(rows: DataFrame, key: str, values: DataFrame, value: str) -> DataFrame:
+    """The ``rows`` whose ``key`` is among ``values``, and some others, by a bitmap of hashes; ``rows`` aren't dealt out."""
+
+    def bit(c: str) -> Column:
+        return F.pmod(F.xxhash64(F.col(c)), F.lit(BITS).cast("long"))
+
+    def place(c: str) -> Column:
+        return F.col(c).bitwiseAND(63).cast("int")
+
+    made = values.select(bit(value).alias("_bit")).withColumn("_one", F.call_function("shiftleft", F.lit(1).cast("long"), place("_bit")))
+    cells = made.groupBy(F.shiftright("_bit", 6).alias("_cell")).agg(F.bit_or("_one").alias("_ones"))
+    found = rows.withColumn("_bit", bit(key)).join(F.broadcast(cells), F.shiftright("_bit", 6) == F.col("_cell"))
+    return found.where(F.getbit("_ones", place("_bit")) == 1).drop("_bit", "_cell", "_ones")
+
+
 def corrections(words: DataFrame, dictionary: DataFrame, word: str = "word", term: str = "term", frequency: str = "frequency", max_distance: int = 1) -> DataFrame:
     """word, corrected, distance for the distinct ``words`` that aren't terms but have one within ``max_distance``.
 
@@ -45,10 +63,11 @@ def corrections(words: DataFrame, dictionary: DataFrame, word: str = "word", ter
             keys = F.array_distinct(F.flatten(F.transform(keys, lambda k: F.concat(F.array(k), _deletions(k)))))
         return df.withColumn("_key", F.explode(keys))
 
-    lower = words.select(F.lower(word).alias("_w"), F.col(word).alias("_word")).distinct()
+    lower = words.select(F.col(word).alias("_word")).distinct().withColumn("_w", F.lower("_word"))
     terms = dictionary.select(F.lower(term).alias("_t"), F.col(frequency).alias("_f"))
     unknown = lower.where(~((F.col("_word") == F.upper("_word")) & (F.char_length("_word") <= 4))).join(terms, F.col("_w") == F.col("_t"), "left_anti")
-    pairs = keyed(unknown, "_w").join(keyed(terms, "_t"), "_key").select("_word", "_w", "_t", "_f").distinct()
+    keys = keyed(terms, "_t")
+    pairs = _likely(keyed(unknown, "_w"), "_key", keys, "_key").join(keys, "_key").select("_word", "_w", "_t", "_f").distinct()
     near = pairs.withColumn("_d", F.levenshtein("_w", "_t")).where(F.col("_d") <= max_distance)
     best = near.groupBy("_word").agg(F.min(F.struct("_d", (-F.col("_f")).alias("f"), "_t")).alias("b"))
     return best.select(F.col("_word").alias(word), keep_case(F.col("_word"), F.col("b._t")).alias("corrected"), F.col("b._d").alias("distance"))
@@ -98,7 +117,8 @@ def _merges(texts: DataFrame, known: DataFrame) -> DataFrame:
     two = let(F.regexp_extract_all("_text", F.lit(TOKENS), 0), lambda t: F.zip_with(t, F.slice(t, 2, F.size(t)), lambda a, b: F.struct(a.alias("a"), b.alias("b"))))
     pairs = texts.select("_k", F.posexplode(two).alias("pos", "p"))
     pairs = pairs.where("p.b IS NOT NULL").select("_k", "pos", F.lower("p.a").alias("a"), F.lower("p.b").alias("b"))
-    whole = pairs.withColumn("t", F.concat("a", "b")).join(known.select(F.col("_t").alias("t")), "t", "left_semi")
+    # Terms are distinct; Spark would move a semi join to before the bitmap.
+    whole = _likely(pairs.withColumn("t", F.concat("a", "b")), "t", known, "_t").join(known.select(F.col("_t").alias("t")), "t")
     first, second = known.select(F.col("_t").alias("a"), F.lit(True).alias("_a")), known.select(F.col("_t").alias("b"), F.lit(True).alias("_b"))
     open_ = whole.join(first, "a", "left").join(second, "b", "left").where("_a IS NULL OR _b IS NULL").select("_k", "pos").distinct()
     # Of adjacent pairs, which share a token, every other one is taken.
@@ -119,15 +139,15 @@ def correct_text(
     if isinstance(dictionary, Mapping):
         dictionary = docs.sparkSession.createDataFrame([(str(k), int(n)) for k, n in dictionary.items()], f"`{term}` string, `{frequency}` long")
     terms = dictionary.groupBy(F.lower(F.col(f"`{term}`")).alias("_t")).agg(F.max(F.col(f"`{frequency}`")).alias("_f"))
-    rows = docs.select(F.struct("*").alias("_row"), F.col(f"`{text_col}`").alias("_text")).withColumn("_k", F.md5("_text"))
+    rows = docs.select(F.struct("*").alias("_row"), F.col(f"`{text_col}`").alias("_text")).withColumn("_k", F.unhex(F.md5("_text")))
     if max_distance > 0:
         words = rows.select("_k", F.posexplode(F.regexp_extract_all("_text", F.lit(LETTERS), 0)).alias("pos", "word"))
         better = written(corrections(words, terms, "word", "_t", "_f", max_distance).where("word <> corrected").select("word", "corrected"), "spelling")
-        fixes = words.join(better, "word").groupBy("_k").agg(F.array_sort(F.collect_set(F.struct("pos", "corrected"))).alias("_fixes"))
+        fixes = _likely(words, "word", better, "word").join(better, "word").groupBy("_k").agg(F.array_sort(F.collect_set(F.struct("pos", "corrected"))).alias("_fixes"))
         told = rows.join(fixes, "_k", "left")
         text = F.when(F.col("_fixes").isNull(), F.col("_text")).otherwise(_rebuilt(F.col("_text"), F.col("_fixes")))
         done = told.select("_row", text.alias("_text"), F.greatest(F.size("_fixes"), F.lit(0)).alias("n_corrections"))
-        rows = written(done.withColumn("_k", F.md5("_text")), "spelling")
+        rows = written(done.withColumn("_k", F.unhex(F.md5("_text"))), "spelling")
     else:
         rows = rows.withColumn("n_corrections", F.lit(0))
     last = rows.join(_merges(rows, terms), "_k", "left")
