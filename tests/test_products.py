@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from vellum.functions import vectors
-from vellum.operators import retrieval
+from vellum.operators import products, retrieval
 
 KIND = "vec_id long, embedding array<float>, label int"
 
@@ -61,3 +61,16 @@ def test_hashed_embedding_equals_word_by_word(spark):
     out = rows.select("t", vectors.hashed_embedding(F.col("t")))
     assert sorted(str(tuple(r)) for r in out.collect()) == sorted(str(tuple(r)) for r in want.collect())
     assert "ArrowEvalPython" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_nearest_with_struct_keys_keeps_few_of_many_ties(spark):
+    rows = [(d, i, f"t{i}", [1.0, 0.0] if d % 2 else [0.6, 0.8]) for d in range(400) for i in range(3)] + [(None, 7, None, [1.0, 0.0])]
+    store = spark.createDataFrame(rows, "d long, i int, t string, v array<double>").repartition(3).select(F.struct("d", "i", "t").alias("key"), "v")
+    asked = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, [0.6, 0.8])], "q long, w array<double>")
+    assert products.nearest(store, asked, 2, 4, "key", "v", "q", "w", True, 1e-4).count() < 150
+    got = {}
+    for r in retrieval.top_k(store, asked, 4, "v", "key", "q", "w", plain=True).orderBy("rank").collect():
+        got.setdefault(r.q, []).append((r.key.d, r.key.i, r.score))
+    assert got[1] == [(None, 7, 1.0), (1, 0, 1.0), (1, 1, 1.0), (1, 2, 1.0)]
+    assert got[2] == [(None, 7, 0.0), (0, 0, 0.0), (0, 1, 0.0), (0, 2, 0.0)]
+    assert got[3] == [(0, 0, 1.0), (0, 1, 1.0), (0, 2, 1.0), (2, 0, 1.0)]

@@ -7,10 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vellum.functions import vectors
+from vellum.functions.text import chunks as split_chunks
 from vellum.functions.text import claims as split_claims
 from vellum.functions.text import is_blank, strip
 from vellum.operators import products
-from vellum.operators.text_splitter import split_text
 
 #: Queries that are sent out at a time; more are dealt with in blocks.
 QUERY_BLOCK = 2_000
@@ -39,15 +39,23 @@ def join_by_position(left: DataFrame, right: DataFrame, keys: list[str]) -> Data
 
 
 def top_k(
-    store: DataFrame, queries: DataFrame, k: int = 5, vector: str = "embedding", key: str = "vec_id", query_key: str = "query_id", query_vector: str = "query"
+    store: DataFrame,
+    queries: DataFrame,
+    k: int = 5,
+    vector: str = "embedding",
+    key: str = "vec_id",
+    query_key: str = "query_id",
+    query_vector: str = "query",
+    plain: bool = False,
 ) -> DataFrame:
     """query_key, key, score (4 decimals), rank: the ``k`` most similar rows of the store for each query.
 
     Every row meets every query, in blocks of products (module products); of a batch only what may be among the best goes on.
-    Vectors that aren't plain meet the others one by one. Ties in the rounded score go by ``key``.
+    Vectors that aren't plain meet the others one by one. Ties in the rounded score go by ``key``. ``plain``: the store's vectors
+    are known to be plain and as long as the queries', so it isn't read once more to look for others.
     """
     size = queries.agg(F.mode(F.greatest(F.size(query_vector), F.lit(0)))).first()[0] or 0
-    odd, even = _split(store, vector, size), _split(queries, query_vector, size)
+    odd, even = (store, None) if plain else _split(store, vector, size), _split(queries, query_vector, size)
     found = products.nearest(odd[0], even[0], size, k, key, vector, query_key, query_vector, True, 1e-4)
     for rows, asked in ((odd[1], queries), (odd[0], even[1])):
         if rows is not None and asked is not None:
@@ -78,10 +86,9 @@ def _one_by_one(store: DataFrame, queries: DataFrame, vector: str, key: str, que
 
 
 def index_documents(docs: DataFrame, size: int = 512, overlap: int = 100, key: str = "doc_id", text_col: str = "text", embed=vectors.hashed_embedding) -> DataFrame:
-    """key, index, chunk_text, vector: chunks trimmed, empty ones dropped, numbered anew."""
-    parts = split_text(docs.select(key, text_col), text_col, size, overlap).select(key, F.col("index").alias("_i"), strip(F.col("text")).alias("chunk_text"))
-    parts = parts.where(F.col("chunk_text") != "")
-    parts = parts.withColumn("index", (F.row_number().over(W.partitionBy(key).orderBy("_i")) - 1).cast("int")).drop("_i")
+    """key, chunk_text, index, vector: chunks trimmed, empty ones dropped, numbered anew. Narrow: no shuffle."""
+    trimmed = F.filter(F.transform(split_chunks(F.col(text_col), size, overlap), lambda c: strip(c["text"])), lambda t: t != "")
+    parts = docs.select(key, F.posexplode(trimmed).alias("index", "chunk_text")).select(key, "chunk_text", "index")
     return embed_chunks(parts, "chunk_text", embed)
 
 
@@ -112,14 +119,18 @@ def build_prompt(chunks: Column, question: Column, template: str = "qa_with_sour
     return F.concat(F.lit(f"[SYSTEM]\n{system}\n\n[USER]\n"), out) if system else out
 
 
-def retrieve(index: DataFrame, questions: DataFrame, k: int = 5, embed=vectors.hashed_embedding, question: str = "question", query_key: str = "query_id") -> DataFrame:
-    """query_key, question, and the retrieved chunks: array of (text, source, score, rank), best first."""
+def retrieve(
+    index: DataFrame, questions: DataFrame, k: int = 5, embed=vectors.hashed_embedding, question: str = "question", query_key: str = "query_id", plain: bool = False
+) -> DataFrame:
+    """query_key, question, and the retrieved chunks: array of (text, source, score, rank), best first.
+
+    Texts go along with the keys of the few chunks that may be among the best, so the index is read once. ``plain``: see top_k().
+    """
     asked = questions.select(query_key, question).withColumn("query", embed(F.col(question)))
-    store = index.withColumn("chunk_key", F.struct(F.col("doc_id"), F.col("index")))
-    found = top_k(store, asked, k, "vector", "chunk_key", query_key)
-    texts = found.join(store.select("chunk_key", "chunk_text"), "chunk_key")
-    one = F.struct("rank", F.col("chunk_text").alias("text"), F.col("chunk_key.doc_id").cast("string").alias("source"), "score")
-    listed = texts.groupBy(query_key).agg(F.array_sort(F.collect_list(one)).alias("retrieved"))
+    store = index.withColumn("chunk_key", F.struct("doc_id", "index", "chunk_text"))
+    found = top_k(store, asked, k, "vector", "chunk_key", query_key, plain=plain)
+    one = F.struct("rank", F.col("chunk_key.chunk_text").alias("text"), F.col("chunk_key.doc_id").cast("string").alias("source"), "score")
+    listed = found.groupBy(query_key).agg(F.array_sort(F.collect_list(one)).alias("retrieved"))
     return questions.select(query_key, question).join(listed, query_key, "left").withColumn("retrieved", F.coalesce("retrieved", F.array().cast(listed.schema["retrieved"].dataType)))
 
 

@@ -104,17 +104,20 @@ def positional_chunk_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.join_by_position(turns, vecs, ["conv_id", "index"]).select("conv_id", "index", "vec_id", F.char_length("text").alias("chars"))
 
 
-def qa_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _answers(spark, sf_dir):
+    """Every item of the benchmark, asked of all documents; vectors of the default embedder are all plain."""
     index = retrieval.index_documents(load(spark, sf_dir, "documents"))
-    asked = load(spark, sf_dir, "benchmark").where("item_id % 50 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
-    found = retrieval.retrieve(index, asked)
+    asked = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    return retrieval.retrieve(index, asked, plain=True)
+
+
+def qa_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _answers(spark, sf_dir).where("query_id % 50 = 0")
     return found.select("query_id", F.posexplode("retrieved").alias("pos", "r")).select("query_id", F.col("r.rank").alias("rank"), F.col("r.source").alias("source"), F.col("r.score").alias("score"))
 
 
 def qa_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = retrieval.index_documents(load(spark, sf_dir, "documents"))
-    asked = load(spark, sf_dir, "benchmark").where("item_id % 50 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
-    found = retrieval.retrieve(index, asked)
+    found = _answers(spark, sf_dir)
     return found.select("query_id", F.md5(retrieval.build_prompt(F.col("retrieved"), F.col("question"))).alias("prompt_md5"))
 
 
