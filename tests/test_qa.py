@@ -38,6 +38,12 @@ def wanted(spark):
     return {q: best[:5] for q, best in out.items()}
 
 
+def test_every_item_is_retrieved_for(spark, folder, wanted):
+    got = sorted(tuple(r) for r in table_queries.qa_retrieve(spark, folder).select("query_id", "rank", "source", "score").collect())
+    assert {r[0] for r in got} == {i for i, _ in ITEMS}
+    assert got == sorted((q, rank, source, score) for q, best in wanted.items() for rank, _, source, score in best)
+
+
 def test_every_item_has_its_prompt(spark, folder, wanted):
     want = {}
     for item, question in ITEMS:
